@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Fixed value: the symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -144,9 +145,7 @@ def keep(docs: DataFrame, policy: tuple[str, int] = ("prose", 2)) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[] for _ in MEASURES]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, *(f"__{m}" for m in MEASURES)])
 
-    schema = docs.schema
-    for m in MEASURES:
-        schema = schema.add(f"__{m}", "long")
+    schema = StructType([*docs.schema.fields, *(StructField(f"__{m}", LongType()) for m in MEASURES)])
     measured = docs.mapInArrow(run, schema)
 
     def renamed(test: str) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licences, mixing, quality
-from .shared import table
+from . import chat, decontam, htmltext, licences, lm, mixing, neardup, quality, suffixdedup, warc
+from .exchange import NO_ID
+from .shared import new_path, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles agree to 85 %."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the policy prose 2."""
     kept = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), ("prose", 2))
@@ -33,6 +39,41 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents inside 100-byte strings that start earlier too."""
+    cut = suffixdedup.remove(table(spark, sf_dir, "documents"))
+    ident = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    return cut.select(ident.alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under a model of those whose id's crc32 modulo 5 isn't 1."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back."""
+    if vocabulary is None or pattern is None:
+        import public_tokenizers
+
+        vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    codec = chat.load(spark, vocabulary, pattern)
+    return chat.digest(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations")), codec), codec)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -2,69 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import forget_all, new_path, shared_dir, stash
+
+__all__ = ["SPACE", "UPPER", "LOWER", "ascii_lower", "forget_all", "new_path", "shared_dir", "stash", "table", "word_count"]
+
 #: Fixed value: the word separators of the contracts that count plain words.
 SPACE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below sf_dir, read by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the setting is missing (a local session, as in tests) a folder of
-    our own is chosen once and set on the context.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="sparkloom-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; removed when Python ends."""
-    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(forget_all)
-    _written.append((spark, path))
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: a cut in the lineage that
-    survives lost executors, at columnar size."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget_all() -> None:
-    """Delete every written table (frames that read them stop working)."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; lower() is the same on pure ASCII and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -1,5 +1,6 @@
 """DuckDB SQL with the rows of this package's queries."""
 
+from .chat import CONTROL, END, SEP, START
 from .licences import TEMPLATES
 
 #: Plain words of a text.
@@ -105,4 +106,45 @@ SELECT doc_id, coalesce(l, '') AS licences, coalesce(u, 0)::BIGINT AS n_units, c
 FROM docs LEFT JOIN by_doc USING (row)
 """
 
-SQL = {"op1_mixing": OP1, "op2_decontamination": OP2, "op4_quality_rules": OP4, "op5_licence_scan": OP5}
+OP3 = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN 's ' || array_to_string(w, ' ') ELSE array_to_string(w[s + 1 : s + 5], ' ') END AS x
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS s FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+pair AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS other FROM pair UNION SELECT reach.doc_id, pair.b FROM reach JOIN pair ON reach.other = pair.a),
+comp AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, t.doc_id) AS component_id, t.doc_id = coalesce(c, t.doc_id) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+OP8 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest AS d, max(page_id) AS first FROM p WHERE size >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON digest = d
+"""
+
+_CONTROL = "|".join("".join(f"\\{c}" if c in "<>|[]/" else c for c in x) for x in CONTROL)
+_ESCAPED = rf"(length(regexp_replace(replace(coalesce({{0}}, ''), '\', '\\'), '({_CONTROL})', '\1~', 'g')))"
+OP10 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, {sum(map(len, (START, SEP, END)))} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS size FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL = {
+    "op1_mixing": OP1, "op2_decontamination": OP2, "op3_near_duplicates": OP3, "op4_quality_rules": OP4,
+    "op5_licence_scan": OP5, "op8_warc": OP8, "op10_chat_format": OP10,
+}
