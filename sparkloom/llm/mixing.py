@@ -75,11 +75,11 @@ def targets(sizes: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: flo
     return s.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"), "sched")
 
 
-def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float = 1.5, max_passes: int = 2) -> DataFrame:
+def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float = 1.5, max_passes: int = 2, carry: bool = False) -> DataFrame:
     """Takes columns doc_id, text and source; others are ignored.
 
     Returns a row per row of docs: doc_id, size, source, source_size, target,
-    taken, position, pieces.  `pieces` has (pass, words, position) for every
+    taken, position, pieces, and with `carry` the whole row as `row`.  `pieces` has (pass, words, position) for every
     time the document is taken; `position` is the first of these, null where
     nothing is taken.  Within a source, documents come in the order of the md5
     of their id, pass after pass, until the target is met; the document at the
@@ -92,7 +92,8 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float =
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # `held` stands for the source in keys: it is never null
     held = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), held.alias("held"))
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), held.alias("held"), *row)
     sized = sized.withColumn("cell", F.substring("key", 1, 3)).repartition("held", "cell")
     cells = sized.groupBy("held", "cell").agg(F.max("source").alias("cell_source"), F.sum("size").alias("cell_size"))
     offset = F.sum("cell_size").over(Window.partitionBy("held").orderBy("cell")) - F.col("cell_size")
@@ -119,9 +120,19 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float =
     pieces = F.array(*(F.when(words(k) > 0, F.struct(F.lit(k).alias("pass"), words(k).alias("words"), position(k).alias("position"))) for k in range(max_passes)))
     m = m.withColumn("pieces", F.filter(pieces, lambda x: x.isNotNull()))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return m.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.get("pieces", F.lit(0))["position"].alias("position"), "pieces")
+    return m.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.get("pieces", F.lit(0))["position"].alias("position"), "pieces", *(["row"] if carry else []))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """The mix range-sorted by first training position; what is not taken comes last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed_corpus(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float = 1.5, max_passes: int = 2) -> DataFrame:
+    """The rows of docs that the mix takes words of, all columns, with mix_size,
+    mix_target (its source's), mix_taken, mix_passes and mix_position, range-sorted by
+    the last."""
+    m = mix(docs, schedules, share, max_passes, carry=True).where("taken > 0")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if not c.lower().startswith("mix_")]
+    m = m.select(*own, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"), F.size("pieces").alias("mix_passes"), F.col("position").alias("mix_position"))
+    return m.orderBy("mix_position", "doc_id")
