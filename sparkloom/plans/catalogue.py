@@ -1,9 +1,15 @@
-"""Queries over the fixture tables, one for each operator or group of operators."""
+"""All queries over the fixture tables."""
+
+from __future__ import annotations
+
+from . import relational
+
+_MODULES = (relational,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.query.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.query.sql.items()}
