@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import graphs, relational, series, states, texts
 
-_MODULES = (relational,)
+_MODULES = (relational, series, graphs, texts, states)
 
 
 def queries() -> dict:
