@@ -256,7 +256,7 @@ def _table(rows, names=("block", "kind", "data")) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 8_000_000, shard_bytes: int = 24_000_000, piece_bytes: int = 3_000_000) -> tuple[DataFrame, int, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000, shard_bytes: int = 6_000_000, piece_bytes: int = 1_000_000) -> tuple[DataFrame, int, DataFrame]:
     """The texts by block and, packed by block, the spans to remove: (docs, number of blocks, spans)."""
     total = text_bytes(docs)
     n_blocks, n_shards = parts(total, block_bytes), parts(total, shard_bytes)
