@@ -61,6 +61,24 @@ def templates_of(spark, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) ->
     return t.select("licence", "template", F.size("all").alias("size"), F.explode("all").alias("bigram"))
 
 
+def telling(bigrams_of: Mapping[tuple[str, int], set[str]], least: float) -> set[str]:
+    """Words of which every unit with Dice `least` or more with some template has one.
+
+    Such a unit shares at least least/(2-least) of a template's bigrams; so of any
+    chosen ones that are more than the rest, it has one, and the words that the
+    chosen ones have in common.  Long words are chosen first.
+    """
+    words: set[str] = set()
+    for pairs in bigrams_of.values():
+        spare, covered = int(len(pairs) - len(pairs) * least / (2 - least) + 1e-9), set()
+        for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (w not in words, -len(w), w)):
+            if len(covered) > spare:
+                break
+            words.add(word)
+            covered |= {p for p in pairs if word in p.split(" ")}
+    return words
+
+
 def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = 0.9) -> DataFrame:
     """(doc, doc_id, unit, licence, template, dice) with dice of at least `least`.
 
@@ -68,9 +86,13 @@ def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     """
     spark = docs.sparkSession
     t = templates_of(spark, templates)
-    sizes = [r["size"] for r in t.select("licence", "template", "size").distinct().collect()]  # parameters, not data
+    pairs: dict[tuple[str, int], set[str]] = {}
+    for r in t.limit(BROADCAST_BIGRAMS + 1).collect():  # parameters, not data
+        pairs.setdefault((r["licence"], r["template"]), set()).add(r["bigram"])
+    sizes = [len(p) for p in pairs.values()]
     if sum(sizes) > BROADCAST_BIGRAMS:
         raise ValueError("the templates are too large")
+    words = sorted(telling(pairs, least))
     low, high = least / (2 - least), (2 - least) / least
 
     def possible(n: Column) -> Column:
@@ -79,11 +101,17 @@ def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
             near = near | ((n >= b * low) & (n <= b * high))
         return near
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    def told(text: Column) -> Column:
+        has = F.lit(False)
+        for w in words:
+            has = has | F.contains(text, F.lit(w))
+        return has
+
+    # most documents have none of the telling words and go no further
+    keyed = docs.select("doc_id", "text").where(told(F.lower("text"))).select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
     lines = keyed.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("unit", "part"))
-    whole = keyed.where(F.length("text") <= 40 * (max(sizes, default=0) + 2) * high).select("doc", "doc_id", F.lit(-1).alias("unit"), F.col("text").alias("part"))
-    # A unit has at most as many bigrams as blanks and punctuation allow; the exact size is tested below.
-    units = lines.where(F.length("part") >= min(sizes, default=1) * low).unionByName(whole)
+    whole = keyed.select("doc", "doc_id", F.lit(-1).alias("unit"), F.col("text").alias("part"))
+    units = lines.where(told(F.lower("part"))).unionByName(whole)
     units = units.select("doc", "doc_id", "unit", terms(F.col("part")).alias("words")).where(F.size("words") - 1 >= F.lit(min(sizes, default=1) * low))
     made = units.select("doc", "doc_id", "unit", bigrams(F.col("words")).alias("all")).where(possible(F.size("all")))
     each = made.select("doc", "doc_id", "unit", F.size("all").alias("n"), F.explode("all").alias("bigram"))

@@ -96,7 +96,7 @@ docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
 units AS (
   SELECT row, unnest(range(0, len(l))) AS unit, unnest(l) AS part FROM (SELECT row, string_split(text, chr(10)) AS l FROM docs WHERE text IS NOT NULL)
   UNION ALL SELECT row, -1, text FROM docs WHERE text IS NOT NULL),
-ub AS (SELECT row, unit, {_BIGRAMS} AS b FROM (SELECT row, unit, {_TERMS} AS w FROM units) WHERE len(w) BETWEEN 2 AND 2000),
+ub AS (SELECT row, unit, {_BIGRAMS} AS b FROM (SELECT row, unit, {_TERMS} AS w FROM units) WHERE len(w) >= 2),
 d AS (
   SELECT row, unit, licence, 2.0::DOUBLE * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS dice
   FROM ub JOIN tb ON len(ub.b) >= len(tb.b) * 0.8 AND len(ub.b) <= len(tb.b) * 1.25),
