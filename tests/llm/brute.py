@@ -81,6 +81,7 @@ def lm_scores(docs, mu):
             p = (uni[w] + 0.5) / (n + 0.5 * (v + 1))
             h = starts if before == "^" else uni[before]
             base += math.log10(p)
+            p = ((uni[w] - 0.5 if uni[w] else 0.5 * v) / n) if n else 1.0
             score += math.log10((bi[before, w] + mu * p) / (h + mu))
             before = w
         out[i] = (held[i], len(toks[i]), sum(uni[w] > 0 for w in toks[i]), n, base, score)
