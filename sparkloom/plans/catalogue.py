@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, relational, series, states, texts
+from . import curation, graphs, relational, series, states, texts
 
-_MODULES = (relational, series, graphs, texts, states)
+_MODULES = (relational, series, graphs, texts, states, curation)
 
 
 def queries() -> dict:
