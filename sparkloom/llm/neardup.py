@@ -6,8 +6,9 @@ variates x_i over the set: minima on an exponentially spaced scale, of which
 the maximum of two sketches is the sketch of the union, and which agree with
 about the Jaccard similarity as probability.  Bands of registers find
 candidates; the joint likelihood of a pair's greater, lesser and equal
-registers estimates its similarity; those that are not far below the threshold
-are confirmed on full sets.
+registers estimates its similarity.  A bitmap of parities, in which each element
+flips one bit, bounds the symmetric difference of two sets from below, so that it
+rules out only pairs under the threshold.  What is left is confirmed on full sets.
 
 Scale.  Copies (equal sets) are folded by a fingerprint first.  In a bucket, all
 members are paired with the least one; links found make components; only
@@ -33,6 +34,8 @@ from .shared import stash
 SHINGLE = 5
 BANDS, ROWS = 30, 5
 M = BANDS * ROWS
+#: Bits of the bitmap of parities.
+PARITY = 2048
 #: SetSketch parameters: base, rate and the largest register less 1.
 B, A, Q = 1.001, 20.0, 65534
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +74,22 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(B)), 0, Q + 1).astype(np.uint16)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits as 64-bit words; each element flips the bit of its leading bits."""
+    odd = np.bincount((hashes >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def possible(n1: np.ndarray, n2: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs with these set sizes and parities can have 100 * intersection >= percent * union.
+
+    With a symmetric difference d this means d * (100 + percent) <= (n1 + n2) * (100 - percent);
+    d is no less than the bits that differ, nor than the difference of the sizes.
+    """
+    d = np.maximum(np.bitwise_count(x ^ y).sum(-1, dtype=np.int64), np.abs(n1 - n2))
+    return d * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(a, b)
@@ -79,6 +98,8 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def estimate(n1: np.ndarray, n2: np.ndarray, greater: np.ndarray, lesser: np.ndarray, grid: int = 200) -> np.ndarray:
     """Similarities by joint likelihood, of pairs with known set sizes and so many
     registers that are greater and lesser in the first; the rest are equal."""
+    if len(n1) > 1024:  # bounded memory
+        return np.concatenate([estimate(*(x[k : k + 1024] for x in (n1, n2, greater, lesser)), grid) for k in range(0, len(n1), 1024)])
     n1, n2 = n1.astype(float), n2.astype(float)
     u, v = (n1 / (n1 + n2))[:, None], (n2 / (n1 + n2))[:, None]
     j = np.linspace(0, 1, grid)[None, :] * np.minimum(u / v, v / u) * (1 - 1e-9)
@@ -93,22 +114,23 @@ def estimate(n1: np.ndarray, n2: np.ndarray, greater: np.ndarray, lesser: np.nda
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, print, registers) of every row of docs; print is null for empty sets."""
+    """(doc_id, n, print, registers, parities) of every row of docs; print is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ns, prints, regs = [], [], []
+                ns, prints, regs, odd = [], [], [], []
                 for text in b.column(1):
                     s = shingles(text.as_py())
                     ns.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     regs.append(sketch(s).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "print", "registers"])
+                    odd.append(parities(s).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, regs, odd))], ["doc_id", "n", "print", "registers", "parities"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, print binary, registers binary, parities binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -128,21 +150,24 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "registers").mapInArrow(run, "bucket long, rep long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least `least`."""
+def likely(pairs: DataFrame, reps: DataFrame, percent: int, least: float) -> DataFrame:
+    """The pairs (a, b) that can be links and whose estimated similarity is at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
+            n1, n2 = b.column(2).to_numpy(), b.column(3).to_numpy()
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, M) for k in (4, 5))
-            est = estimate(np.asarray(b.column(2)), np.asarray(b.column(3)), (x > y).sum(1), (x < y).sum(1))
-            keep = pa.array(est >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+            p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for k in (6, 7))
+            at = np.flatnonzero(possible(n1, n2, p, q, percent))
+            x, y = x[at], y[at]
+            at = pa.array(at[estimate(n1[at], n2[at], (x > y).sum(1), (x < y).sum(1)) >= least])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("registers").alias("r1"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("registers").alias("r2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long")
+    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("registers").alias("r1"), F.col("parities").alias("p1"))
+    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("registers").alias("r2"), F.col("parities").alias("p2"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "r1", "r2", "p1", "p2").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -172,49 +197,52 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(members: DataFrame, least: float) -> DataFrame:
-    """(bucket, rep, component, n, registers) to the pairs (a, b) that share a bucket
-    but no component, and whose estimate is at least `least`.  Buckets are streamed
-    and compared in blocks."""
+def across(members: DataFrame, percent: int, least: float) -> DataFrame:
+    """(bucket, rep, component, n, registers, parities) to the pairs (a, b) that share a
+    bucket but no component, can be links, and whose estimate is at least `least`.
+    Buckets are streamed and compared in blocks; few pairs leave a bucket, for those
+    that pass are nearly all links between components."""
 
-    def pairs(rep, comp, n, regs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(rep, comp, n, regs, odd) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = 128
         for i in range(0, len(rep), step):
             for j in range(i, len(rep), step):
-                x, y = regs[i : i + step], regs[j : j + step]
-                p, q = np.nonzero((comp[i : i + step, None] != comp[None, j : j + step]) & (rep[i : i + step, None] < rep[None, j : j + step] if i == j else True))
+                p, q = np.nonzero(comp[i : i + step, None] != comp[None, j : j + step])
+                if i == j:
+                    p, q = p[p < q], q[p < q]
+                p, q = p + i, q + j
                 if len(p):
-                    same = np.concatenate([(x[p[k : k + 4096]] == y[q[k : k + 4096]]).sum(1) for k in range(0, len(p), 4096)])
-                    near = same >= M * (least - 0.1)  # the estimate is about the share of equal registers
-                    p, q = p[near], q[near]
+                    good = possible(n[p], n[q], odd[p], odd[q], percent)
+                    p, q = p[good], q[good]
                 if len(p):
-                    est = estimate(n[i + p], n[j + q], (x[p] > y[q]).sum(1), (x[p] < y[q]).sum(1))
-                    good = est >= least
-                    a, b = rep[i + p[good]], rep[j + q[good]]
+                    x, y = regs[p], regs[q]
+                    good = estimate(n[p], n[q], (x > y).sum(1), (x < y).sum(1)) >= least
+                    a, b = rep[p[good]], rep[q[good]]
                     yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         bucket = None
 
         def closed():
             rep, comp, n = (np.array(h) for h in held[:3])
             regs = np.frombuffer(b"".join(held[3]), np.uint16).reshape(-1, M)
-            for a, b in pairs(rep, comp, n, regs):
+            odd = np.frombuffer(b"".join(held[4]), np.uint64).reshape(-1, PARITY // 64)
+            for a, b in pairs(rep, comp, n, regs, odd):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != bucket and held[0]:
                     yield from closed()
-                    held = [[], [], [], []]
+                    held = [[], [], [], [], []]
                 bucket = key
                 for h, x in zip(held, row, strict=True):
                     h.append(x)
         if held[0]:
             yield from closed()
 
-    dealt = members.select("bucket", "rep", "component", "n", "registers").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    dealt = members.select("bucket", "rep", "component", "n", "registers", "parities").repartition("bucket").sortWithinPartitions("bucket", "rep")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -233,21 +261,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.15) ->
     """
     least = percent / 100 - slack
     all_ = stash(sketches(docs), "sketches")
-    usable = all_.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "n", "print", "registers")
+    usable = all_.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "n", "print", "registers", "parities")
     # one document of each set stands for its copies
-    reps = usable.groupBy("print").agg(F.min(F.struct("doc_id", "n", "registers")).alias("r"))
-    reps = stash(reps.select("print", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.registers").alias("registers")), "reps")
+    reps = usable.groupBy("print").agg(F.min(F.struct("doc_id", "n", "registers", "parities")).alias("r"))
+    reps = stash(reps.select("print", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.registers").alias("registers"), F.col("r.parities").alias("parities")), "reps")
     spread = bands(reps)
     shared = spread.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("members")).where("members > 1")
     buckets = stash(spread.join(shared, "bucket"), "buckets")
     stars = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = stash(likely(stars, reps, least), "tried")
+    tried = stash(likely(stars, reps, percent, least), "tried")
     links = stash(confirm(tried, docs, percent), "links")
     first = connected_components(links)
     named = buckets.where("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     torn = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = named.join(torn, "bucket", "left_semi").join(reps.select("rep", "n", "registers"), "rep")
-    rest = stash(across(open_, least).join(tried, ["a", "b"], "left_anti"), "rest")
+    open_ = named.join(torn, "bucket", "left_semi").join(reps.select("rep", "n", "registers", "parities"), "rep")
+    rest = stash(across(open_, percent, least).join(tried, ["a", "b"], "left_anti"), "rest")
     more = stash(confirm(rest, docs, percent), "links")
     # components of components: what the first pass settled is not walked again
     name = first.withColumnRenamed("component", "c")
@@ -272,4 +300,5 @@ def _by_id(all_: DataFrame, of_id: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs, all columns, that stand for their component."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stash(gone, "gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = stash(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
