@@ -171,30 +171,23 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int, least: float) -> Dat
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets.  The
+    sets are intersected row by row in the JVM: two sets at a time, however long."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["rep", "hashes"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["rep", "hashes"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    full = stash(texts.mapInArrow(sets, "rep long, hashes binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    full = stash(texts.mapInArrow(sets, "rep long, hashes array<long>"), "sets")
     one = full.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
     two = full.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    both = F.size(F.array_intersect("x", "y"))
+    j = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+    return j.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b").distinct()
 
 
 def across(members: DataFrame, percent: int, least: float) -> DataFrame:
