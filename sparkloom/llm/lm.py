@@ -1,7 +1,8 @@
 """Scores of texts under an n-gram model run as a weighted backoff automaton.
 
-The model is a bigram model with Dirichlet smoothing over an add-0.5 unigram
-model:  P(w | h) = (c(h, w) + mu P(w)) / (c(h) + mu).  As an automaton: a state
+The model is a bigram model with Dirichlet smoothing over a discounted unigram
+model:  P(w | h) = (c(h, w) + mu P(w)) / (c(h) + mu),  P(w) = (c(w) - D) / N, where
+what is discounted, D V / N, is the probability of an unknown word.  As an automaton: a state
 for every known word h (and one for a text's start), an arc (h, w) for every
 pair seen in training, and from every state a failure arc to the root, of weight
 mu / (c(h) + mu), where each word has its unigram arc.  One pass from left to
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .exchange import block, cuts, doc_long, pack, parts, shard_of, small, text_bytes, unpack, unsmall
 from .neardup import _MIX, _mixed
 
-MU = 20.0
+MU, DISCOUNT = 1000.0, 0.5
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"end of a text"))
 _START = np.uint64(xxhash.xxh3_64_intdigest(b"start of a text"))
 
@@ -68,7 +69,9 @@ class Block:
 def traverse(b: Block, word_n: np.ndarray, pair_n: np.ndarray, total: int, vocabulary: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base score, score) of every text: one pass over the tokens,
     each text's weights summed from left to right."""
-    root = np.log10((word_n + 0.5) / (total + 0.5 * (vocabulary + 1)))  # the root's arcs
+    base = np.log10((word_n + 0.5) / (total + 0.5 * (vocabulary + 1)))
+    # the root's arcs: known words and, as one, all unknown ones
+    root = np.log10(np.where(word_n > 0, word_n - DISCOUNT, DISCOUNT * vocabulary) / total) if total else np.zeros(len(word_n))
     failure = np.log10(mu / (word_n + mu))
     step = root[b.word_at]
     seen = pair_n[b.pair_at]
@@ -78,7 +81,7 @@ def traverse(b: Block, word_n: np.ndarray, pair_n: np.ndarray, total: int, vocab
     if not len(b.lengths):
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     add = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731  each text has a token at least
-    return add((word_n[b.word_at] > 0).astype(np.int64)), add(step), add(weight)
+    return add((word_n[b.word_at] > 0).astype(np.int64)), add(base[b.word_at]), add(weight)
 
 
 def score(docs: DataFrame, held_out, mu: float = MU, block_bytes: int = 8_000_000, shard_bytes: int = 24_000_000) -> DataFrame:
