@@ -149,4 +149,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
     """The rows of docs, all columns, that hold no window of any item."""
     found = stash(phrases(docs, benchmark, window, probes).select(F.col("doc").alias("__doc")).distinct(), "leaks")
-    return docs.withColumn("__doc", doc_key()).join(found, "__doc", "left_anti").drop("__doc")
+    return docs.join(found, doc_key() == found["__doc"], "left_anti")

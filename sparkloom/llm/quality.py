@@ -137,19 +137,20 @@ def ablation(ledger_: DataFrame, policy: tuple[str, int], rules: tuple[Rule, ...
 def keep(docs: DataFrame, policy: tuple[str, int] = ("prose", 2)) -> DataFrame:
     """The rows of docs, all columns, that pass the policy.  Measured in one pass beside the row; no join."""
     names = docs.columns
+    mark = "__" + "_" * max((len(n) for n in names if n.startswith("__")), default=0)  # no column begins so
     at = [n.lower() for n in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measures_of(x.as_py()) for x in batch.column(at)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, *(f"__{m}" for m in MEASURES)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, *(mark + m for m in MEASURES)])
 
-    schema = StructType([*docs.schema.fields, *(StructField(f"__{m}", LongType()) for m in MEASURES)])
+    schema = StructType([*docs.schema.fields, *(StructField(mark + m, LongType()) for m in MEASURES)])
     measured = docs.mapInArrow(run, schema)
 
     def renamed(test: str) -> str:
-        return " ".join(f"`__{x}`" if x in MEASURES else x for x in test.split(" "))
+        return " ".join(f"`{mark}{x}`" if x in MEASURES else x for x in test.split(" "))
 
     for k, r in enumerate(RULES):
         if mask(policy) >> k & 1:
