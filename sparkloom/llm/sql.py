@@ -121,6 +121,22 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, t.doc_id) A
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
+OP6 = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1 AS again FROM w),
+b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM d)),
+c AS (
+  SELECT doc_id, p, x, max(coalesce(again, false)::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS 99 PRECEDING) AS gone
+  FROM b LEFT JOIN later USING (doc_id, p)),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY p) AS was FROM c),
+f AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE gone = 1 AND was = 0) AS n_spans,
+    string_agg(x, '' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
 OP8 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS size, sha1(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT digest AS d, max(page_id) AS first FROM p WHERE size >= 1000 GROUP BY digest HAVING count(*) > 1)
@@ -146,5 +162,5 @@ FROM e GROUP BY conv_id
 
 SQL = {
     "op1_mixing": OP1, "op2_decontamination": OP2, "op3_near_duplicates": OP3, "op4_quality_rules": OP4,
-    "op5_licence_scan": OP5, "op8_warc": OP8, "op10_chat_format": OP10,
+    "op5_licence_scan": OP5, "op6_suffix_dedup": OP6, "op8_warc": OP8, "op10_chat_format": OP10,
 }
