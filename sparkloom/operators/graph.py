@@ -142,3 +142,97 @@ def ranked_lineage(reach: DataFrame, most: int = 9) -> DataFrame:
     """The oldest ancestors first, so many a node."""
     w = Window.partitionBy("node").orderBy(F.desc("depth"), "ancestor")
     return reach.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def merge_nodes(records: DataFrame, keys: Sequence[str], order: Sequence[Column], glosses: str, most: int = 4) -> DataFrame:
+    """One node for records alike in keys: the first record's columns, and up to `most` distinct glosses in order."""
+    rest = [c for c in records.columns if c not in keys]
+    rank = F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)))
+    grouped = records.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"), F.array_sort(F.collect_set(F.struct(rank.alias("r"), F.col(glosses).alias("g")))).alias("_g"), F.count("*").alias("merged"))
+    words = F.array_distinct(F.filter(F.transform("_g", lambda x: x["g"]), lambda g: g.isNotNull()))
+    return grouped.select(*keys, *(F.col("_row")[c].alias(c) for c in rest), F.slice(words, 1, most).alias("glosses"), "merged")
+
+
+def bare_nodes(citations: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nodes for cited terms that have none."""
+    return citations.select(*keys).distinct().join(nodes.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
+    """The pairs (node, ancestor) that edges connect."""
+    return pairs.join(closure(edges, most), ["node", "ancestor"], "left_semi")
+
+
+def keep_ancestry(edges: DataFrame, seeds: DataFrame, most: int = 12) -> DataFrame:
+    """Edges that some seed (node) reaches: from the seeds upwards, level by level."""
+    found = stash(seeds.select("node").distinct(), "kept")
+    front = found
+    for _ in range(most):
+        up = edges.join(front, edges["child"] == front["node"], "left_semi").select(F.col("parent").alias("node")).distinct()
+        front = stash(up.join(found, "node", "left_anti"), "front")
+        if front.isEmpty():
+            break
+        found = stash(found.unionByName(front), "kept")
+    return edges.join(found, edges["child"] == found["node"], "left_semi")
+
+
+def tie_weights(links: DataFrame, tree_of: DataFrame) -> DataFrame:
+    """(a, b, weight): how many links (child, parent) run between two trees; tree_of has (node, root)."""
+    one = tree_of.select(F.col("node").alias("child"), F.col("root").alias("ra"))
+    two = tree_of.select(F.col("node").alias("parent"), F.col("root").alias("rb"))
+    j = links.join(one, "child").join(two, "parent").where("ra <> rb")
+    return j.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.count("*").alias("weight"))
+
+
+def fold_set(edges: DataFrame) -> DataFrame:
+    """Children all of whose parents are of their own family: edges has child, child_family, parent_family."""
+    return edges.groupBy("child").agg(F.bool_and(F.col("child_family") == F.col("parent_family")).alias("fold")).where("fold").select("child")
+
+
+def common_ancestors(reach: DataFrame, words: DataFrame) -> DataFrame:
+    """Ancestors that all the words (node) have."""
+    n = words.select("node").distinct()
+    found = reach.join(n, "node", "left_semi").groupBy("ancestor").agg(F.count_distinct("node").alias("n"))
+    return found.join(F.broadcast(n.agg(F.count("*").alias("n"))), "n").select("ancestor")
+
+
+def focus(edges: DataFrame, node, ancestors: int = 200, kids: int = 60, grandkids: int = 20) -> DataFrame:
+    """(node, role, depth) around one node: ancestors by every route, children, grandchildren, each up to a shown number."""
+    up = closure(keep_ancestry(edges, edges.select(F.col("child").alias("node")).where(F.col("node") == node).distinct()))
+    above = up.where(F.col("node") == node).orderBy("depth", "ancestor").limit(ancestors).select(F.col("ancestor").alias("node"), F.lit("ancestor").alias("role"), "depth")
+    below = edges.where(F.col("parent") == node).select(F.col("child").alias("node")).distinct().orderBy("node").limit(kids)
+    w = Window.partitionBy("parent").orderBy("child")
+    second = edges.join(below.withColumnRenamed("node", "parent"), "parent", "left_semi").select("parent", "child").distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= grandkids)
+    out = above.unionByName(below.select("node", F.lit("child").alias("role"), F.lit(-1).cast("long").alias("depth")))
+    return out.unionByName(second.select(F.col("child").alias("node"), F.lit("grandchild").alias("role"), F.lit(-2).cast("long").alias("depth")))
+
+
+def bridge(nodes: DataFrame, edges: DataFrame, stages: DataFrame) -> DataFrame:
+    """(child, parent) for nodes (node, language, title) without a parent: the node with their
+    title in the first older stage (language, older, ord) that has parents itself."""
+    loose = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    held = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("parent"), F.col("language").alias("older"), "title")
+    found = loose.join(stages, "language").join(held, ["older", "title"]).select(F.col("node").alias("child"), "parent", "ord")
+    return found.groupBy("child").agg(F.min_by("parent", F.struct("ord", "parent")).alias("parent"))
+
+
+def donor(reach: DataFrame, languages: DataFrame, own: Sequence[str]) -> DataFrame:
+    """(node, donor): the nearest ancestor's language that is none of a node's own stages; null
+    if a reconstruction comes before one.  languages has (node, language)."""
+    a = reach.join(languages.select(F.col("node").alias("ancestor"), "language"), "ancestor").where(~F.col("language").isin(*own))
+    first = a.groupBy("node").agg(F.min_by("language", F.struct("depth", "ancestor")).alias("donor"))
+    return first.withColumn("donor", F.when(~F.startswith("donor", F.lit("Proto-")), F.col("donor")))
+
+
+def depth_report(old: DataFrame, new: DataFrame, target: float = 0.97) -> DataFrame:
+    """One row: nodes in both closures, those at least as deep in the new one, their share, and whether it is enough."""
+    o, n = (d.groupBy("node").agg(F.max("depth").alias(x)) for d, x in ((old, "o"), (new, "n")))
+    j = o.join(n, "node", "left").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("n", F.lit(0)) >= F.col("o")).alias("kept"))
+    return j.withColumn("share", F.try_divide("kept", "nodes")).withColumn("enough", F.col("share") >= target)
+
+
+def lineage_rows(reach: DataFrame, edges: DataFrame, node) -> DataFrame:
+    """Oldest to newest: each ancestor of a node with its kind of edge and other parents."""
+    line = reach.where(F.col("node") == node).select(F.col("ancestor").alias("child"), "depth").unionByName(reach.where(F.col("node") == node).select("node").distinct().select(F.col("node").alias("child"), F.lit(0).cast("long").alias("depth")))
+    up = edges.join(line.select("child"), "child", "left_semi").groupBy("child").agg(F.array_sort(F.collect_set(F.struct("parent", "kind"))).alias("parents"))
+    return line.join(up, "child", "left").orderBy(F.desc("depth"), "child")
