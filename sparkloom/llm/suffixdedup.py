@@ -88,7 +88,8 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     place = np.flatnonzero(grams == most)
     left, right = np.minimum(place, wide), np.minimum(n - K - place, wide)
     around = h.of(place - left, place + K + right) ^ _mixed((left * 4096 + right).astype(np.uint64))
-    return grams[place], around, place, left, right
+    # least hashes are small ones; mixed anew, they deal evenly
+    return _mixed(grams[place] ^ _STEP), around, place, left, right
 
 
 def _first_of(order_keys: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -450,10 +451,16 @@ def rewritten(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], ["__doc", "__text"])
 
     changed = stash(cut.select("doc", "kept").mapInArrow(decode, "__doc long, __text string"), "cut").dropDuplicates(["__doc"])
-    out = docs.join(changed, doc_long() == F.col("__doc"), "left")
-    text = F.coalesce(F.col("__text"), docs["text"])
-    named = {c.lower(): c for c in docs.columns}
-    columns = [text.alias(c) if c.lower() == "text" else F.when(F.col("__text").isNotNull(), F.char_length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == named.get("n_chars") else F.col(c) for c in docs.columns]
+    out = docs.join(changed, doc_long() == changed["__doc"], "left")
+    new = changed["__text"]
+    columns = []
+    for c in docs.columns:
+        if c.lower() == "text":
+            columns.append(F.coalesce(new, docs[c]).alias(c))
+        elif c.lower() == "n_chars":
+            columns.append(F.when(new.isNotNull(), F.char_length(new)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(docs[c])
     return out.select(*columns)
 
 
