@@ -83,3 +83,57 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     before = spark.read.parquet(path).count() if there else 0
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path).count() - before
+
+
+#: A line of a dictionary dump, as far as it is read.
+DUMP = (
+    "word string, lang string, lang_code string, pos string, etymology_number int, etymology_text string, etymology_templates array<struct<name:string,args:map<string,string>,expansion:string>>, "
+    "senses array<struct<glosses:array<string>,tags:array<string>,topics:array<string>,form_of:array<struct<word:string>>,alt_of:array<struct<word:string>>,examples:array<struct<text:string,ref:string,type:string>>>>, "
+    "sounds array<struct<ipa:string,ogg_url:string,mp3_url:string,tags:array<string>>>, derived array<struct<word:string>>"
+)
+
+
+def slim(dump: DataFrame) -> DataFrame:
+    """Lines of a dump as slim records: word, language, part of speech, number, first gloss of each
+    sense (cut at 120 characters), first IPA, relation templates with arguments in order, derived words."""
+    first = F.filter(F.transform("senses", lambda s: F.element_at(s["glosses"], -1)), lambda g: g.isNotNull())
+    cut = F.transform(first, lambda g: F.when(F.length(g) > 120, F.concat(F.substring(g, 1, 118), F.lit("…"))).otherwise(g))
+
+    def template(t: Column) -> Column:
+        ordered = F.array_sort(F.filter(F.map_entries(t["args"]), lambda e: e["key"].rlike("^[0-9]+$")), lambda a, b: a["key"].cast("int") - b["key"].cast("int"))
+        return F.struct(t["name"].alias("n"), F.transform(ordered, lambda e: e["value"]).alias("a"), F.coalesce(F.try_element_at(t["args"], F.lit("t")), F.lit("")).alias("t"))
+
+    return dump.select(
+        F.col("word").alias("w"), F.col("lang_code").alias("l"), F.col("pos").alias("p"), F.col("etymology_number").alias("n"), cut.alias("g"),
+        F.get(F.filter("sounds", lambda s: s["ipa"].isNotNull()), F.lit(0))["ipa"].alias("ipa"), F.transform("etymology_templates", template).alias("et"), F.array_distinct(F.transform("derived", lambda d: d["word"])).alias("dv"),
+    )
+
+
+def rich(dump: DataFrame) -> dict[str, DataFrame]:
+    """Lines of a dump as flat tables: sections, senses with tags and the first year of an example, sounds."""
+    section = dump.select("word", F.col("etymology_number").alias("ety_num"), "pos", F.col("etymology_text").alias("etymology"))
+    years = F.filter(F.transform("x.examples", lambda e: F.regexp_extract(F.coalesce(e["ref"], F.lit("")), r"\b(1[0-9]{3}|20[0-9]{2})\b", 1).try_cast("int")), lambda y: y.isNotNull())
+    sense = dump.select("word", F.col("etymology_number").alias("ety_num"), "pos", F.posexplode("senses").alias("ord", "x")).select(
+        "word", "ety_num", "pos", "ord", F.element_at("x.glosses", -1).alias("gloss"), F.col("x.tags").alias("tags"), F.col("x.topics").alias("topics"),
+        F.get("x.alt_of", F.lit(0))["word"].alias("alt_of"), F.get("x.form_of", F.lit(0))["word"].alias("form_of"), F.array_min(years).alias("attest_year"),
+    )
+    sound = dump.select("word", F.explode("sounds").alias("x")).select("word", "x.ipa", "x.ogg_url", "x.mp3_url", "x.tags")
+    return {"section": section, "sense": sense, "sound": sound}
+
+
+def best_audio(sounds: DataFrame) -> DataFrame:
+    """One recording a word: MP3 before other kinds, American before others, then the first by name."""
+    url = F.coalesce("mp3_url", "ogg_url")
+    score = F.when(F.col("mp3_url").isNotNull(), 2).otherwise(0) + F.when(F.array_contains("tags", "US"), 1).otherwise(0)
+    return sounds.where(url.isNotNull()).groupBy("word").agg(F.min_by(url, F.struct(-F.coalesce(score, F.lit(0)), url)).alias("audio"))
+
+
+def first_letter(word: Column) -> Column:
+    """a to z, else _."""
+    c = F.lower(F.substring(word, 1, 1))
+    return F.when(c.rlike("^[a-z]$"), c).otherwise(F.lit("_"))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Rows with tabs and a header."""
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

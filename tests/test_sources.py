@@ -68,3 +68,26 @@ def test_lines_and_appends(spark, tmp_path):
     assert [tuple(r) for r in shards.read_ranks(spark, str(tmp_path / "r.tsv")).collect()] == [("a", 1)]
     out = str(tmp_path / "log")
     assert [shards.append_new(spark.range(k), out, ["id"]) for k in (3, 5, 5)] == [3, 2, 0]
+
+
+def test_dump(spark, tmp_path):
+    import gzip
+
+    line = {
+        "word": "calm", "lang": "English", "lang_code": "en", "pos": "adj", "etymology_number": 1, "etymology_text": "From French.",
+        "etymology_templates": [{"name": "der", "args": {"1": "en", "2": "fr", "3": "calme", "10": "x", "t": "still"}, "expansion": "calme"}],
+        "senses": [{"glosses": ["still"], "tags": ["UK"], "examples": [{"text": "A calm sea.", "ref": "1719, Defoe"}, {"text": "x", "ref": "from 1650"}]}, {"glosses": ["top", "g" * 130], "form_of": [{"word": "be"}]}],
+        "sounds": [{"ipa": "/kɑm/"}, {"ogg_url": "a.ogg", "tags": ["US"]}, {"mp3_url": "b.mp3"}], "derived": [{"word": "calmly"}, {"word": "calmly"}],
+    }
+    path = str(tmp_path / "dump.jsonl.gz")
+    with gzip.open(path, "wt") as f:
+        f.write(json.dumps(line) + "\nbroken\n")
+    dump = shards.read_lines(spark, path, shards.DUMP)
+    r = shards.slim(dump).collect()
+    assert len(r) == 1 and r[0].w == "calm" and r[0].g == ["still", "g" * 118 + "…"] and r[0].dv == ["calmly"] and r[0].ipa == "/kɑm/"
+    assert [tuple(t) for t in r[0].et] == [("der", ["en", "fr", "calme", "x"], "still")]
+    t = shards.rich(dump)
+    assert [(x.gloss[:5], x.form_of, x.attest_year) for x in t["sense"].orderBy("ord").collect()] == [("still", None, 1650), ("ggggg", "be", None)]
+    assert t["section"].count() == 1 and shards.best_audio(t["sound"]).first()["audio"] == "b.mp3"
+    shards.write_report(t["section"], str(tmp_path / "report"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "report")).count() == 1
