@@ -137,3 +137,64 @@ def split_depth(text: str, separator: str = ",") -> list[str]:
         else:
             part += c
     return [*out, part.strip()]
+
+
+def align(word: str, parts: list[str], joins: dict[str, tuple[str, ...]] | None = None) -> list[str] | None:
+    """The stretches of a word that stand for its parts in order; a part may lose a final
+    vowel or stand in one of its other forms.  None if they don't fit."""
+
+    def forms(p: str) -> list[str]:
+        plain = p.strip("-")
+        return sorted({plain, *((joins or {}).get(plain, ())), *([plain[:-1]] if len(plain) > 2 and plain[-1] in "aeiouy" else [])}, key=lambda f: (-len(f), f))
+
+    def rest(at: int, k: int) -> list[str] | None:
+        if k == len(parts):
+            return [] if at == len(word) else None
+        for f in forms(parts[k]):
+            if word.startswith(f, at):
+                found = rest(at + len(f), k + 1)
+                if found is not None:
+                    return [word[at : at + len(f)], *found]
+        return None
+
+    return rest(0, 0)
+
+
+def chosen(own: list[Piece] | None, curated: list[Piece] | None, word: str, table: tuple[Morpheme, ...] = DEFAULT) -> list[Piece]:
+    """An entry's own analysis, else a curated one that tiles the word, else the engine's if it
+    has a root and nothing unknown, else the whole word."""
+    if own:
+        return own
+    if curated and "".join(p.text for p in curated) == word:
+        return curated
+    parsed = decompose(word, table)
+    good = any(p.kind == "root" for p in parsed) and all(p.kind != "unknown" for p in parsed)
+    return parsed if good else [Piece(word, "word", "")]
+
+
+def rescued(word: str, table: tuple[Morpheme, ...], more: tuple[Morpheme, ...]) -> list[Piece] | None:
+    """A parse with further morphemes where the one without has unknown letters and the one with has none."""
+    bad = any(p.kind == "unknown" for p in decompose(word, table))
+    new = decompose(word, (*table, *more))
+    return new if bad and all(p.kind != "unknown" for p in new) else None
+
+
+def collisions(form: str, words: list[str], table: tuple[Morpheme, ...], added: Morpheme) -> list[tuple[str, str, str]]:
+    """(word, parse before, parse after) of words that a new morpheme would change."""
+    out = []
+    for w in words:
+        if form in w:
+            a, b = ("+".join(p.text for p in decompose(w, t)) for t in (table, (*table, added)))
+            if a != b:
+                out.append((w, a, b))
+    return out
+
+
+def quoted_reading(gloss: str) -> str | None:
+    """What an abbreviation stands for, where the gloss quotes it."""
+    m = re.search(r"[“\"‘]([^”\"’]{3,})[”\"’]", gloss)
+    return m[1] if m else None
+
+
+#: Parts of speech as they are shown.
+PARTS_OF_SPEECH = {"noun": "noun", "verb": "verb", "adj": "adjective", "adv": "adverb", "prep": "preposition", "pron": "pronoun", "conj": "conjunction", "intj": "interjection", "det": "determiner", "num": "numeral", "name": "name", "phrase": "phrase"}

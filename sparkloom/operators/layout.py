@@ -5,7 +5,8 @@ from __future__ import annotations
 from math import cos, log, pi, sin, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MIN_GAP = 0.02
 
@@ -54,3 +55,44 @@ def radial(nodes: DataFrame, spacing: float = 1.0) -> DataFrame:
         return out
 
     return nodes.select("tree", "node", "parent", "year").groupBy("tree").applyInPandas(run, f"tree {kinds['tree']}, node {kinds['node']}, x double, y double")
+
+
+def _packed(region: pd.DataFrame, step: float) -> pd.DataFrame:
+    """Circles (id, r, tie) on a golden-angle spiral, the strongest tie first, none overlapping.
+
+    A grid of cells as wide as the largest circle holds what has been placed.
+    """
+    placed: dict[tuple[int, int], list[tuple[float, float, float]]] = {}
+    cell = 2 * max(region["r"].max(), 1e-9)
+    rows = []
+    for ident, r, _ in sorted(zip(region["id"], region["r"], region["tie"], strict=True), key=lambda x: (-x[2], -x[1], x[0])):
+        k = 0
+        while True:
+            d, a = step * sqrt(k), k * pi * (3 - sqrt(5))
+            x, y = d * cos(a), d * sin(a)
+            cx, cy = int(x // cell), int(y // cell)
+            near = (c for i in (-1, 0, 1) for j in (-1, 0, 1) for c in placed.get((cx + i, cy + j), ()))
+            if all((x - u) ** 2 + (y - v) ** 2 >= (r + s) ** 2 for u, v, s in near):
+                break
+            k += 1
+        placed.setdefault((cx, cy), []).append((x, y, r))
+        rows.append((ident, x, y))
+    return pd.DataFrame(rows, columns=["id", "x", "y"])
+
+
+def packed(circles: DataFrame, step: float = 0.5) -> DataFrame:
+    """(region, id, r, tie) to (region, id, x, y); each circle is placed after those with
+    stronger ties, so a region is one group and of bounded size."""
+    kinds = {c: circles.schema[c].dataType.simpleString() for c in ("region", "id")}
+
+    def run(key, region):
+        out = _packed(region, step)
+        out.insert(0, "region", key[0])
+        return out
+
+    return circles.select("region", "id", "r", "tie").groupBy("region").applyInPandas(run, f"region {kinds['region']}, id {kinds['id']}, x double, y double")
+
+
+def emphasis(size: Column, is_affix: Column, factor: float = 0.28) -> Column:
+    """How large a label stands; affixes are held back."""
+    return F.when(is_affix, size * factor).otherwise(size)
