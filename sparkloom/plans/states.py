@@ -127,3 +127,11 @@ def stream_dedup(spark, sf_dir):
     return streams.run(streams.deduplicated(streams.source(spark, sf_dir)), spark, "dedup", "append")
 
 
+
+
+@query()
+def stream_sm2(spark, sf_dir):
+    """The streaming twin of sm2_fold: each user's last state."""
+    states = streams.run(streams.sm2_states(streams.source(spark, sf_dir)), spark, "sm2", "update")
+    last = states.groupBy("user_id").agg(F.max_by(F.struct("ease", "days", "repetitions"), "n").alias("s"))
+    return last.select("user_id", "s.*")

@@ -49,3 +49,28 @@ def run(stream: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFra
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/*")
+
+
+def sm2_states(events: DataFrame) -> DataFrame:
+    """Spaced-repetition states kept from batch to batch: (user_id, n, ease, days,
+    repetitions) after each batch's events of a user; n counts events so far.
+
+    The state is four numbers a user; a batch's rows of a user are streamed by Spark in
+    frames and put in order before they are folded.
+    """
+    import pandas as pd
+
+    from ..operators.state import sm2
+
+    def run(key, frames, state):
+        n, *s = state.get if state.exists else (0, 2.5, 0, 0)
+        s = tuple(s)
+        rows = pd.concat([f[["ts", "event_id", "event_type"]] for f in frames]).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"]:
+            s = sm2(s, kind != "error")
+            n += 1
+        state.update((n, float(s[0]), int(s[1]), int(s[2])))
+        yield pd.DataFrame([(key[0], n, float(s[0]), int(s[1]), int(s[2]))], columns=["user_id", "n", "ease", "days", "repetitions"])
+
+    out, held = "user_id long, n long, ease double, days long, repetitions long", "n long, ease double, days long, repetitions long"
+    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(run, out, held, "update", "NoTimeout")

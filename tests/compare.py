@@ -5,6 +5,7 @@ import os
 
 import duckdb
 
+EXACT = bool(os.environ.get("COMPARE_EXACT"))  # else floats to nine digits
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,7 +22,7 @@ def connection(sf_dir: str = DATA):
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else float(f"{x:.9g}") + 0.0
+        return "nan" if math.isnan(x) else x + 0.0 if EXACT else float(f"{x:.9g}") + 0.0
     if isinstance(x, list | tuple):
         return tuple(plain(y) for y in x)
     if hasattr(x, "asDict"):

@@ -15,3 +15,8 @@ def test_query(spark, name):
         compare(df, SQL[name])
     else:
         assert df.count() > 0
+
+
+def test_stream_is_batch(spark):
+    batch = {tuple(r) for r in QUERIES["sm2_fold"](spark, DATA).collect()}
+    assert batch == {tuple(r) for r in QUERIES["stream_sm2"](spark, DATA).select("user_id", "ease", "days", "repetitions").collect()}
