@@ -86,3 +86,73 @@ def vetoed(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """First verdicts that a second opinion, where there is one, doesn't contradict."""
     no = second.select(F.col(key), F.col("verdict").alias("_second"))
     return first.join(no, key, "left").where(F.col("_second").isNull() | (F.col("_second") == F.col("verdict"))).drop("_second")
+
+
+def resolve_pointers(pointers: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """(word, target) to (word, canonical): words that point to one another are a cluster, and
+    the one that comes first in `order`, over `word`, is canonical; it isn't listed itself."""
+    from .components import connected_components
+
+    c = connected_components(pointers.select(F.col("word").alias("a"), F.col("target").alias("b"))).withColumnRenamed("node", "word")
+    top = c.groupBy("component").agg(F.min_by("word", F.struct(*order, F.col("word"))).alias("canonical"))
+    return c.join(top, "component").where("word <> canonical").select("word", "canonical")
+
+
+def sense_clusters(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, a, b) of similar senses to (keys, ord, cluster): clusters within each key, named by
+    their least member.  Components of all keys are found at once."""
+    from .components import connected_components
+
+    ident = lambda c: F.struct(*keys, F.col(c).alias("ord"))
+    c = connected_components(pairs.select(ident("a").alias("a"), ident("b").alias("b")))
+    return c.select(*(F.col("node")[k].alias(k) for k in keys), F.col("node")["ord"].alias("ord"), F.col("component")["ord"].alias("cluster"))
+
+
+def repair_pointers(pointers: DataFrame, words: DataFrame, told: Column, named: Column) -> DataFrame:
+    """(word, target, ...) with `verdict` and `target`: keep where the gloss tells of the target
+    (`told`), retarget to what the gloss names where that is a word, else remove."""
+    w = words.select(F.col("word").alias("_known")).distinct()
+    j = pointers.withColumn("_named", named).join(w, F.col("_named") == F.col("_known"), "left")
+    verdict = F.when(told, "keep").when(F.col("_known").isNotNull() & (F.col("_known") != F.col("word")), "retarget").otherwise("remove")
+    j = j.withColumn("verdict", verdict)
+    return j.withColumn("target", F.when(F.col("verdict") == "retarget", F.col("_known")).otherwise(F.col("target"))).drop("_named", "_known")
+
+
+def override(existing: DataFrame, curated: DataFrame) -> DataFrame:
+    """(word, pieces) twice, pieces an array of (s, ...): a diff of curated analyses whose pieces
+    join to the word and differ from what is there."""
+    joined = F.array_join(F.transform("pieces", lambda p: p["s"]), "")
+    good = curated.where(joined == F.col("word"))
+    there = existing.select("word", F.to_json("pieces").alias("_old"))
+    return good.join(there, "word", "left").where(F.col("_old").isNull() | (F.col("_old") != F.to_json("pieces"))).drop("_old")
+
+
+def untruncated(base: DataFrame, donor: DataFrame, key: str, column: str) -> DataFrame:
+    """A diff: rows whose text is cut off, that is, the donor's begins with it but for an ellipsis and is longer."""
+    d = donor.select(F.col(key).alias("_k"), F.col(column).alias("_new"))
+    stub = F.rtrim(F.regexp_replace(F.col(column), "(…|\\.\\.\\.)$", ""))
+    longer = F.startswith(F.col("_new"), stub) & (F.length("_new") > F.length(column)) & (F.length(stub) >= 10)
+    j = base.join(d, F.col(key) == F.col("_k")).where(longer)
+    return j.select(*(F.col("_new").alias(c) if c == column else F.col(c) for c in base.columns))
+
+
+def split_merge(base: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(word, parts) twice, arrays: a diff in which parses of several parts replace what is
+    there, and single ones only fill gaps."""
+    j = parsed.join(base.select("word", F.col("parts").alias("_old")), "word", "left")
+    take = ((F.size("parts") > 1) & ~F.col("parts").eqNullSafe(F.col("_old"))) | F.col("_old").isNull() | (F.size("_old") == 0)
+    return j.where(take).select("word", "parts")
+
+
+def relabelled(tokens: DataFrame, compounds: DataFrame) -> DataFrame:
+    """(…, token, kind) with kind `compound` for names that are compounds (word) of the vocabulary."""
+    c = compounds.select(F.col("word").alias("_c"), F.lit(True).alias("_is")).distinct()
+    j = tokens.join(c, F.lower("token") == F.col("_c"), "left")
+    return j.withColumn("kind", F.when((F.col("kind") == "name") & F.col("_is"), "compound").otherwise(F.col("kind"))).drop("_c", "_is")
+
+
+def to_embed(words: DataFrame, done: DataFrame, cached: DataFrame) -> DataFrame:
+    """(word, gloss) to the distinct glosses (hash, gloss) still to be embedded: of words that
+    aren't done, without those whose hash is cached."""
+    todo = words.join(done.select("word"), "word", "left_anti").select(F.sha1(F.col("gloss").cast("binary")).alias("hash"), "gloss").dropDuplicates(["hash"])
+    return todo.join(cached.select("hash"), "hash", "left_anti")
