@@ -41,8 +41,8 @@ STAGES = [
     ("mixing", source_mixing),
 ]
 
-#: Removal of substrings over a corpus that near-duplicate components have thinned
-#: isn't put in SQL; tests/llm holds run() against a plain re-computation.
+#: Cutting bytes can cut a character in two, and DuckDB's SQL has no decoding that drops
+#: the rest of one; tests/llm holds run() against a plain re-computation.
 ORACLE_SQL = None
 
 
