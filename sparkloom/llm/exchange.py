@@ -9,9 +9,11 @@ hashes; their numbers grow with the input, so that either fits a task.
 
 from __future__ import annotations
 
+import ctypes
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 
 
+def lean() -> None:
+    """Lets a worker give large arrays back to the system as soon as they are freed.
+
+    Workers are reused and idle ones stay, so what their allocators keep adds up.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, and no longer adapted
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

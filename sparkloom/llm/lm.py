@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import block, cuts, doc_long, pack, parts, shard_of, small, text_bytes, unpack, unsmall
+from .exchange import block, cuts, doc_long, lean, pack, parts, shard_of, small, text_bytes, unpack, unsmall
 from .neardup import _MIX, _mixed
 
 MU, DISCOUNT = 1000.0, 0.5
@@ -103,6 +103,7 @@ def score(docs: DataFrame, held_out, mu: float = MU, block_bytes: int = 8_000_00
         return Block((x.as_py() for x in t.column("text")), ~np.asarray(t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)).astype(bool))
 
     def ask(key, t):
+        lean()
         b = made(t)
         w, p = cuts(b.words, n_shards), cuts(b.pairs, n_shards)
         data = [pack(np.frombuffer(small(b.word_n[w[k] : w[k + 1]]), np.uint8), b.words[w[k] : w[k + 1]], np.frombuffer(small(b.pair_n[p[k] : p[k + 1]]), np.uint8), b.pairs[p[k] : p[k + 1]]) for k in range(n_shards)]
@@ -116,6 +117,7 @@ def score(docs: DataFrame, held_out, mu: float = MU, block_bytes: int = 8_000_00
         return n, np.split(n[at], ends)
 
     def answer(key, t):
+        lean()
         got = [unpack(x.as_py(), np.uint8, np.uint64, np.uint8, np.uint64) for x in t.column("data")]
         word_n, for_words = sums([g[1] for g in got], [unsmall(g[0].tobytes()) for g in got])
         _, for_pairs = sums([g[3] for g in got], [unsmall(g[2].tobytes()) for g in got])
@@ -134,6 +136,7 @@ def score(docs: DataFrame, held_out, mu: float = MU, block_bytes: int = 8_000_00
         return pa.table({"block": t.column("block").combine_chunks(), "shard": t.column("shard").combine_chunks(), "words": pa.array([n_words] * rows, pa.int64()), "kinds": pa.array([n_kinds] * rows, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def finish(key, t, answers):
+        lean()
         b = made(t)
         a = answers.sort_by("shard")
         got = [unpack(x.as_py(), np.uint8, np.uint8) for x in a.column("data")]

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from .exchange import lean
 from .shared import stash
 
 SHINGLE = 5
@@ -117,6 +118,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, print, registers, parities) of every row of docs; print is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import NO_ID, block, block_of, cuts, doc_long, pack, parts, shard_of, text_bytes, unpack
+from .exchange import NO_ID, block, block_of, cuts, doc_long, lean, pack, parts, shard_of, text_bytes, unpack
 from .neardup import _mixed
 from .shared import stash
 
@@ -260,11 +260,12 @@ def _table(rows, names=("block", "kind", "data")) -> pa.Table:
 def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000, shard_bytes: int = 6_000_000, piece_bytes: int = 1_000_000) -> tuple[DataFrame, int, DataFrame]:
     """The texts by block and, packed by block, the spans to remove: (docs, number of blocks, spans)."""
     total = text_bytes(docs)
-    n_blocks, n_shards = parts(total, block_bytes), parts(total, shard_bytes)
+    n_blocks, n_shards, n_cores = parts(total, block_bytes), parts(total, shard_bytes), parts(total, shard_bytes // 4)
     wide, half = length - K, (length - K + 1) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors to shards; what a batch alone shows to be repeated goes along."""
+        lean()
         n = 0
         held: list[tuple] = []
         size = 0
@@ -302,6 +303,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
 
     def settle(key, t):
         """Of a shard of anchors: spans of later copies, and the surroundings that differ."""
+        lean()
         got = [unpack(x.as_py(), *_KINDS, *_SPANS) for x in t.column("data")]
         h, c, doc, place, left, right = (np.concatenate([g[k] for g in got]) for k in range(6))
         by = np.argsort(h, kind="stable")
@@ -327,6 +329,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
 
     def cut(key, texts, asked):
         """The pieces around the anchors asked for, by the shard of what they have in common."""
+        lean()
         of = {d: x for d, x in zip(texts.column("doc").to_pylist(), texts.column("text").to_pylist(), strict=True)}
         got = [unpack(x.as_py(), np.uint64, np.int64, np.uint32) for x in asked.column("data")]
         out: dict[int, list] = {}
@@ -341,7 +344,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
                         lo, hi = max(lo, 0), min(hi, len(data))
                         if hi - lo >= length:
                             core = xxhash.xxh3_64_intdigest(data[a:z])
-                            out.setdefault(core * n_shards >> 64, []).append((core, doc, lo, data[lo:hi]))
+                            out.setdefault(core * n_cores >> 64, []).append((core, doc, lo, data[lo:hi]))
         rows = []
         for k, x in out.items():
             sizes = np.array([len(p[3]) for p in x], np.uint16)
@@ -350,6 +353,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
 
     def compare(key, t):
         """Suffix arrays over the pieces that share their core."""
+        lean()
         cores, docs_, starts, pieces = [], [], [], []
         for x in t.column("data"):
             core, doc, start, sizes, data = unpack(x.as_py(), np.uint64, np.int64, np.uint32, np.uint16, np.uint8)
@@ -403,11 +407,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
     return d, n_blocks, found.where("kind = 0").unionByName(more).select("block", "data")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **sizes) -> DataFrame:
     """Takes doc_id (a whole number) and text.
 
     Returns a row per row of docs: doc (doc_id; NO_ID for null), n_bytes,
-    n_removed, n_spans (maximal removed runs) and kept (binary, the other bytes).
+    n_removed, n_spans (maximal removed runs) and kept (binary, the other bytes; with
+    as_text a string, without the rests of characters that were cut in two).
 
     Null or empty text: 0 bytes.  A null id comes before all others.  Rows that
     repeat an id are judged as one document: none is a repeat of the other.
@@ -416,6 +421,7 @@ def remove(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
     d, _, spans = repeats(docs, length, **sizes)
 
     def finish(key, texts, found):
+        lean()
         got = [unpack(x.as_py(), *_SPANS) for x in found.column("data")]
         if got:
             doc, start, end = _merged(*(np.concatenate([g[k] for g in got]) for k in range(3)))
@@ -433,24 +439,19 @@ def remove(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
                     at = e
                     n += 1
             kept = b"".join([*parts_, data[at:]])
-            rows.append((ident, len(data), len(data) - len(kept), n, kept))
-        kinds = {"doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+            rows.append((ident, len(data), len(data) - len(kept), n, kept.decode("utf-8", "ignore") if as_text else kept))
+        kinds = {"doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary()}
         return pa.table({x: pa.array([r[k] for r in rows], t) for k, (x, t) in enumerate(kinds.items())})
 
-    return d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def rewritten(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
     """docs, all columns, with repeats cut from text (characters cut in two go as a
     whole) and n_chars, if there is such a column, counted anew.  Rows whose text
     has no repeat are untouched."""
-    cut = remove(docs.select("doc_id", "text"), length, **sizes).where("n_removed > 0")
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], ["__doc", "__text"])
-
-    changed = stash(cut.select("doc", "kept").mapInArrow(decode, "__doc long, __text string"), "cut").dropDuplicates(["__doc"])
+    cut = remove(docs.select("doc_id", "text"), length, True, **sizes).where("n_removed > 0")
+    changed = stash(cut.select(F.col("doc").alias("__doc"), F.col("kept").alias("__text")), "cut").dropDuplicates(["__doc"])
     out = docs.join(changed, doc_long() == changed["__doc"], "left")
     new = changed["__text"]
     columns = []
