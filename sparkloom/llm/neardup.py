@@ -200,8 +200,12 @@ def across(members: DataFrame, percent: int, least: float) -> DataFrame:
 
     def pairs(rep, comp, n, regs, odd) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = 128
+        by = np.argsort(comp, kind="stable")
+        rep, comp, n, regs, odd = (x[by] for x in (rep, comp, n, regs, odd))
         for i in range(0, len(rep), step):
             for j in range(i, len(rep), step):
+                if comp[i] == comp[min(j + step, len(rep)) - 1]:
+                    continue  # one component, as they are in order
                 p, q = np.nonzero(comp[i : i + step, None] != comp[None, j : j + step])
                 if i == j:
                     p, q = p[p < q], q[p < q]
