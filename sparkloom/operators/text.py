@@ -48,6 +48,11 @@ def shingle_sets(docs: DataFrame, span: int = 5) -> DataFrame:
     return w.select("id", F.array_distinct(F.transform(starts, lambda s: F.xxhash64(F.array_join(F.slice("_w", s, F.lit(span)), " ")))).alias("elements"))
 
 
+def set_print(elements: Column) -> Column:
+    """128 bits that stand for a sorted array."""
+    return F.struct(F.xxhash64(elements).alias("a"), F.xxhash64(F.reverse(elements), F.size(elements)).alias("b"))
+
+
 def set_join(sets: DataFrame, percent: int = 80) -> DataFrame:
     """(id, elements) to (a, b, common): pairs of representatives with 100 * common >= percent * union.
 
@@ -57,12 +62,15 @@ def set_join(sets: DataFrame, percent: int = 80) -> DataFrame:
     so the frequent ones hardly ever stand in a prefix.
     """
     keyed = sets.select("id", F.array_sort("elements").alias("elements"))
-    reps = stash(keyed.groupBy("elements").agg(F.min("id").alias("id")), "sets")
-    count = reps.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
-    each = reps.select("id", F.size("elements").alias("size"), F.explode("elements").alias("e")).join(count, "e", "left")
-    ranked = each.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "e"))).alias("o"))
+    by_print = keyed.groupBy(set_print(F.col("elements")).alias("_p"))
+    reps = stash(by_print.agg(F.min_by(F.struct("id", "elements"), "id").alias("s")).select("s.*"), "sets")
+    each = reps.select("id", F.size("elements").alias("size"), F.explode("elements").alias("e"))
+    count = each.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
+    # elements of one set alone stand first in its order and find nothing: only shared ones are kept
+    shared = each.join(count, "e").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("o"))
     keep = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
-    heads = ranked.select("id", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("h")).where("h.n > 1").select("id", "size", F.col("h.e").alias("e"))
+    rest = F.greatest(F.lit(0), keep - (F.col("size") - F.size("o")))
+    heads = shared.select("id", "size", F.explode(F.slice("o", F.lit(1), rest)).alias("h")).select("id", "size", F.col("h.e").alias("e"))
     one, two = (heads.select(F.col("id").alias(i), F.col("size").alias(s), "e") for i, s in (("a", "sa"), ("b", "sb")))
     near = one.join(two, "e").where((F.col("a") < F.col("b")) & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b").distinct()
     full = near.join(reps.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
