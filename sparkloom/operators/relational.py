@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
+
 
 def missing_relation(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """Rows of left without a partner (NOT EXISTS)."""
@@ -85,9 +87,10 @@ def first_class(rules: Sequence[tuple[str, Column]], otherwise: str) -> Column:
 def bands(df: DataFrame, order: Sequence[Column], size: int, buckets: int = 64) -> DataFrame:
     """df with `band`: its place in the order, from 0, divided by size.
 
-    Range partitions are counted first, so that no task sorts everything.
+    Range partitions are counted first, so that no task sorts everything.  They are
+    written with their numbers: dealt anew, their borders could be others.
     """
-    dealt = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    dealt = stash(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     placed = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")
