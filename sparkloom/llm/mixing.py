@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import word_count
+from .shared import stash, word_count
 
 Knots = Sequence[tuple[float, float]]
 
@@ -94,8 +94,10 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float =
     held = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), held.alias("held"), *row)
+    if not carry:
+        sized = stash(sized, "sized")  # texts are read once
     sized = sized.withColumn("cell", F.substring("key", 1, 3)).repartition("held", "cell")
-    cells = sized.groupBy("held", "cell").agg(F.max("source").alias("cell_source"), F.sum("size").alias("cell_size"))
+    cells = stash(sized.groupBy("held", "cell").agg(F.max("source").alias("cell_source"), F.sum("size").alias("cell_size")), "cells")
     offset = F.sum("cell_size").over(Window.partitionBy("held").orderBy("cell")) - F.col("cell_size")
     goals = targets(cells.groupBy("held").agg(F.max("cell_source").alias("source"), F.sum("cell_size").alias("source_size")).drop("held"), schedules, share, max_passes)
     goals = goals.withColumn("held", held).drop("source")
