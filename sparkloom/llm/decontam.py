@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index holds postings (document, term, position) of training tokens.  For
-every window of a benchmark item the postings of its rarest terms, by their
+The index is written once, as the terms of each document in order: a posting is
+(document, position, term).  For every window of a benchmark item the postings of its rarest terms, by their
 counts over all documents, are read first; a posting at `position` of the term
 at `place` in the item says that the item would start at position - place, and
 lists agree where this offset is the same.  Offsets on which the rarest terms
@@ -9,7 +9,7 @@ agree are intersected with the lists of all other terms, in the documents
 concerned; runs of adjacent places are the exact phrases.  DataFrame functions
 only.
 
-Scale: postings of frequent terms are never joined with all documents; the
+Scale: texts are read and cut once; postings of frequent terms are never joined with all documents; the
 benchmark's term lists are broadcast only below a checked number of rows.
 """
 
@@ -42,9 +42,14 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return named.select("item", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("terms")).where(F.size("terms") > 0)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc, position, term) of every word of docs, which has doc_id and text."""
-    return docs.select(doc_key().alias("doc"), F.posexplode(words(F.col("text"))).alias("position", "term"))
+def index(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, terms) of every row of docs (doc_id, text), written; null text: null."""
+    return stash(docs.select("doc_id", doc_key().alias("doc"), words(F.col("text")).alias("terms")), "index")
+
+
+def postings(index_: DataFrame) -> DataFrame:
+    """(doc, position, term) of every word of an index."""
+    return index_.select("doc", F.posexplode("terms").alias("position", "term"))
 
 
 def doc_key() -> F.Column:
@@ -52,10 +57,10 @@ def doc_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def term_counts(index_: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n) over all documents, for the terms given; summed before the shuffle."""
     near = _small(terms, BROADCAST_TERMS)
-    all_words = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    all_words = index_.select(F.explode("terms").alias("term"))
     if near is terms:
         return all_words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
     return all_words.join(near, "term").groupBy("term").agg(F.count("*").alias("n"))
@@ -77,28 +82,27 @@ def rarest(items: DataFrame, counts: DataFrame, window: int, probes: int) -> Dat
     return chosen.select("item", "place", "term", F.least(F.lit(probes), F.col("length")).alias("need")).distinct()
 
 
-def offsets(docs: DataFrame, items: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
+def offsets(index_: DataFrame, items: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
     """(doc, item, offset) on which the lists of an item's rarest terms agree."""
     items = stash(items, "items")
     terms = items.select(F.explode("terms").alias("term")).distinct()
-    counts = stash(term_counts(docs, terms), "counts")
+    counts = stash(term_counts(index_, terms), "counts")
     anchors = stash(rarest(items, counts, window, probes), "anchors")
-    hits = postings(docs).join(_small(anchors, BROADCAST_TERMS), "term")
+    hits = postings(index_).join(_small(anchors, BROADCAST_TERMS), "term")
     hits = hits.select("doc", "item", (F.col("position") - F.col("place")).alias("offset"), "place", "need")
     agreed = hits.groupBy("doc", "item", "offset").agg(F.count("*").alias("n"), F.max("need").alias("need"))
     return agreed.where(F.col("n") >= F.col("need")).select("doc", "item", "offset")
 
 
-def phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
+def phrases(index_: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
     """Exact phrases: (doc, item_id, start, length), maximal runs of at least
     `window` words (or a whole shorter item) that a document shares with an item;
     `start` counts the document's words from 0, `doc` is doc_key()."""
     items = stash(items_of(benchmark), "items")
-    found = stash(offsets(docs, items, window, probes), "offsets")
+    found = stash(offsets(index_, items, window, probes), "offsets")
     wanted = found.join(items, "item").select("doc", "item", "item_id", "offset", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
     wanted = wanted.withColumn("position", F.col("offset") + F.col("place"))
-    keyed = docs.select("doc_id", "text", doc_key().alias("doc_"))
-    concerned = keyed.join(found.select(F.col("doc").alias("doc_")).distinct(), "doc_", "left_semi")
+    concerned = index_.join(found.select("doc").distinct(), "doc", "left_semi")
     lists = postings(concerned).distinct()
     same = lists.join(wanted, ["doc", "position", "term"])
     run = Window.partitionBy("doc", "item", "offset").orderBy("place")
@@ -111,12 +115,12 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 5, share: floa
     """Proximity matches: (doc, item_id, at, n_places): of an item's rarest places at
     least `share` occur in the document, in offsets that differ by less than
     2 * slack from a common one - reworded or cut passages.  `at` is about where."""
-    items = stash(items_of(benchmark), "items")
+    items, index_ = stash(items_of(benchmark), "items"), index(docs)
     terms = items.select(F.explode("terms").alias("term")).distinct()
-    counts = stash(term_counts(docs, terms), "counts")
+    counts = stash(term_counts(index_, terms), "counts")
     anchors = stash(rarest(items, counts, window, probes), "anchors")
     of_item = anchors.groupBy("item").agg(F.countDistinct("place").alias("of"))
-    hits = postings(docs).join(_small(anchors, BROADCAST_TERMS), "term").withColumn("offset", F.col("position") - F.col("place"))
+    hits = postings(index_).join(_small(anchors, BROADCAST_TERMS), "term").withColumn("offset", F.col("position") - F.col("place"))
     # every offset falls into two overlapping bands, so that close ones share one
     hits = hits.withColumn("band", F.explode(F.array(F.floor(F.col("offset") / (2 * slack)), F.floor((F.col("offset") + slack) / (2 * slack)) + F.lit(0.5))))
     near = hits.groupBy("doc", "item", "band").agg(F.countDistinct("place").alias("n_places"), F.min("offset").alias("at"))
@@ -135,12 +139,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
     Repeated documents: a row each, with the same figures.  Repeated items count
     once; items that share an id count as one.  A null id of an item is ''.
     """
-    found = stash(phrases(docs, benchmark, window, probes), "phrases")
+    index_ = index(docs)
+    found = stash(phrases(index_, benchmark, window, probes), "phrases")
     covered = found.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).distinct()
     n_hit = covered.groupBy("doc").agg(F.count("*").alias("n_hit"))
     which = found.groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     verdict = stash(n_hit.join(which, "doc"), "verdict").withColumnRenamed("doc", "doc_")
-    counted = docs.select("doc_id", doc_key().alias("doc_"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
+    n_words = F.when(F.col("terms").isNotNull(), F.size("terms")).otherwise(0).cast("long")
+    counted = index_.select("doc_id", F.col("doc").alias("doc_"), n_words.alias("n_words"))
     out = counted.join(verdict, "doc_", "left")
     none = F.array().cast("array<string>")
     return out.select("doc_id", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
@@ -148,5 +154,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
     """The rows of docs, all columns, that hold no window of any item."""
-    found = stash(phrases(docs, benchmark, window, probes).select(F.col("doc").alias("__doc")).distinct(), "leaks")
+    found = stash(phrases(index(docs), benchmark, window, probes).select(F.col("doc").alias("__doc")).distinct(), "leaks")
     return docs.join(found, doc_key() == found["__doc"], "left_anti")
