@@ -257,8 +257,23 @@ def _table(rows, names=("block", "kind", "data")) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with __row, a long that no two rows share, in the order of ids.
+
+    It is the id (NO_ID for null) if none occurs twice.  Else rows are written in the
+    order of id and the text's hash and numbered; rows alike in both come in any order.
+    """
+    out = docs.withColumn("__row", doc_long())
+    if out.groupBy("__row").count().where("count > 1").isEmpty():
+        return out
+    n = parts(text_bytes(docs), 16_000_000)
+    out = out.withColumn("__sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("__tie", F.monotonically_increasing_id())
+    out = out.repartitionByRange(n, "__row", "__sha", "__tie").sortWithinPartitions("__row", "__sha", "__tie")
+    return stash(out.drop("__sha", "__tie").withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000, shard_bytes: int = 6_000_000, piece_bytes: int = 1_000_000) -> tuple[DataFrame, int, DataFrame]:
-    """The texts by block and, packed by block, the spans to remove: (docs, number of blocks, spans)."""
+    """Of rowed() docs, the texts by block and, packed by block, the spans to remove: (docs, number of blocks, spans)."""
     total = text_bytes(docs)
     n_blocks, n_shards, n_cores = parts(total, block_bytes), parts(total, shard_bytes), parts(total, shard_bytes // 4)
     wide, half = length - K, (length - K + 1) // 2
@@ -398,11 +413,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
         doc_, lo, hi = _merged(*(np.concatenate([s[k] for s in spans]) for k in range(3)))
         return _table(_rows(block_of(doc_, n_blocks), 0, doc_, lo.astype(np.uint32), hi.astype(np.uint32)))
 
-    d = docs.select(doc_long().alias("doc"), "text")
-    found = d.mapInArrow(find, "shard int, data binary").groupBy("shard").applyInArrow(settle, "block int, kind int, data binary")
+    d = docs.select(F.col("__row").alias("doc"), "text", doc_long().alias("id"))
+    found = d.select("doc", "text").mapInArrow(find, "shard int, data binary").groupBy("shard").applyInArrow(settle, "block int, kind int, data binary")
     found = stash(found, "spans")
     d = d.withColumn("block", block(F.col("doc"), n_blocks))
-    pieces = d.groupBy("block").cogroup(found.where("kind = 1").groupBy("block")).applyInArrow(cut, "shard int, data binary")
+    pieces = d.select("block", "doc", "text").groupBy("block").cogroup(found.where("kind = 1").groupBy("block")).applyInArrow(cut, "shard int, data binary")
     more = pieces.groupBy("shard").applyInArrow(compare, "block int, kind int, data binary")
     return d, n_blocks, found.where("kind = 0").unionByName(more).select("block", "data")
 
@@ -415,9 +430,14 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **sizes
     as_text a string, without the rests of characters that were cut in two).
 
     Null or empty text: 0 bytes.  A null id comes before all others.  Rows that
-    repeat an id are judged as one document: none is a repeat of the other.
+    repeat an id are documents of their own, in the order of their texts' SHA-256.
     No rows: no rows.
     """
+    return _removed(rowed(docs.select("doc_id", "text")), length, as_text, **sizes).drop("row")
+
+
+def _removed(docs: DataFrame, length: int, as_text: bool, **sizes) -> DataFrame:
+    """remove() of rowed() docs, and the row."""
     d, _, spans = repeats(docs, length, **sizes)
 
     def finish(key, texts, found):
@@ -428,9 +448,9 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **sizes
         else:
             doc, start, end = (np.zeros(0, np.int64),) * 3
         rows: list[tuple] = []
-        for ident, text in zip(texts.column("doc").to_pylist(), texts.column("text"), strict=True):
+        for row, ident, text in zip(texts.column("doc").to_pylist(), texts.column("id").to_pylist(), texts.column("text"), strict=True):
             data = (text.as_py() or "").encode()
-            a, z = np.searchsorted(doc, ident), np.searchsorted(doc, ident, "right")
+            a, z = np.searchsorted(doc, row), np.searchsorted(doc, row, "right")
             at, parts_, n = 0, [], 0
             for s, e in zip(start[a:z].tolist(), end[a:z].tolist(), strict=True):
                 e = min(e, len(data))
@@ -439,29 +459,30 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **sizes
                     at = e
                     n += 1
             kept = b"".join([*parts_, data[at:]])
-            rows.append((ident, len(data), len(data) - len(kept), n, kept.decode("utf-8", "ignore") if as_text else kept))
-        kinds = {"doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary()}
+            rows.append((row, ident, len(data), len(data) - len(kept), n, kept.decode("utf-8", "ignore") if as_text else kept))
+        kinds = {"row": pa.int64(), "doc": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string() if as_text else pa.binary()}
         return pa.table({x: pa.array([r[k] for r in rows], t) for k, (x, t) in enumerate(kinds.items())})
 
-    return d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(finish, f"row long, doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def rewritten(docs: DataFrame, length: int = LENGTH, **sizes) -> DataFrame:
     """docs, all columns, with repeats cut from text (characters cut in two go as a
     whole) and n_chars, if there is such a column, counted anew.  Rows whose text
     has no repeat are untouched."""
-    cut = remove(docs.select("doc_id", "text"), length, True, **sizes).where("n_removed > 0")
-    changed = stash(cut.select(F.col("doc").alias("__doc"), F.col("kept").alias("__text")), "cut").dropDuplicates(["__doc"])
-    out = docs.join(changed, doc_long() == changed["__doc"], "left")
-    new = changed["__text"]
+    rows = rowed(docs)
+    cut = _removed(rows.select("__row", "doc_id", "text"), length, True, **sizes).where("n_removed > 0")
+    changed = stash(cut.select(F.col("row").alias("__changed"), F.col("kept").alias("__new")), "cut")
+    out = rows.join(changed, rows["__row"] == changed["__changed"], "left")
+    new = changed["__new"]
     columns = []
     for c in docs.columns:
         if c.lower() == "text":
-            columns.append(F.coalesce(new, docs[c]).alias(c))
+            columns.append(F.coalesce(new, rows[c]).alias(c))
         elif c.lower() == "n_chars":
-            columns.append(F.when(new.isNotNull(), F.char_length(new)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(new.isNotNull(), F.char_length(new)).otherwise(rows[c]).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(docs[c])
+            columns.append(rows[c])
     return out.select(*columns)
 
 

@@ -1,8 +1,12 @@
 """Inputs on which less than the whole job shows."""
 
+import hashlib
+import random
+
 import brute
 
 import corpus_pipeline
+from sparkloom.llm import suffixdedup
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -18,3 +22,19 @@ def test_stage_threshold(spark):
     assert gone == {1, 31}
     got = STAGES["near duplicates"](spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r.doc_id for r in got.collect()} == {i for i, _ in docs} - gone
+
+
+def test_rows_of_one_id(spark):
+    """Rows without ids, rows with different texts under one id and equal rows keep to their own texts."""
+    r = random.Random(4)
+    some = lambda n: " ".join(f"w{r.randrange(10_000)}" for _ in range(n))
+    passage, base, twice = some(40), some(80), some(60)
+    docs = [(None, some(30)), (None, f"{some(20)} {passage} {some(20)}"), (None, f"{passage} {some(10)}"), (None, None), (1, base), (1, f"{some(30)} {base[50:300]}"), (2, some(90)), (3, twice), (3, twice), (3, some(25)), (4, passage)]
+    key = lambda i, t, k: (-(2**63) if i is None else i, hashlib.sha256(t.encode()).hexdigest() if t is not None else "", k)
+    keyed = [(key(i, t, k), t) for k, (i, t) in enumerate(docs)]
+    want = brute.remove_repeats(keyed)
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, row string").repartition(3)
+    got = suffixdedup.remove(frame, block_bytes=500, shard_bytes=500, piece_bytes=200).collect()
+    assert sorted((x.doc, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got) == sorted((k[0], *w) for k, w in want.items())
+    out = STAGES["suffix array"](spark, frame, "").collect()
+    assert sorted((x.doc_id or 0, hashlib.sha256((x.text or "").encode()).hexdigest()) for x in out) == sorted((docs[k[2]][0] or 0, w[3]) for k, w in want.items())
