@@ -4,8 +4,7 @@ A page is cut into text nodes, each with its path of tags (with class and id)
 from the root.  Text length and punctuation are summed by path and divided by
 the path's number of nodes; the two ratios, smoothed over neighbouring paths in
 page order and fused by their product, are held against a threshold.  The
-smallest element that holds the paths above it, weighed by text, is the
-article; what a page declares as something else inside it (menus, adverts,
+smallest container that holds all blocks of the paths above it is the article; what a page declares as something else inside it (menus, adverts,
 forms, comments ...) is left out.  Pages are taken one by one, in Arrow batches.
 """
 
@@ -32,6 +31,8 @@ CLOSES = {
 }
 #: Elements above which a start tag closes nothing.
 SCOPE = frozenset("html body article aside blockquote button caption details dialog div fieldset figure footer form header main menu nav object ol section table td th ul".split())
+#: Elements that can be an article's root; others are parts of one.
+CONTAINERS = frozenset("html body main article div center td".split())
 #: Words of a class, id or role that say what an element is.
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments discussion disqus reply replies respond cookie cookies consent notice gdpr popup modal newsletter subscribe signup login share sharing social related recommended widget pagination pager search toolbar contentinfo complementary".split()
@@ -52,7 +53,7 @@ class Node:
 
     def __init__(self, tag: str, attributes: str, number: int):
         named = " ".join(x or y or z for _, x, y, z in _NAMED.findall(attributes)).lower() if "=" in attributes else ""
-        self.tag, self.label, self.number = tag, f"{tag}.{named}" if named else tag, number
+        self.tag, self.label, self.number = tag, f"{tag}.{named}".replace("/", " ") if named else tag, number
         words = set(_WORDS.split(named)) if named else ()
         self.other = tag in OTHER or bool(words and words & OTHER_WORDS) and tag not in ("html", "body", "article", "main")
 
@@ -142,23 +143,25 @@ def main_text(html: str | None, threshold: float = 0.5) -> str:
     score = scores(blocks)
     best = max(score.values())
     content = [b for b in own if score[b[1]] >= threshold * best]
-    # the deepest element that holds nearly all the text of content paths
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for text, _, numbers, _ in content:
-        for d, x in enumerate(numbers):
-            weight[x] = weight.get(x, 0) + len(text)
-            depth[x] = d
     total = sum(len(b[0]) for b in content)
-    holders = [x for x, w in weight.items() if w >= 0.9 * total]
     marked = _declared(own, total)
-    root = marked if marked is not None else max(holders, key=lambda x: depth[x], default=None)
+    root = marked if marked is not None else _common(content)
     inside = [b for b in own if root is None or root in b[2]]
-    if root is not None and len(content) == 1 and marked is None:
-        inside = content
     return "\n\n".join(b[0] for b in inside)
 
 
+def _common(content: list[tuple[str, str, tuple[int, ...], bool]]) -> int | None:
+    """The number of the deepest container that holds all blocks, if there is one."""
+    root = None
+    for tier in zip(*(b[2] for b in content), strict=False):
+        if len(set(tier)) > 1:
+            break
+        root = tier[0]
+    _, path, numbers, _ = content[0]
+    above = zip(path.split("/"), numbers[: numbers.index(root) + 1], strict=False) if root is not None else ()
+    return max((x for label, x in above if label.split(".")[0] in CONTAINERS), default=None)
+
+
 def _declared(own: list[tuple[str, str, tuple[int, ...], bool]], total: int) -> int | None:
     """The number of the one <article> or <main> that holds most of the text, if there is one."""
     held: dict[int, int] = {}

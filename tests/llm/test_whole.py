@@ -6,7 +6,7 @@ import random
 import brute
 
 import corpus_pipeline
-from sparkloom.llm import suffixdedup
+from sparkloom.llm import htmltext, suffixdedup
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -38,3 +38,18 @@ def test_rows_of_one_id(spark):
     assert sorted((x.doc, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got) == sorted((k[0], *w) for k, w in want.items())
     out = STAGES["suffix array"](spark, frame, "").collect()
     assert sorted((x.doc_id or 0, hashlib.sha256((x.text or "").encode()).hexdigest()) for x in out) == sorted((docs[k[2]][0] or 0, w[3]) for k, w in want.items())
+
+
+def test_skewed_paragraphs():
+    """Pages without <article>: nothing of the article goes because another part of it is long."""
+    long_, short = "A long sentence, of some words; it goes on. " * 200, "A short sentence, of few words. " * 15
+    long_, short = long_.strip(), short.strip()
+    nav = "<nav><a href=x>Home</a></nav>"
+    for page in (
+        f"<body>{nav}<div><p>{long_}</p><p>{short}</p></div></body>",
+        f"<body>{nav}<div class='w-1/2'><section class=a><p>{long_}</p></section><section class=b><p>{short}</p></section></div></body>",
+        f"<body>{nav}<div><ul><li>{long_}</li></ul><p>{short}</p></div></body>",
+        f"{nav}<p>{long_}</p><p>{short}</p>",
+    ):
+        assert htmltext.main_text(page) == f"{long_}\n\n{short}"
+    assert htmltext.main_text(f"<body>{nav}<div><h2>Head</h2><p>{long_}</p></div><footer>Imprint</footer></body>") == f"Head\n\n{long_}"
