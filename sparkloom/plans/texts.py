@@ -140,13 +140,8 @@ def contained_dup(spark, sf_dir):
     return n.where("n = size").select("item_id", "doc_id")
 
 
-@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), q AS (SELECT DISTINCT doc_id, line, trim(regexp_replace(lower(line), '[^a-z]+', ' ', 'g')) AS norm FROM p WHERE length(line) > 0),
-b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark), i AS (SELECT DISTINCT item_id, line, trim(regexp_replace(lower(line), '[^a-z]+', ' ', 'g')) AS norm FROM b WHERE length(line) > 0),
-c AS (SELECT doc_id, item_id, 1 AS tier FROM q JOIN i USING (line) UNION ALL SELECT doc_id, item_id, 2 FROM q JOIN i USING (norm) WHERE norm <> '')
-SELECT doc_id, min(tier)::BIGINT AS tier, min(item_id) FILTER (WHERE tier = m) AS item_id FROM (SELECT *, min(tier) OVER (PARTITION BY doc_id) AS m FROM c) GROUP BY doc_id""")
-def cascade_resolve(spark, sf_dir):
-    """Documents' lines resolved to items' lines: exact before normalised, least item of the best tier."""
-    t = Tables(spark, sf_dir)
+def _line_tiers(t):
+    """(doc_id, item_id, tier) of lines that are equal (1), or equal when normalised (2)."""
 
     def lines(df, key):
         p = df.select(key, F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0).distinct()
@@ -155,7 +150,46 @@ def cascade_resolve(spark, sf_dir):
     q, i = lines(t.documents, "doc_id"), lines(t.benchmark, "item_id")
     exact = q.join(i.select("item_id", "line"), "line").select("doc_id", "item_id", F.lit(1).alias("tier"))
     normal = q.join(i.select("item_id", "norm"), "norm").where("norm <> ''").select("doc_id", "item_id", F.lit(2).alias("tier"))
-    best = exact.unionAll(normal).groupBy("doc_id").agg(F.min(F.struct("tier", "item_id")).alias("m"))
+    return exact.unionAll(normal)
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), q AS (SELECT DISTINCT doc_id, line, trim(regexp_replace(lower(line), '[^a-z]+', ' ', 'g')) AS norm FROM p WHERE length(line) > 0),
+b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark), i AS (SELECT DISTINCT item_id, line, trim(regexp_replace(lower(line), '[^a-z]+', ' ', 'g')) AS norm FROM b WHERE length(line) > 0),
+c AS (SELECT doc_id, item_id, 1 AS tier FROM q JOIN i USING (line) UNION ALL SELECT doc_id, item_id, 2 FROM q JOIN i USING (norm) WHERE norm <> '')
+SELECT doc_id, min(tier)::BIGINT AS tier, min(item_id) FILTER (WHERE tier = m) AS item_id FROM (SELECT *, min(tier) OVER (PARTITION BY doc_id) AS m FROM c) GROUP BY doc_id""")
+def cascade_resolve(spark, sf_dir):
+    """Documents' lines resolved to items' lines: exact before normalised, least item of the best tier."""
+    best = _line_tiers(Tables(spark, sf_dir)).groupBy("doc_id").agg(F.min(F.struct("tier", "item_id")).alias("m"))
+    return best.select("doc_id", F.col("m.tier").cast("long").alias("tier"), F.col("m.item_id").alias("item_id"))
+
+
+_NORM = "trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g'))"
+#: Words of an item by which documents that can contain it are found.
+_PROBE = 8
+
+
+@query(rf"""WITH q AS (SELECT doc_id, line, {_NORM.format("line")} AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0),
+i AS (SELECT item_id, line, {_NORM.format("line")} AS norm FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) > 0),
+d AS (SELECT doc_id, ' ' || {_NORM.format("text")} || ' ' AS norm FROM documents), b AS (SELECT item_id, ' ' || {_NORM.format("text")} || ' ' AS norm FROM benchmark WHERE {_NORM.format("text")} <> ''),
+c AS (SELECT doc_id, item_id, 1 AS tier FROM q JOIN i USING (line) UNION ALL SELECT doc_id, item_id, 2 FROM q JOIN i USING (norm) WHERE norm <> '' UNION ALL SELECT doc_id, item_id, 3 FROM d JOIN b ON contains(d.norm, b.norm)),
+best AS (SELECT doc_id, min(tier) AS tier, min(item_id) FILTER (WHERE tier = m) AS item_id FROM (SELECT *, min(tier) OVER (PARTITION BY doc_id) AS m FROM c) GROUP BY doc_id)
+SELECT a.doc_id, coalesce(tier, 4)::BIGINT AS tier, item_id FROM (SELECT DISTINCT doc_id FROM documents) a LEFT JOIN best ON a.doc_id IS NOT DISTINCT FROM best.doc_id""")
+def cascade_tiers(spark, sf_dir):
+    """All documents: a line that is an item's (1), or is when normalised (2), an item as
+    words in a row anywhere in the text (3), none (4); least item of the best tier."""
+    t = Tables(spark, sf_dir)
+    items = t.benchmark.select("item_id", scalar.normal_gloss(F.col("text")).alias("item")).where("item <> ''").withColumn("w", F.split("item", " "))
+    items = items.withColumn("span", F.least(F.size("w"), F.lit(_PROBE))).withColumn("probe", F.xxhash64("span", F.array_join(F.slice("w", 1, F.lit(_PROBE)), " "))).drop("w")
+    norm = t.documents.select("doc_id", scalar.normal_gloss(F.col("text")).alias("norm"))
+    # documents with an item's first words, at every span that items have (8 at most); then the whole item
+    w = norm.select("doc_id", F.split("norm", " ").alias("w")).withColumn("n", F.size("w"))
+    w = w.join(F.broadcast(items.select("span").distinct()), F.col("span") <= F.col("n"))
+    probes = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("span") + 1), lambda k: F.xxhash64("span", F.array_join(F.slice("w", k, F.col("span")), " ")))
+    found = w.select("doc_id", F.explode(F.array_distinct(probes)).alias("probe")).join(items, "probe").select(F.col("doc_id").alias("d"), "item_id", "item").distinct()
+    contained = found.join(norm, F.col("d").eqNullSafe(F.col("doc_id"))).where(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "item", F.lit(" "))))
+    tiers = _line_tiers(t).unionAll(contained.select("doc_id", "item_id", F.lit(3).alias("tier")))
+    all_ = tiers.unionAll(t.documents.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(4).alias("tier")))
+    best = all_.groupBy("doc_id").agg(F.min(F.struct("tier", "item_id")).alias("m"))
     return best.select("doc_id", F.col("m.tier").cast("long").alias("tier"), F.col("m.item_id").alias("item_id"))
 
 
