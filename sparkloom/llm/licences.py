@@ -1,44 +1,78 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Texts are normalised (lower case, runs of other characters than letters and
-digits are one space) and cut into units: every line, and the whole document.
-A unit of `a` distinct bigrams can reach Dice d with a template of `b` only if
-b lies between a*d/(2-d) and a*(2-d)/d; units outside all bounds are dropped
-before any bigram is made.  DataFrame functions only.
-
-Scale: no shuffle but one by (document, unit, template) of bigrams that some
-template has; templates are parameters and are broadcast below a checked size.
+digits are one space), line breaks included, so that wrapped notices are like
+others.  A bigram of a document that a template has says where the template would start; where
+at least `aligned` of the template's bigrams agree on a start, the window of the template's
+length from there, trimmed to the first and last bigram that the template has,
+is compared: Dice is twice the common bigrams over the bigrams of both, counting repeated
+ones.  A window of n bigrams can reach Dice d with a template of b only if n lies between
+b*d/(2-d) and b*(2-d)/d: windows and whole documents outside of that are dropped.
+Matching windows that overlap are one unit.  DataFrame functions only.
+
+Scale: one scan drops documents without any of the words that a match must have;
+the others send only bigrams that some template has into one shuffle by document.
+Templates are parameters; they are broadcast below a checked size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Licence notices, by SPDX identifier.
+_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, {1}.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details.",
+    "You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>.",
+)
+_LATER, _ONLY = "either version 3 of the License, or (at your option) any later version", "version 3 of the License"
+#: Licence texts and notices, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    ),
+    "MIT": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license.", " ".join(_GRANT), " ".join(_GRANT[:2]), _GRANT[0]),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    "BSD-2-Clause": (" ".join((*_BSD[:3], _BSD[4])), " ".join(_BSD[:3])),
+    "BSD-3-Clause": (" ".join(_BSD), " ".join(_BSD[:4])),
+    "ISC": (
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
-    "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.",),
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.", " ".join(_GNU).format("General Public License", _ONLY), _GNU[0].format("General Public License", _ONLY)),
+    "GPL-3.0-or-later": (" ".join(_GNU).format("General Public License", _LATER), _GNU[0].format("General Public License", _LATER)),
+    "AGPL-3.0-or-later": (" ".join(_GNU).format("Affero General Public License", _LATER), _GNU[0].format("Affero General Public License", _LATER)),
+    "LGPL-3.0-or-later": (" ".join(_GNU).format("Lesser General Public License", _LATER), _GNU[0].format("Lesser General Public License", _LATER)),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    ),
-}
-#: Templates together may have so many bigrams.
+    "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0 Universal.",),
+}
+#: Templates of so many bigrams are broadcast; more are joined like any table.
 BROADCAST_BIGRAMS = 200_000
+LEAST, ALIGNED = 0.9, 0.2
 
 
 def terms(text: Column) -> Column:
@@ -47,90 +81,98 @@ def terms(text: Column) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
-    n = F.size(words) - 1
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    """Pairs of neighbouring words, in order; none of fewer than two words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))  # a filter above would not guard this: Spark moves filters
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def templates_of(spark, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """(licence, template, size, bigram), a row a bigram."""
+    """(licence, template, size, place, bigram), a row a bigram in its place; templates of one word are left out."""
     rows = [(name, k, text) for name in templates for k, text in enumerate(templates[name])]
-    t = spark.createDataFrame(rows, "licence string, template int, text string").withColumn("words", terms(F.col("text")))
-    t = t.where(F.size("words") > 1).select("licence", "template", bigrams(F.col("words")).alias("all"))
-    return t.select("licence", "template", F.size("all").alias("size"), F.explode("all").alias("bigram"))
+    t = spark.createDataFrame(rows, "licence string, template int, text string").select("licence", "template", bigrams(terms(F.col("text"))).alias("all"))
+    return t.select("licence", "template", F.size("all").alias("size"), F.posexplode("all").alias("place", "bigram"))
 
 
-def telling(bigrams_of: Mapping[tuple[str, int], set[str]], least: float) -> set[str]:
-    """Words of which every unit with Dice `least` or more with some template has one.
+def telling(places_of: Mapping[tuple[str, int], list[str]], least: float) -> set[str]:
+    """Words of which every window with Dice `least` or more with some template has one.
 
-    Such a unit shares at least least/(2-least) of a template's bigrams; so of any
+    Such a window shares at least least/(2-least) of a template's bigrams; so of any
     chosen ones that are more than the rest, it has one, and the words that the
     chosen ones have in common.  Long words are chosen first.
     """
     words: set[str] = set()
-    for pairs in bigrams_of.values():
-        spare, covered = int(len(pairs) - len(pairs) * least / (2 - least) + 1e-9), set()
-        for word in sorted({w for p in pairs for w in p.split(" ")}, key=lambda w: (w not in words, -len(w), w)):
+    for places in places_of.values():
+        spare, covered = int(len(places) - len(places) * least / (2 - least) + 1e-9), set()
+        for word in sorted({w for p in places for w in p.split(" ")}, key=lambda w: (w not in words, -len(w), w)):
             if len(covered) > spare:
                 break
             words.add(word)
-            covered |= {p for p in pairs if word in p.split(" ")}
+            covered |= {k for k, p in enumerate(places) if word in p.split(" ")}
     return words
 
 
-def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = 0.9) -> DataFrame:
-    """(doc, doc_id, unit, licence, template, dice) with dice of at least `least`.
+def _key() -> Column:
+    """Equal for rows of equal ids and texts; results depend on the text alone, so ids only spread copies."""
+    return F.concat(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
-    unit: the line's number from 0, or -1 for the whole document; `doc` keys id and text.
-    """
-    spark = docs.sparkSession
-    t = templates_of(spark, templates)
-    pairs: dict[tuple[str, int], set[str]] = {}
-    for r in t.limit(BROADCAST_BIGRAMS + 1).collect():  # parameters, not data
-        pairs.setdefault((r["licence"], r["template"]), set()).add(r["bigram"])
-    sizes = [len(p) for p in pairs.values()]
-    if sum(sizes) > BROADCAST_BIGRAMS:
-        raise ValueError("the templates are too large")
-    words = sorted(telling(pairs, least))
-    low, high = least / (2 - least), (2 - least) / least
-
-    def possible(n: Column) -> Column:
-        near = F.lit(False)
-        for b in sorted(set(sizes)):
-            near = near | ((n >= b * low) & (n <= b * high))
-        return near
-
-    def told(text: Column) -> Column:
-        has = F.lit(False)
-        for w in words:
-            has = has | F.contains(text, F.lit(w))
-        return has
 
+def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, aligned: float = ALIGNED) -> DataFrame:
+    """(doc, first, last, licence, template, dice) of every window with dice of at least `least`.
+
+    first, last: its first and last bigram in the document, from 0; `doc` keys id and text.
+    `aligned` is the share of a template's bigrams that must agree on a start (two at least).
+    """
+    t = templates_of(docs.sparkSession, templates)
+    places: dict[tuple[str, int], list[str]] = {}
+    for r in t.collect():  # parameters, not data
+        places.setdefault((r["licence"], r["template"]), []).append(r["bigram"])
+    small = sum(map(len, places.values())) <= BROADCAST_BIGRAMS
+    words = sorted(telling(places, least))
+    low = least / (2 - least)
+
+    same = ["licence", "template", "bigram"]
+    t = t.withColumn("first_place", F.min("place").over(Window.partitionBy(*same))).withColumn("often", F.count("*").over(Window.partitionBy(*same)))
+    if small:
+        t = F.broadcast(t)
     # most documents have none of the telling words and go no further
-    keyed = docs.select("doc_id", "text").where(told(F.lower("text"))).select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
-    lines = keyed.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("unit", "part"))
-    whole = keyed.select("doc", "doc_id", F.lit(-1).alias("unit"), F.col("text").alias("part"))
-    units = lines.where(told(F.lower("part"))).unionByName(whole)
-    units = units.select("doc", "doc_id", "unit", terms(F.col("part")).alias("words")).where(F.size("words") - 1 >= F.lit(min(sizes, default=1) * low))
-    made = units.select("doc", "doc_id", "unit", bigrams(F.col("words")).alias("all")).where(possible(F.size("all")))
-    each = made.select("doc", "doc_id", "unit", F.size("all").alias("n"), F.explode("all").alias("bigram"))
-    hits = each.join(F.broadcast(t), "bigram").where((F.col("size") >= F.col("n") * low) & (F.col("size") <= F.col("n") * high))
-    same = hits.groupBy("doc", "doc_id", "unit", "licence", "template").agg(F.max("n").alias("n"), F.max("size").alias("size"), F.countDistinct("bigram").alias("both"))
-    dice = 2.0 * F.col("both") / (F.col("n") + F.col("size"))
-    return same.withColumn("dice", dice).where(F.col("dice") >= least).select("doc", "doc_id", "unit", "licence", "template", "dice")
-
-
-def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = 0.9) -> DataFrame:
-    """Takes doc_id and text.  Returns a row per row of docs: doc_id, licences (of the
-    best template of each matching unit, sorted, comma-joined, '' if none),
-    n_units (units that match) and best_dice (0 if none).
-
-    Null or empty text: no unit.  Ties go to the licence first in order.
-    Repeated rows: a row each with the same figures.  No rows: no rows.
+    told = F.lower("text").rlike("|".join(words)) if words else F.lit(False)
+    d = docs.select("doc_id", "text").where(told).select(_key().alias("doc"), bigrams(terms(F.col("text"))).alias("all"))
+    each = d.select("doc", F.size("all").alias("n_doc"), F.posexplode("all").alias("at", "bigram"))
+    hits = each.join(t, "bigram").where(F.col("n_doc") >= F.col("size") * low)
+    hits = hits.select("doc", "licence", "template", "size", "bigram", "often", "at", (F.col("at") - F.col("place")).alias("start"), (F.col("place") == F.col("first_place")).alias("once"))
+
+    starts = hits.groupBy("doc", "licence", "template", "size", "start").agg(F.countDistinct("at").alias("agreed"))
+    starts = starts.where(F.col("agreed") >= F.greatest(F.lit(2), F.ceil(F.col("size") * F.lit(aligned))))
+    # a window lies in two cells of the template's length at most: a join on cells, not of all windows with all hits
+    cell = lambda x: F.floor(x / F.col("size"))
+    starts = starts.select("doc", "licence", "template", "start", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("size") - 1))).alias("cell"))
+    in_cells = hits.where("once").withColumn("cell", cell(F.col("at")))
+    inside = in_cells.drop("start", "once").join(starts, ["doc", "licence", "template", "cell"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("size")))
+    window = ["doc", "licence", "template", "size", "start"]
+    by_bigram = inside.groupBy(*window, "bigram").agg(F.countDistinct("at").alias("n"), F.max("often").alias("often"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    found = by_bigram.groupBy(*window).agg(F.sum(F.least("n", "often")).alias("both"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    dice = 2.0 * F.col("both") / (F.col("last") - F.col("first") + 1 + F.col("size"))
+    return found.withColumn("dice", dice).where(F.col("dice") >= least).select("doc", "first", "last", "licence", "template", "dice")
+
+
+def units(found: DataFrame) -> DataFrame:
+    """Of matches(): (doc, unit, licence, dice), overlapping windows joined to a unit
+    with the licence of the best; ties go to the licence first in order."""
+    order = Window.partitionBy("doc").orderBy("first", "last", "licence", "template", "dice")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = found.withColumn("new", (reach.isNull() | (F.col("first") > reach)).cast("int")).withColumn("unit", F.sum("new").over(order))
+    best = joined.groupBy("doc", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence")).alias("b"))
+    return best.select("doc", "unit", F.col("b.licence").alias("licence"), (-F.col("b.d")).alias("dice"))
+
+
+def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, aligned: float = ALIGNED) -> DataFrame:
+    """Takes doc_id and text.  Returns a row per row of docs: doc_id, licences (of
+    its units, sorted, comma-joined, '' if none), n_units and best_dice (0 if none).
+
+    Null or empty text, or fewer than two words: no unit.  Repeated rows: a row each
+    with the same figures.  No rows: no rows.  No templates: no units.
     """
-    m = matches(docs, templates, least)
-    best = m.groupBy("doc", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence")).alias("b"))
-    by_doc = best.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("b.licence")), ",").alias("l"), F.count("*").alias("u"), F.max(-F.col("b.d")).alias("d"))
-    out = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc")).join(by_doc, "doc", "left")
+    of = units(matches(docs, templates, least, aligned))
+    by_doc = of.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("l"), F.count("*").alias("u"), F.max("dice").alias("d"))
+    out = docs.select("doc_id", _key().alias("doc")).join(by_doc, "doc", "left")
     return out.select("doc_id", F.coalesce("l", F.lit("")).alias("licences"), F.coalesce("u", F.lit(0)).cast("long").alias("n_units"), F.coalesce("d", F.lit(0.0)).alias("best_dice"))

@@ -1,7 +1,7 @@
 """DuckDB SQL with the rows of this package's queries."""
 
 from .chat import CONTROL, END, SEP, START
-from .licences import TEMPLATES
+from .licences import ALIGNED, LEAST, TEMPLATES
 
 #: Plain words of a text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -87,20 +87,27 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_BIGRAMS = r"list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 _TERMS = r"list_filter(string_split(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_PLACES = "SELECT {0}, unnest(range(0, len(w) - 1)) AS {1}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b"
 OP5 = rf"""
 WITH templates(licence, template, part) AS (VALUES {", ".join(f"({_quoted(n)}, {k}, {_quoted(t)})" for n, ts in TEMPLATES.items() for k, t in enumerate(ts))}),
-tb AS (SELECT licence, template, {_BIGRAMS} AS b FROM (SELECT licence, template, {_TERMS} AS w FROM templates)),
+tw AS (SELECT licence, template, {_TERMS} AS w FROM templates),
+tb AS (SELECT *, count(*) OVER (PARTITION BY licence, template, b) AS often FROM ({_PLACES.format("licence, template, len(w) - 1 AS size", "place")} FROM tw)),
 docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
-units AS (
-  SELECT row, unnest(range(0, len(l))) AS unit, unnest(l) AS part FROM (SELECT row, string_split(text, chr(10)) AS l FROM docs WHERE text IS NOT NULL)
-  UNION ALL SELECT row, -1, text FROM docs WHERE text IS NOT NULL),
-ub AS (SELECT row, unit, {_BIGRAMS} AS b FROM (SELECT row, unit, {_TERMS} AS w FROM units) WHERE len(w) >= 2),
+dw AS (SELECT row, {_TERMS.replace("part", "text")} AS w FROM docs WHERE text IS NOT NULL),
+db AS ({_PLACES.format("row, len(w) - 1 AS n_doc", "pos")} FROM dw WHERE len(w) >= 2),
+hits AS (SELECT row, licence, template, size, b, often, pos, pos - place AS start FROM db JOIN tb USING (b) WHERE n_doc >= size * ({LEAST} / (2 - {LEAST}))),
+starts AS (SELECT row, licence, template, size, start FROM hits GROUP BY ALL HAVING count(*) >= greatest(2, ceil(size * {ALIGNED}))),
+found AS (
+  SELECT row, licence, template, size, start, b, least(count(DISTINCT pos), max(often)) AS n, min(pos) AS lo, max(pos) AS hi
+  FROM (SELECT DISTINCT row, licence, template, b, often, pos FROM hits) h JOIN starts s USING (row, licence, template)
+  WHERE pos >= start AND pos < start + size GROUP BY row, licence, template, size, start, b),
 d AS (
-  SELECT row, unit, licence, 2.0::DOUBLE * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS dice
-  FROM ub JOIN tb ON len(ub.b) >= len(tb.b) * 0.8 AND len(ub.b) <= len(tb.b) * 1.25),
-best AS (SELECT row, unit, licence, dice FROM d WHERE dice >= 0.9 QUALIFY row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, licence) = 1),
+  SELECT row, licence, min(lo) AS first, max(hi) AS last, 2.0::DOUBLE * sum(n)::DOUBLE / (max(hi) - min(lo) + 1 + size) AS dice
+  FROM found GROUP BY row, licence, template, size, start),
+good AS (SELECT *, max(last) OVER (PARTITION BY row ORDER BY first, last, licence, dice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d WHERE dice >= {LEAST}),
+numbered AS (SELECT *, sum((reach IS NULL OR first > reach)::INT) OVER (PARTITION BY row ORDER BY first, last, licence, dice ROWS UNBOUNDED PRECEDING) AS unit FROM good),
+best AS (SELECT row, unit, licence, dice FROM numbered QUALIFY row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, licence) = 1),
 by_doc AS (SELECT row, string_agg(DISTINCT licence, ',' ORDER BY licence) AS l, count(*) AS u, max(dice) AS m FROM best GROUP BY row)
 SELECT doc_id, coalesce(l, '') AS licences, coalesce(u, 0)::BIGINT AS n_units, coalesce(m, 0.0)::DOUBLE AS best_dice
 FROM docs LEFT JOIN by_doc USING (row)
