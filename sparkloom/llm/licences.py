@@ -11,7 +11,7 @@ b*d/(2-d) and b*(2-d)/d: windows and whole documents outside of that are dropped
 Matching windows that overlap are one unit.  DataFrame functions only.
 
 Scale: one scan drops documents without any of the words that a match must have;
-the others send only bigrams that some template has into one shuffle by document.
+of the others only bigrams that some template has are written, and shuffled by document.
 Templates are parameters; they are broadcast below a checked size.
 """
 
@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stash
+
 _GRANT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -77,7 +79,7 @@ LEAST, ALIGNED = 0.9, 0.2
 
 def terms(text: Column) -> Column:
     """Normalised words."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def bigrams(words: Column) -> Column:
@@ -135,11 +137,14 @@ def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     if small:
         t = F.broadcast(t)
     # most documents have none of the telling words and go no further
-    told = F.lower("text").rlike("|".join(words)) if words else F.lit(False)
-    d = docs.select("doc_id", "text").where(told).select(_key().alias("doc"), bigrams(terms(F.col("text"))).alias("all"))
-    each = d.select("doc", F.size("all").alias("n_doc"), F.posexplode("all").alias("at", "bigram"))
+    told = F.arrays_overlap(terms(F.col("text")), F.array(*map(F.lit, words)).cast("array<string>"))
+    # a lambda's argument is evaluated once; an inner explode would have its array evaluated again, by an inferred filter
+    pairs = F.transform(F.array(terms(F.col("text"))), bigrams)[0]
+    d = docs.select("doc_id", "text").where(told).select(_key().alias("doc"), pairs.alias("all"))
+    each = d.select("doc", F.size("all").alias("n_doc"), F.posexplode_outer("all").alias("at", "bigram"))
     hits = each.join(t, "bigram").where(F.col("n_doc") >= F.col("size") * low)
     hits = hits.select("doc", "licence", "template", "size", "bigram", "often", "at", (F.col("at") - F.col("place")).alias("start"), (F.col("place") == F.col("first_place")).alias("once"))
+    hits = stash(hits, "hits")
 
     starts = hits.groupBy("doc", "licence", "template", "size", "start").agg(F.countDistinct("at").alias("agreed"))
     starts = starts.where(F.col("agreed") >= F.greatest(F.lit(2), F.ceil(F.col("size") * F.lit(aligned))))
