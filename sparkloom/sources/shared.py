@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,16 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which a cluster sets to a folder that all executors share.
 
-    Where it is missing (a local session, as in tests) a folder of our own is
-    chosen once and set on the context.
+    Where it is missing in a local session, as in tests, a folder of our own is
+    chosen once and set on the context; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sparkloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -36,11 +39,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read back: a cut in the lineage that
     survives lost executors, at columnar size."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
