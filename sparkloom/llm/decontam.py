@@ -1,32 +1,37 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is written once, as the terms of each document in order: a posting is
-(document, position, term).  For every window of a benchmark item the postings of its rarest terms, by their
-counts over all documents, are read first; a posting at `position` of the term
-at `place` in the item says that the item would start at position - place, and
-lists agree where this offset is the same.  Offsets on which the rarest terms
-agree are intersected with the lists of all other terms, in the documents
-concerned; runs of adjacent places are the exact phrases.  DataFrame functions
-only.
-
-Scale: texts are read and cut once; postings of frequent terms are never joined with all documents; the
-benchmark's term lists are broadcast only below a checked number of rows.
+The index is a written table of postings: for every term and block of documents
+a sorted list of places, each the document's number in its block and the word's position in one
+long.  Files are sorted by term, so that the statistics of their pages lead to a term's lists.
+A word at `position` of the term at `place` of an item says that the item would start at
+position - place.  For every window of an item the lists of its rarest terms, by their counts
+over all documents, are shifted by place and intersected, rarest first; what is left is
+intersected with the lists of the item's other terms; runs of adjacent places are the exact
+phrases.  DataFrame functions only.
+
+Scale: texts are read and cut once.  A list belongs to a term and a block of at
+most 65,536 documents, so a frequent term's postings are many rows, and intersections work
+on (item, block) pairs, never on a term's postings as a whole.  The
+benchmark's terms are broadcast only below a checked number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stash
+from .shared import ascii_lower, row_key, stash
 
 #: Fixed value: what separates words once A-Z are lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: At most so many rows of terms (of the benchmark, not of documents) are broadcast.
 BROADCAST_TERMS = 500_000
+#: Before a document's key, which the index holds like a term; no word begins with it.
+_MARK = "\0"
+_HALF = 2**31
 
 
-def words(text) -> F.Column:
+def words(text: Column) -> Column:
     """Lower-cased words in order; null text: null."""
     return F.array_remove(F.split(ascii_lower(text), BREAKS), "")
 
@@ -37,96 +42,123 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """Distinct (item, item_id, terms) with at least a word; `item` keys id and text."""
-    named = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("item")).dropDuplicates(["item"])
-    return named.select("item", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    """Distinct (item, item_id, terms) with at least a word, written; `item` numbers pairs of id and text."""
+    named = benchmark.select("item_id", "text").dropDuplicates(["item_id", "text"])
+    named = named.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    return stash(named.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, terms) of every row of docs (doc_id, text), written; null text: null."""
-    return stash(docs.select("doc_id", doc_key().alias("doc"), words(F.col("text")).alias("terms")), "index")
+def index(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(term, block, n, places) of all words of docs, written; n is the number of places.
+
+    A place is 2**32 times the document's number in its block, plus the position.  Every row
+    also posts its key (doc_id, or the column given) as a term of its own, whose place has the
+    number of words as its position: documents() reads them.  docs are best a written table,
+    whose rows keep their order when a lost task is run again.
+    """
+    named = F.concat(F.lit(_MARK), F.coalesce(F.concat(F.lit("k"), (F.col("doc_id") if key is None else key).cast("string")), F.lit("")))
+    all_ = F.concat(F.array(named), F.coalesce(words(F.col("text")), F.array().cast("array<string>")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), all_.alias("all"))
+    # all_ is never empty; an inner explode would have it evaluated again, by an inferred filter
+    each = rows.select("row", F.size("all").alias("size"), F.posexplode_outer("all").alias("at", "term"))
+    position = F.when(F.col("at") == 0, F.col("size")).otherwise(F.col("at")) - 1
+    place = F.shiftleft(F.col("row").bitwiseAND(0xFFFF), 32) + position
+    lists = each.select("term", F.shiftright("row", 16).alias("block"), place.alias("place")).groupBy("term", "block").agg(F.collect_list("place").alias("places"))
+    lists = lists.select("term", "block", F.size("places").alias("n"), F.sort_array("places").alias("places"))
+    return stash(lists.sortWithinPartitions("term", "block"), "index", compression="zstd")
 
 
-def postings(index_: DataFrame) -> DataFrame:
-    """(doc, position, term) of every word of an index."""
-    return index_.select("doc", F.posexplode("terms").alias("position", "term"))
+def documents(index_: DataFrame) -> DataFrame:
+    """(doc, block, number, n_words) of every row of an index; doc is its key as a string."""
+    marks = index_.where(F.col("term") < F.lit("\1")).select("term", "block", F.explode("places").alias("place"))
+    key = F.when(F.length("term") > 1, F.substring("term", 3, 2**31 - 1))
+    return marks.select(key.alias("doc"), "block", F.shiftright("place", 32).alias("number"), F.col("place").bitwiseAND(2**32 - 1).alias("n_words"))
 
 
-def doc_key() -> F.Column:
-    """A key of a row of documents: repeated ids with other texts are kept apart."""
-    return F.xxhash64("doc_id", "text")
+def lists_of(index_: DataFrame, terms: DataFrame) -> DataFrame:
+    """The lists of some terms (distinct, one column `term`)."""
+    return index_.where(F.col("term") >= F.lit("\1")).join(_small(terms, BROADCAST_TERMS), "term")
 
 
 def term_counts(index_: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n) over all documents, for the terms given; summed before the shuffle."""
-    near = _small(terms, BROADCAST_TERMS)
-    all_words = index_.select(F.explode("terms").alias("term"))
-    if near is terms:
-        return all_words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
-    return all_words.join(near, "term").groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n) over all documents, for the terms given; reads no places."""
+    return lists_of(index_.select("term", "n"), terms).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def rarest(items: DataFrame, counts: DataFrame, window: int, probes: int) -> DataFrame:
-    """(item, place, term): of each window the `probes` rarest terms.  A window
-    with a term that no document has is left out.  `need` is how many of an
-    item's chosen places an offset must have at least."""
+    """(item, probes): of each window the places and terms of its `probes` rarest terms,
+    rarest first.  A window with a term that no document has is left out."""
     spread = items.select("item", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
     spread = spread.join(counts, "term", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
     span = F.least(F.lit(window), F.col("length"))
     first = F.greatest(F.lit(0), F.col("place") - window + 1)
     last = F.least(F.col("place"), F.col("length") - span)
     windows = spread.withColumn("start", F.explode(F.sequence(first, last)))
-    by_window = Window.partitionBy("item", "start")
-    ranked = windows.withColumn("least", F.min("n").over(by_window)).withColumn("rank", F.row_number().over(by_window.orderBy("n", "place")))
-    chosen = ranked.where((F.col("least") > 0) & (F.col("rank") <= probes))
-    return chosen.select("item", "place", "term", F.least(F.lit(probes), F.col("length")).alias("need")).distinct()
+    by_window = windows.groupBy("item", "start").agg(F.array_sort(F.collect_list(F.struct("n", "place", "term"))).alias("all"))  # `window` terms at most
+    chosen = by_window.where(F.col("all")[0]["n"] > 0).select("item", F.slice("all", 1, probes).alias("probes"))
+    return chosen.select("item", F.transform("probes", lambda x: F.struct(x["place"].alias("place"), x["term"].alias("term"))).alias("probes")).distinct()
 
 
 def offsets(index_: DataFrame, items: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
-    """(doc, item, offset) on which the lists of an item's rarest terms agree."""
-    items = stash(items, "items")
+    """(item, block, start) where the lists of a window's rarest terms agree; start is where the item's first word would be."""
     terms = items.select(F.explode("terms").alias("term")).distinct()
     counts = stash(term_counts(index_, terms), "counts")
-    anchors = stash(rarest(items, counts, window, probes), "anchors")
-    hits = postings(index_).join(_small(anchors, BROADCAST_TERMS), "term")
-    hits = hits.select("doc", "item", (F.col("position") - F.col("place")).alias("offset"), "place", "need")
-    agreed = hits.groupBy("doc", "item", "offset").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    return agreed.where(F.col("n") >= F.col("need")).select("doc", "item", "offset")
+    chosen = stash(rarest(items, counts, window, probes), "probes")
+    asked = chosen.select(F.explode("probes.term").alias("term")).distinct()
+    lists = stash(lists_of(index_, asked), "lists").select("term", "block", "places")
+    begun = _small(chosen.withColumn("term", F.col("probes")[0]["term"]), BROADCAST_TERMS).join(lists, "term")
+    # `at`: places of the last probe; a list is shifted by the distance to the next probe, the shorter one being hashed
+    found = begun.select("item", "probes", "block", F.col("places").alias("at"), F.col("probes")[0]["place"].alias("place"))
+    for k in range(1, probes):
+        probe = F.get("probes", F.lit(k))
+        met = found.withColumn("term", probe["term"]).withColumn("by", probe["place"] - F.col("place")).join(lists, ["term", "block"])
+        moved = F.transform("at", lambda x: x + F.col("by"))
+        met = met.select("item", "probes", "block", F.array_intersect("places", moved).alias("at"), probe["place"].alias("place")).where(F.size("at") > 0)
+        found = met.unionByName(found.where(F.size("probes") <= k))
+    return found.select("item", "block", "place", F.explode("at").alias("at")).select("item", "block", (F.col("at") - F.col("place")).alias("start")).distinct()
 
 
 def phrases(index_: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
-    """Exact phrases: (doc, item_id, start, length), maximal runs of at least
+    """Exact phrases: (block, number, item_id, start, length), maximal runs of at least
     `window` words (or a whole shorter item) that a document shares with an item;
-    `start` counts the document's words from 0, `doc` is doc_key()."""
-    items = stash(items_of(benchmark), "items")
+    `start` counts the document's words from 0; documents() names block and number."""
+    items = items_of(benchmark)
     found = stash(offsets(index_, items, window, probes), "offsets")
-    wanted = found.join(items, "item").select("doc", "item", "item_id", "offset", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
-    wanted = wanted.withColumn("position", F.col("offset") + F.col("place"))
-    concerned = index_.join(found.select("doc").distinct(), "doc", "left_semi")
-    lists = postings(concerned).distinct()
-    same = lists.join(wanted, ["doc", "position", "term"])
-    run = Window.partitionBy("doc", "item", "offset").orderBy("place")
-    same = same.withColumn("run", F.col("place") - F.row_number().over(run))
-    runs = same.groupBy("doc", "item", "item_id", "offset", "run").agg(F.min("position").alias("start"), F.count("*").alias("length_"), F.max("length").alias("whole"))
-    return runs.where(F.col("length_") >= F.least(F.lit(window), F.col("whole"))).select("doc", "item_id", "start", F.col("length_").alias("length"))
+    wanted = found.join(items, "item").select("item", "item_id", "block", "start", F.size("terms").alias("whole"), F.posexplode("terms").alias("at", "term"))
+    wanted = stash(wanted.withColumn("place", F.col("start") + F.col("at")), "wanted")
+    by_list = wanted.groupBy("term", "block").agg(F.collect_set("place").alias("asked"))
+    lists = index_.join(by_list, ["term", "block"])
+    there = lists.select("term", "block", F.explode(F.array_intersect("places", "asked")).alias("place"))
+    same = there.join(wanted, ["term", "block", "place"])
+    run = Window.partitionBy("block", "item", "start").orderBy("at")
+    same = same.withColumn("run", F.col("at") - F.row_number().over(run))
+    runs = same.groupBy("block", "item", "item_id", "start", "run").agg(F.min("place").alias("first"), F.count("*").alias("length"), F.max("whole").alias("whole"))
+    runs = runs.where(F.col("length") >= F.least(F.lit(window), F.col("whole")))
+    return runs.select("block", F.shiftright("first", 32).alias("number"), "item_id", F.col("first").bitwiseAND(2**32 - 1).alias("start"), "length")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 5, share: float = 0.6, window: int = 10, probes: int = 2) -> DataFrame:
-    """Proximity matches: (doc, item_id, at, n_places): of an item's rarest places at
+    """Proximity matches: (doc_id, item_id, at, n_places): of an item's rarest places at
     least `share` occur in the document, in offsets that differ by less than
-    2 * slack from a common one - reworded or cut passages.  `at` is about where."""
-    items, index_ = stash(items_of(benchmark), "items"), index(docs)
+    2 * slack from a common one - reworded or cut passages.  `at` is about where; doc_id is a string."""
+    items, index_ = items_of(benchmark), index(docs)
     terms = items.select(F.explode("terms").alias("term")).distinct()
     counts = stash(term_counts(index_, terms), "counts")
-    anchors = stash(rarest(items, counts, window, probes), "anchors")
+    anchors = rarest(items, counts, window, probes).select("item", F.explode("probes").alias("p")).select("item", "p.place", "p.term").distinct()
+    anchors = stash(anchors, "anchors")
     of_item = anchors.groupBy("item").agg(F.countDistinct("place").alias("of"))
-    hits = postings(index_).join(_small(anchors, BROADCAST_TERMS), "term").withColumn("offset", F.col("position") - F.col("place"))
+    lists = lists_of(index_, anchors.select("term").distinct())
+    hits = lists.join(_small(anchors, BROADCAST_TERMS), "term").select("block", "item", "place", F.explode("places").alias("found"))
+    start = F.col("found") - F.col("place")
+    number = F.shiftright(start + _HALF, 32)  # a start before the document's first word is near it
+    hits = hits.select("block", "item", "place", number.alias("number"), (start - F.shiftleft(number, 32)).alias("offset"))
     # every offset falls into two overlapping bands, so that close ones share one
     hits = hits.withColumn("band", F.explode(F.array(F.floor(F.col("offset") / (2 * slack)), F.floor((F.col("offset") + slack) / (2 * slack)) + F.lit(0.5))))
-    near = hits.groupBy("doc", "item", "band").agg(F.countDistinct("place").alias("n_places"), F.min("offset").alias("at"))
+    near = hits.groupBy("block", "number", "item", "band").agg(F.countDistinct("place").alias("n_places"), F.min("offset").alias("at"))
     near = near.join(of_item, "item").where(F.col("n_places") >= F.lit(share) * F.col("of"))
-    best = near.groupBy("doc", "item").agg(F.max(F.struct("n_places", "at")).alias("b"))
-    return best.join(items, "item").select("doc", "item_id", F.col("b.at").alias("at"), F.col("b.n_places").alias("n_places"))
+    best = near.groupBy("block", "number", "item").agg(F.max(F.struct("n_places", "at")).alias("b"))
+    named = best.join(items.select("item", "item_id"), "item").join(documents(index_), ["block", "number"])
+    return named.select(F.col("doc").alias("doc_id"), "item_id", F.col("b.at").alias("at"), F.col("b.n_places").alias("n_places"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
@@ -141,18 +173,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
     """
     index_ = index(docs)
     found = stash(phrases(index_, benchmark, window, probes), "phrases")
-    covered = found.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).distinct()
-    n_hit = covered.groupBy("doc").agg(F.count("*").alias("n_hit"))
-    which = found.groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    verdict = stash(n_hit.join(which, "doc"), "verdict").withColumnRenamed("doc", "doc_")
-    n_words = F.when(F.col("terms").isNotNull(), F.size("terms")).otherwise(0).cast("long")
-    counted = index_.select("doc_id", F.col("doc").alias("doc_"), n_words.alias("n_words"))
-    out = counted.join(verdict, "doc_", "left")
+    covered = found.select("block", "number", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).distinct()
+    n_hit = covered.groupBy("block", "number").agg(F.count("*").alias("n_hit"))
+    which = found.groupBy("block", "number").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    verdict = stash(n_hit.join(which, ["block", "number"]), "verdict")
+    out = documents(index_).join(verdict, ["block", "number"], "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
+    kind = docs.schema["doc_id"].dataType
+    return out.select(F.col("doc").cast(kind).alias("doc_id"), "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 2) -> DataFrame:
     """The rows of docs, all columns, that hold no window of any item."""
-    found = stash(phrases(index(docs), benchmark, window, probes).select(F.col("doc").alias("__doc")).distinct(), "leaks")
-    return docs.join(found, doc_key() == found["__doc"], "left_anti")
+    index_ = index(docs, row_key())
+    found = phrases(index_, benchmark, window, probes).select("block", "number").distinct()
+    leaks = stash(documents(index_).join(found, ["block", "number"]).select(F.col("doc").alias("__doc")).distinct(), "leaks")
+    return docs.join(leaks, row_key() == leaks["__doc"], "left_anti")

@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import row_key, stash
 
 _GRANT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -113,11 +113,6 @@ def telling(places_of: Mapping[tuple[str, int], list[str]], least: float) -> set
     return words
 
 
-def _key() -> Column:
-    """Equal for rows of equal ids and texts; results depend on the text alone, so ids only spread copies."""
-    return F.concat(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-
-
 def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, aligned: float = ALIGNED) -> DataFrame:
     """(doc, first, last, licence, template, dice) of every window with dice of at least `least`.
 
@@ -140,7 +135,7 @@ def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     told = F.arrays_overlap(terms(F.col("text")), F.array(*map(F.lit, words)).cast("array<string>"))
     # a lambda's argument is evaluated once; an inner explode would have its array evaluated again, by an inferred filter
     pairs = F.transform(F.array(terms(F.col("text"))), bigrams)[0]
-    d = docs.select("doc_id", "text").where(told).select(_key().alias("doc"), pairs.alias("all"))
+    d = docs.select("doc_id", "text").where(told).select(row_key().alias("doc"), pairs.alias("all"))
     each = d.select("doc", F.size("all").alias("n_doc"), F.posexplode_outer("all").alias("at", "bigram"))
     hits = each.join(t, "bigram").where(F.col("n_doc") >= F.col("size") * low)
     hits = hits.select("doc", "licence", "template", "size", "bigram", "often", "at", (F.col("at") - F.col("place")).alias("start"), (F.col("place") == F.col("first_place")).alias("once"))
@@ -179,5 +174,5 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     """
     of = units(matches(docs, templates, least, aligned))
     by_doc = of.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("l"), F.count("*").alias("u"), F.max("dice").alias("d"))
-    out = docs.select("doc_id", _key().alias("doc")).join(by_doc, "doc", "left")
+    out = docs.select("doc_id", row_key().alias("doc")).join(by_doc, "doc", "left")
     return out.select("doc_id", F.coalesce("l", F.lit("")).alias("licences"), F.coalesce("u", F.lit(0)).cast("long").alias("n_units"), F.coalesce("d", F.lit(0.0)).alias("best_dice"))
