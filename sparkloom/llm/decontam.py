@@ -1,18 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a written table of postings: for every term and block of documents
-a sorted list of places, each the document's number in its block and the word's position in one
-long.  Files are sorted by term, so that the statistics of their pages lead to a term's lists.
-A word at `position` of the term at `place` of an item says that the item would start at
+The index is a written table of postings (term, block, number, position), in segments that are
+each sorted by term, then document: columns of one term's list follow one another, packed as runs
+and small numbers, and the statistics of pages lead to a term's lists.  A block has at most 65,536
+documents of one segment.  A word at `position` of the term at `place` of an item says that the item would start at
 position - place.  For every window of an item the lists of its rarest terms, by their counts
 over all documents, are shifted by place and intersected, rarest first; what is left is
 intersected with the lists of the item's other terms; runs of adjacent places are the exact
 phrases.  DataFrame functions only.
 
-Scale: texts are read and cut once.  A list belongs to a term and a block of at
-most 65,536 documents, so a frequent term's postings are many rows, and intersections work
-on (item, block) pairs, never on a term's postings as a whole.  The
-benchmark's terms are broadcast only below a checked number of rows.
+Scale: texts are read and cut once, and segments need no shuffle.  Lists are
+intersected by term and block, so a frequent term's postings are never in one place.  The
+benchmark's terms are broadcast only below a checked number of rows; what grows with
+the documents is shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_TERMS = 500_000
 #: Before a document's key, which the index holds like a term; no word begins with it.
 _MARK = "\0"
-_HALF = 2**31
 
 
 def words(text: Column) -> Column:
@@ -49,11 +48,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, key: Column | None = None) -> DataFrame:
-    """(term, block, n, places) of all words of docs, written; n is the number of places.
+    """(term, block, number, position) of all words of docs, written.
 
-    A place is 2**32 times the document's number in its block, plus the position.  Every row
-    also posts its key (doc_id, or the column given) as a term of its own, whose place has the
-    number of words as its position: documents() reads them.  docs are best a written table,
+    Every row also posts its key (doc_id, or the column given) as a term of its own, with its
+    number of words as the position: documents() reads them.  docs are best a written table,
     whose rows keep their order when a lost task is run again.
     """
     named = F.concat(F.lit(_MARK), F.coalesce(F.concat(F.lit("k"), (F.col("doc_id") if key is None else key).cast("string")), F.lit("")))
@@ -61,28 +59,30 @@ def index(docs: DataFrame, key: Column | None = None) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), all_.alias("all"))
     # all_ is never empty; an inner explode would have it evaluated again, by an inferred filter
     each = rows.select("row", F.size("all").alias("size"), F.posexplode_outer("all").alias("at", "term"))
-    position = F.when(F.col("at") == 0, F.col("size")).otherwise(F.col("at")) - 1
-    place = F.shiftleft(F.col("row").bitwiseAND(0xFFFF), 32) + position
-    lists = each.select("term", F.shiftright("row", 16).alias("block"), place.alias("place")).groupBy("term", "block").agg(F.collect_list("place").alias("places"))
-    lists = lists.select("term", "block", F.size("places").alias("n"), F.sort_array("places").alias("places"))
-    return stash(lists.sortWithinPartitions("term", "block"), "index", compression="zstd")
+    each = each.select("term", "row", (F.when(F.col("at") == 0, F.col("size")).otherwise(F.col("at")) - 1).alias("position"))
+    each = each.sortWithinPartitions("term", "row", "position")
+    return stash(each.select("term", F.shiftright("row", 16).alias("block"), F.col("row").bitwiseAND(0xFFFF).cast("int").alias("number"), "position"), "index", compression="zstd")
 
 
 def documents(index_: DataFrame) -> DataFrame:
     """(doc, block, number, n_words) of every row of an index; doc is its key as a string."""
-    marks = index_.where(F.col("term") < F.lit("\1")).select("term", "block", F.explode("places").alias("place"))
     key = F.when(F.length("term") > 1, F.substring("term", 3, 2**31 - 1))
-    return marks.select(key.alias("doc"), "block", F.shiftright("place", 32).alias("number"), F.col("place").bitwiseAND(2**32 - 1).alias("n_words"))
+    return index_.where(F.col("term") < F.lit("\1")).select(key.alias("doc"), "block", "number", F.col("position").cast("long").alias("n_words"))
 
 
-def lists_of(index_: DataFrame, terms: DataFrame) -> DataFrame:
-    """The lists of some terms (distinct, one column `term`)."""
+def postings(index_: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of some terms (distinct, one column `term`)."""
     return index_.where(F.col("term") >= F.lit("\1")).join(_small(terms, BROADCAST_TERMS), "term")
 
 
+def _place() -> Column:
+    """Number and position in one long: differences of places are those of positions."""
+    return F.shiftleft(F.col("number").cast("long"), 32) + F.col("position")
+
+
 def term_counts(index_: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n) over all documents, for the terms given; reads no places."""
-    return lists_of(index_.select("term", "n"), terms).groupBy("term").agg(F.sum("n").alias("n"))
+    """(term, n) over all documents, for the terms given; reads no other column."""
+    return postings(index_.select("term"), terms).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rarest(items: DataFrame, counts: DataFrame, window: int, probes: int) -> DataFrame:
@@ -105,7 +105,7 @@ def offsets(index_: DataFrame, items: DataFrame, window: int = 10, probes: int =
     counts = stash(term_counts(index_, terms), "counts")
     chosen = stash(rarest(items, counts, window, probes), "probes")
     asked = chosen.select(F.explode("probes.term").alias("term")).distinct()
-    lists = stash(lists_of(index_, asked), "lists").select("term", "block", "places")
+    lists = stash(postings(index_, asked).groupBy("term", "block").agg(F.collect_list(_place()).alias("places")), "lists")
     begun = _small(chosen.withColumn("term", F.col("probes")[0]["term"]), BROADCAST_TERMS).join(lists, "term")
     # `at`: places of the last probe; a list is shifted by the distance to the next probe, the shorter one being hashed
     found = begun.select("item", "probes", "block", F.col("places").alias("at"), F.col("probes")[0]["place"].alias("place"))
@@ -125,16 +125,14 @@ def phrases(index_: DataFrame, benchmark: DataFrame, window: int = 10, probes: i
     items = items_of(benchmark)
     found = stash(offsets(index_, items, window, probes), "offsets")
     wanted = found.join(items, "item").select("item", "item_id", "block", "start", F.size("terms").alias("whole"), F.posexplode("terms").alias("at", "term"))
-    wanted = stash(wanted.withColumn("place", F.col("start") + F.col("at")), "wanted")
-    by_list = wanted.groupBy("term", "block").agg(F.collect_set("place").alias("asked"))
-    lists = index_.join(by_list, ["term", "block"])
-    there = lists.select("term", "block", F.explode(F.array_intersect("places", "asked")).alias("place"))
-    same = there.join(wanted, ["term", "block", "place"])
+    wanted = wanted.withColumn("place", F.col("start") + F.col("at"))
+    lists = postings(index_, items.select(F.explode("terms").alias("term")).distinct()).select("term", "block", _place().alias("place"))
+    same = lists.join(wanted.hint("merge"), ["term", "block", "place"])  # both grow with the documents
     run = Window.partitionBy("block", "item", "start").orderBy("at")
     same = same.withColumn("run", F.col("at") - F.row_number().over(run))
     runs = same.groupBy("block", "item", "item_id", "start", "run").agg(F.min("place").alias("first"), F.count("*").alias("length"), F.max("whole").alias("whole"))
     runs = runs.where(F.col("length") >= F.least(F.lit(window), F.col("whole")))
-    return runs.select("block", F.shiftright("first", 32).alias("number"), "item_id", F.col("first").bitwiseAND(2**32 - 1).alias("start"), "length")
+    return runs.select("block", F.shiftright("first", 32).cast("int").alias("number"), "item_id", F.col("first").bitwiseAND(2**32 - 1).cast("int").alias("start"), "length")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 5, share: float = 0.6, window: int = 10, probes: int = 2) -> DataFrame:
@@ -147,11 +145,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 5, share: floa
     anchors = rarest(items, counts, window, probes).select("item", F.explode("probes").alias("p")).select("item", "p.place", "p.term").distinct()
     anchors = stash(anchors, "anchors")
     of_item = anchors.groupBy("item").agg(F.countDistinct("place").alias("of"))
-    lists = lists_of(index_, anchors.select("term").distinct())
-    hits = lists.join(_small(anchors, BROADCAST_TERMS), "term").select("block", "item", "place", F.explode("places").alias("found"))
-    start = F.col("found") - F.col("place")
-    number = F.shiftright(start + _HALF, 32)  # a start before the document's first word is near it
-    hits = hits.select("block", "item", "place", number.alias("number"), (start - F.shiftleft(number, 32)).alias("offset"))
+    hits = postings(index_, anchors.select("term").distinct()).join(_small(anchors, BROADCAST_TERMS), "term")
+    hits = hits.select("block", "number", "item", "place", (F.col("position") - F.col("place")).alias("offset"))
     # every offset falls into two overlapping bands, so that close ones share one
     hits = hits.withColumn("band", F.explode(F.array(F.floor(F.col("offset") / (2 * slack)), F.floor((F.col("offset") + slack) / (2 * slack)) + F.lit(0.5))))
     near = hits.groupBy("block", "number", "item", "band").agg(F.countDistinct("place").alias("n_places"), F.min("offset").alias("at"))
@@ -173,7 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
     """
     index_ = index(docs)
     found = stash(phrases(index_, benchmark, window, probes), "phrases")
-    covered = found.select("block", "number", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).distinct()
+    covered = found.select("block", "number", F.explode(F.sequence("start", (F.col("start") + F.col("length") - 1).cast("int"))).alias("position")).distinct()
     n_hit = covered.groupBy("block", "number").agg(F.count("*").alias("n_hit"))
     which = found.groupBy("block", "number").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     verdict = stash(n_hit.join(which, ["block", "number"]), "verdict")
