@@ -66,23 +66,26 @@ def lm_scores(docs, mu):
     """{doc_id: (held out, tokens, known, N, base, score)}."""
     toks = {i: [*SPACE.findall((t or "").encode().lower()), None] for i, t in docs}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
-    uni, bi, starts = Counter(), Counter(), 0
+    uni, bi, tri = Counter(), Counter(), Counter()
     for i, _ in docs:
         if not held[i]:
             uni.update(toks[i])
-            bi.update(zip(["^", *toks[i]], toks[i], strict=False))
-            starts += 1
-    n, v = sum(uni.values()), len(uni)
+            seq = ["^", *toks[i]]
+            uni["^"] += 1
+            bi.update(zip(seq, seq[1:], strict=False))
+            tri.update(zip(seq, seq[1:], seq[2:], strict=False))
+    n, v = sum(uni.values()) - uni["^"], len(uni) - (uni["^"] > 0)
     out = {}
     for i, _ in docs:
         base = score = 0.0
-        before = "^"
-        for w in toks[i]:
-            p = (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-            h = starts if before == "^" else uni[before]
-            base += math.log10(p)
+        seq = ["^", *toks[i]]
+        for k, w in enumerate(toks[i]):
+            base += math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1)))
             p = ((uni[w] - 0.5 if uni[w] else 0.5 * v) / n) if n else 1.0
-            score += math.log10((bi[before, w] + mu * p) / (h + mu))
-            before = w
+            p = (bi[seq[k], w] + mu[0] * p) / (uni[seq[k]] + mu[0])
+            if k:
+                pair = (seq[k - 1], seq[k])
+                p = (tri[(*pair, w)] + mu[1] * p) / (bi[pair] + mu[1])
+            score += math.log10(p)
         out[i] = (held[i], len(toks[i]), sum(uni[w] > 0 for w in toks[i]), n, base, score)
     return out
