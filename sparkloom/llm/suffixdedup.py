@@ -36,6 +36,8 @@ from .neardup import _mixed
 from .shared import stash
 
 LENGTH, K = 100, 32
+#: Reaches beside an anchor are packed in two bytes, the pieces' sizes too.
+LONGEST = 16_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64 - 1, 256, np.uint64, endpoint=True)
@@ -87,7 +89,7 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     most = _sliding(np.concatenate([pad, least, pad]), wide + 1, np.maximum)
     place = np.flatnonzero(grams == most)
     left, right = np.minimum(place, wide), np.minimum(n - K - place, wide)
-    around = h.of(place - left, place + K + right) ^ _mixed((left * 4096 + right).astype(np.uint64))
+    around = h.of(place - left, place + K + right) ^ _mixed((left * 65536 + right).astype(np.uint64))
     # least hashes are small ones; mixed anew, they deal evenly
     return _mixed(grams[place] ^ _STEP), around, place, left, right
 
@@ -102,7 +104,7 @@ def _first_of(order_keys: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...])
     return order, first
 
 
-_KINDS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint8)
+_KINDS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16)
 _SPANS = (np.int64, np.uint32, np.uint32)
 
 
@@ -274,6 +276,8 @@ def rowed(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000, shard_bytes: int = 6_000_000, piece_bytes: int = 1_000_000) -> tuple[DataFrame, int, DataFrame]:
     """Of rowed() docs, the texts by block and, packed by block, the spans to remove: (docs, number of blocks, spans)."""
+    if not K < length <= LONGEST:
+        raise ValueError(f"length is from {K + 1} to {LONGEST}")
     total = text_bytes(docs)
     n_blocks, n_shards, n_cores = parts(total, block_bytes), parts(total, shard_bytes), parts(total, shard_bytes // 4)
     wide, half = length - K, (length - K + 1) // 2
@@ -431,7 +435,7 @@ def remove(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **sizes
 
     Null or empty text: 0 bytes.  A null id comes before all others.  Rows that
     repeat an id are documents of their own, in the order of their texts' SHA-256.
-    No rows: no rows.
+    No rows: no rows.  length is from 33 to 16,000 bytes, else a ValueError.
     """
     return _removed(rowed(docs.select("doc_id", "text")), length, as_text, **sizes).drop("row")
 

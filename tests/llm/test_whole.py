@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import brute
+import pytest
 
 import corpus_pipeline
 from sparkloom.llm import htmltext, suffixdedup
@@ -53,3 +54,18 @@ def test_skewed_paragraphs():
     ):
         assert htmltext.main_text(page) == f"{long_}\n\n{short}"
     assert htmltext.main_text(f"<body>{nav}<div><h2>Head</h2><p>{long_}</p></div><footer>Imprint</footer></body>") == f"Head\n\n{long_}"
+
+
+@pytest.mark.parametrize("length", [33, 64, 400])
+def test_lengths(spark, length):
+    """Other lengths than 100, against brute force; others are refused."""
+    r = random.Random(length)
+    some = lambda n: " ".join(f"w{r.randrange(10_000)}" for _ in range(n))
+    passage, other = some(400), some(20)
+    docs = [(1, passage), (2, f"{some(9)} {passage} {some(9)}"), (3, f"{some(9)} {passage[300:1200]} {other}"), (4, other), (5, "ab" * 900), (6, passage[:500] + other)]
+    want = brute.remove_repeats(docs, length)
+    got = suffixdedup.remove(spark.createDataFrame(docs, "doc_id long, text string"), length, block_bytes=2_000, shard_bytes=2_000, piece_bytes=500).collect()
+    assert {x.doc: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got} == want
+    for bad in (32, 16_001):
+        with pytest.raises(ValueError):
+            suffixdedup.repeats(suffixdedup.rowed(spark.createDataFrame(docs, "doc_id long, text string")), bad)
