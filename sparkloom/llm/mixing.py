@@ -26,6 +26,9 @@ Knots = Sequence[tuple[float, float]]
 #: the small source fades in, the third stays level.
 SCHEDULES: tuple[Knots, ...] = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 2.0), (1.0, 2.0)))
 
+#: What mixed_corpus() adds.
+ADDED = ("mix_size", "mix_target", "mix_taken", "mix_passes", "mix_position")
+
 
 def integral(knots: Knots) -> float:
     """Area below a schedule."""
@@ -130,11 +133,18 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def training_order(mixed: DataFrame) -> DataFrame:
+    """Of mix(): (doc_id, pass, words, position), a row for every time that a document is taken, range-sorted by position."""
+    each = mixed.select("doc_id", F.explode("pieces").alias("p"))
+    return each.select("doc_id", "p.pass", "p.words", "p.position").orderBy("position", "doc_id", "pass")
+
+
 def mixed_corpus(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, share: float = 1.5, max_passes: int = 2) -> DataFrame:
     """The rows of docs that the mix takes words of, all columns, with mix_size,
     mix_target (its source's), mix_taken, mix_passes and mix_position, range-sorted by
-    the last."""
+    the last.  A row a document; training_order() has a row a pass.  Columns of docs that have one of
+    the five names give way to them."""
     m = mix(docs, schedules, share, max_passes, carry=True).where("taken > 0")
-    own = [F.col("row")[c].alias(c) for c in docs.columns if not c.lower().startswith("mix_")]
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ADDED]
     m = m.select(*own, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"), F.size("pieces").alias("mix_passes"), F.col("position").alias("mix_position"))
     return m.orderBy("mix_position", "doc_id")

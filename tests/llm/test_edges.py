@@ -257,6 +257,19 @@ def test_curriculum(spark):
         mixing.mix(d, [((0, 1.0), (0.5, 1.0))])
 
 
+def test_training_order(spark):
+    """A row a pass, in order, whose words are those taken; columns that only look like added ones stay."""
+    d = spark.createDataFrame([(k, "w " * (k % 7), "ab"[k % 9 == 0], "n") for k in range(300)], "doc_id long, text string, source string, mix_note string")
+    mixed = mixing.mix(d)
+    rows = mixing.training_order(mixed).collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows) and max(r["pass"] for r in rows) == 1
+    taken: dict = {}
+    for r in rows:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+    assert taken == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
+    assert {r.mix_note for r in mixing.mixed_corpus(d).collect()} == {"n"}
+
+
 STAGES = dict(corpus_pipeline.STAGES)
 
 
