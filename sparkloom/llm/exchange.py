@@ -112,8 +112,8 @@ def unsmall(data: bytes) -> np.ndarray:
     return out
 
 
-#: Low bits that key() clears: 50 are left, so a key that isn't there is taken for one of n with probability n / 2**50.
-CLEARED = 14
+#: Low bits that key() clears: 48 are left, so a key that is not there is taken for one of n with probability n / 2**48.
+CLEARED = 16
 
 
 def key(hashes: np.ndarray) -> np.ndarray:
