@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that tell kinds of glosses.
-PLACES = "city town township village hamlet borough suburb port municipality province prefecture county island archipelago peninsula river lake mountain volcano sea region district state country republic kingdom".split()
-NAMES = ["given name", "male given name", "female given name", "surname", "patronymic", "nickname"]
-PEOPLES = "people peoples tribe nation clan dynasty".split()
+#: What a gloss's head noun says it names: with a capitalised word behind it, or by itself.
+KINDS_OF_PLACE = "city town village township hamlet suburb municipality settlement borough port capital county district province prefecture region state republic country kingdom territory island archipelago peninsula continent river lake sea bay strait mountain volcano desert".split()
+KINDS_OF_PEOPLE = "people tribe clan nation dynasty inhabitant native citizen resident member language dialect".split()
+KINDS_OF_BEING = "god goddess deity saint prophet apostle emperor king queen poet painter composer philosopher".split()
+NAMED_BY_THEMSELVES = "surname nickname patronymic matronymic trademark genus constellation asteroid zodiac".split()
+NAMED_BY_TWO = ("given name", "brand name", "trade name", "family name", "pet name")
+#: Words after which the head of a gloss is over.
+AFTER_HEAD = "of in on at from to for near between among by with who which that whose where also".split()
 REGISTERS = "alternative obsolete archaic dated nonstandard informal rare standard superseded common formal british american chiefly".split()
 INFLECTED = ["plural", "singular", "gerund", "simple past", "past tense", "past participle", "present participle", "third-person singular", "comparative", "superlative"]
 
@@ -19,25 +23,59 @@ def _any(words: Sequence[str]) -> str:
     return "|".join(sorted(words, key=len, reverse=True))
 
 
-PROPER = (
-    rf"(?i)^(a|an|the) (\w+ )?({_any(PLACES)})\b.*\b(?-i:[A-Z])", rf"(?i)^(a |an )?({_any(NAMES)})\b", r"(?i)^(the )?(\w+ )?capital (city )?of\b", r"(?i)\bgenus\b",
-    rf"(?i)\bmember of (a |an |the )?.*\b({_any(PEOPLES)})\b", r"(?i)^(a |an )?(native|inhabitant|citizen|resident)( or \w+)? (of|from) (the )?(?-i:[A-Z])", r"(?i)\b(language|dialect)s?\b.*\b(of|spoken)\b",
-    r"(?i)\b(trade ?name|trademark|brand ?name)\b", r"(?i)\b(deity|goddess|god (of|and)|mytholog\w+)\b", r"(?i)^(a |an |the )(star|constellation|planet|moon|asteroid|comet|galaxy)\b", r"(?i)\b(sign of the zodiac|zodiac sign)\b",
-    r"\(\s*\d{3,4}\s*[-–—]\s*\d{0,4}\s*\)|(?i)\bborn (in )?\d{3,4}\b",
-)
-
-
 def word_shape(word: Column, least: int = 4, most: int = 12) -> Column:
     """Letters a-z, so many, with a vowel, no Roman numeral."""
     return word.rlike(rf"^[a-z]{{{least},{most}}}$") & word.rlike("[aeiouy]") & ~word.rlike("^[ivxlcdm]+$")
 
 
+def head_words(gloss: Column) -> Column:
+    """The lower-case words of a gloss before its first preposition, relative or comma."""
+    first = F.element_at(F.split(F.lower(gloss), "[,;:.(]"), 1)
+    words = F.filter(F.split(first, r"[^\p{L}]+"), lambda w: w != "")
+    stop = F.array_position(F.transform(words, lambda w: w.isin(*AFTER_HEAD)), F.lit(True))
+    return F.when(stop > 0, F.slice(words, F.lit(1), stop.cast("int") - 1)).otherwise(words)
+
+
 def proper_gloss(gloss: Column) -> Column:
-    """A gloss of a proper noun: one of a battery of patterns, or two capitalised words after the first."""
-    out = F.size(F.regexp_extract_all(F.regexp_replace(gloss, r"^\s*\S+", ""), F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))) >= 2
-    for p in PROPER:
-        out = out | gloss.rlike(p)
-    return F.coalesce(out, F.lit(False))
+    """A gloss of a proper noun.
+
+    Its head names a kind of place, people or being and a capitalised word or a span of years comes after the first word; or its
+    head is a name of its own kind (surname, given name ...); or two words after the first are capitalised.
+    """
+    head = head_words(gloss)
+    of_kind = F.arrays_overlap(head, F.array(*map(F.lit, KINDS_OF_PLACE + KINDS_OF_PEOPLE + KINDS_OF_BEING)))
+    alone = F.arrays_overlap(head, F.array(*map(F.lit, NAMED_BY_THEMSELVES))) | F.array_join(head, " ").rlike(rf"\b({_any(NAMED_BY_TWO)})$")
+    rest = F.regexp_replace(gloss, r"^\s*\S+", "")
+    capitals = F.regexp_count(rest, F.lit(r"\b\p{Lu}\p{Ll}{2,}"))
+    years = gloss.rlike(r"\d{3,4}\s*[-–—]\s*\d{3,4}|\bborn\b.*\d{4}")
+    return F.coalesce(of_kind & ((capitals >= 1) | years) | alone | (capitals >= 2), F.lit(False))
+
+
+# Months, weekdays and feasts are no names of anybody or any place.
+CALENDAR = "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday month weekday day feast festival holiday".split()
+
+
+def only_name(kinds: Column, gloss: Column) -> Column:
+    """Every part of speech is `name`, and the gloss is of no date, feast or language."""
+    other = F.arrays_overlap(head_words(gloss), F.array(*map(F.lit, [*CALENDAR, "language"])))
+    return (F.size(kinds) > 0) & F.forall(kinds, lambda k: k == "name") & ~F.coalesce(other, F.lit(False))
+
+
+def author(text: Column) -> Column:
+    """A person as a quotation's source names one: two to five words, capitalised but for particles and initials, no digits."""
+    words = F.split(F.trim(text), r"\s+")
+    good = F.forall(words, lambda w: w.rlike(r"^(\p{Lu}[\p{L}'’.-]*|(?i:de|du|des|la|le|von|van|der|den|zu|of|da|di))$"))
+    return F.size(words).between(2, 5) & good & ~publisher(text) & ~press(text)
+
+
+def publisher(text: Column) -> Column:
+    """A publishing house: a word for one, or a company's form at the end."""
+    return text.rlike(r"(?i)\b(verlag|éditions?|editions?|publish(er|ers|ing)|books|imprimerie|librairie|university press|hachette|gallimard|suhrkamp)\b|(?i)\b(ltd|inc|gmbh|& co)\.?$")
+
+
+def press(text: Column) -> Column:
+    """A newspaper or magazine: a word for one."""
+    return text.rlike(r"(?i)\b(times|post|herald|tribune|journal|gazette|zeitung|magazin|magazine|le monde|figaro|libération|spiegel|guardian|review|news)\b")
 
 
 def pointer(gloss: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, graphs, relational, reports, series, states, texts
+from . import columns, curation, graphs, relational, reports, series, states, texts
 
-_MODULES = (relational, series, graphs, texts, states, curation, reports)
+_MODULES = (relational, series, graphs, texts, states, curation, reports, columns)
 
 
 def queries() -> dict:

@@ -20,23 +20,66 @@ def _right():
     return (F.col("event_type") != "error").alias("right")
 
 
-@query()
+def _folded(columns: str, start: str, step: str, result: str) -> str:
+    """SQL that folds each user's events in order, `step` being the columns after one of them."""
+    return f"""WITH RECURSIVE o AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type <> 'error' AS right, least(1.0, value / 20)::DOUBLE AS score, event_id % 8 AS words FROM events),
+f({columns}) AS (SELECT DISTINCT user_id, 0::BIGINT, {start} FROM events UNION ALL SELECT f.user_id, o.k, {step} FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT user_id, {result} FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1"""
+
+
+_SM2 = _folded(
+    "user_id, k, ease, days, repetitions",
+    "2.5::DOUBLE, 0.0::DOUBLE, 0::BIGINT",
+    """CASE WHEN o.right THEN ease ELSE greatest(1.3, ease - 0.54::DOUBLE) END,
+  CASE WHEN NOT o.right OR repetitions = 0 THEN 1.0 WHEN repetitions = 1 THEN 6.0 WHEN days * ease < 9007199254740992 THEN floor(days * ease + 0.5) ELSE days * ease END::DOUBLE, CASE WHEN o.right THEN repetitions + 1 ELSE 0 END""",
+    "ease, days, repetitions",
+)
+
+
+@query(_SM2)
 def sm2_fold(spark, sf_dir):
     """An error is a lapse; the state after each user's last event."""
     e = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", _right())
-    return state.ordered_fold(e, "user_id", ["ts", "event_id"], ["right"], lambda: (2.5, 0, 0), state.sm2, "ease double, days long, repetitions long")
-
-
-@query()
+    return state.ordered_fold(e, "user_id", ["ts", "event_id"], ["right"], lambda: (2.5, 0.0, 0), state.sm2, "ease double, days double, repetitions long")
+
+
+@query(
+    _folded(
+        "user_id, k, step, minutes, misses, ease, held",
+        "0::BIGINT, 0.0::DOUBLE, 0::BIGINT, 1.0::DOUBLE, false",
+        """CASE WHEN held AND o.right THEN step WHEN NOT o.right THEN 0 ELSE step + 1 END,
+  CASE WHEN held AND o.right THEN minutes WHEN NOT o.right THEN 8.0 WHEN step = 4 THEN 0.0 ELSE [1440, 4320, 11520, 30240][step + 1] * least(1.6, ease + 0.04::DOUBLE) END::DOUBLE,
+  CASE WHEN o.right THEN misses ELSE misses + 1 END,
+  CASE WHEN held AND o.right THEN ease WHEN held THEN 1.0 WHEN NOT o.right AND step > 0 THEN greatest(0.55, ease - 0.2::DOUBLE) WHEN NOT o.right AND misses > 0 THEN greatest(0.55, ease - 0.1::DOUBLE)
+    WHEN NOT o.right OR step = 4 THEN ease ELSE least(1.6, ease + 0.04::DOUBLE) END::DOUBLE, o.right AND (held OR step = 4)""",
+        "step, minutes, misses, ease, held",
+    )
+)
 def ladder_fold(spark, sf_dir):
     e = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", _right())
-    return state.ordered_fold(e, "user_id", ["ts", "event_id"], ["right"], lambda: (0, 0, 0, False), state.ladder, "step long, minutes long, misses long, held boolean")
+    return state.ordered_fold(e, "user_id", ["ts", "event_id"], ["right"], lambda: (0, 0.0, 0, 1.0, False), state.ladder, "step long, minutes double, misses long, ease double, held boolean")
 
 
-@query()
+_MEAN = "list_avg(list_append(scores, o.score)[-5:])"
+_ENOUGH = "o.words >= 3 AND len(scores) >= 3"
+
+
+@query(
+    _folded(
+        "user_id, k, level, scores",
+        "(user_id % 60 + 24)::BIGINT, []::DOUBLE[]",
+        f"""CASE WHEN {_ENOUGH} AND {_MEAN} >= 0.85 AND level > 26 THEN CASE WHEN level > 70 THEN 62 ELSE level - 2 END WHEN {_ENOUGH} AND {_MEAN} < 0.5 AND level < f.user_id % 60 + 32 THEN level + 2 ELSE level END,
+  CASE WHEN o.words < 3 THEN scores WHEN {_ENOUGH} AND ({_MEAN} >= 0.85 AND level > 26 OR {_MEAN} < 0.5 AND level < f.user_id % 60 + 32) THEN [] ELSE list_append(scores, o.score)[-8:] END""",
+        "level, len(scores)::BIGINT AS n_scores",
+    )
+)
 def level_fold(spark, sf_dir):
-    e = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", F.least(F.lit(1.0), F.col("value") / 20).alias("score"))
-    return state.ordered_fold(e, "user_id", ["ts", "event_id"], ["score"], lambda: (10, ""), state.level, "level long, scores string")
+    """Users start at levels 24 to 83."""
+    e = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", F.least(F.lit(1.0), F.col("value") / 20).alias("score"), (F.col("event_id") % 8).alias("words"), (F.col("user_id") % 60 + 24).alias("first"))
+    step = lambda s, score, words, first: state.level(s or (first, first, ""), score, words)
+    out = state.ordered_fold(e, "user_id", ["ts", "event_id"], ["score", "words", "first"], tuple, step, "level long, first long, scores string")
+    return out.select("user_id", "level", F.when(F.col("scores") == "", 0).otherwise(F.size(F.split("scores", ","))).cast("long").alias("n_scores"))
 
 
 @query()
@@ -129,7 +172,7 @@ def stream_dedup(spark, sf_dir):
 
 
 
-@query()
+@query(_SM2)
 def stream_sm2(spark, sf_dir):
     """The streaming twin of sm2_fold: each user's last state."""
     states = streams.run(streams.sm2_states(streams.source(spark, sf_dir)), spark, "sm2", "update")

@@ -63,14 +63,14 @@ def sm2_states(events: DataFrame) -> DataFrame:
     from ..operators.state import sm2
 
     def run(key, frames, state):
-        n, *s = state.get if state.exists else (0, 2.5, 0, 0)
+        n, *s = state.get if state.exists else (0, 2.5, 0.0, 0)
         s = tuple(s)
         rows = pd.concat([f[["ts", "event_id", "event_type"]] for f in frames]).sort_values(["ts", "event_id"])
         for kind in rows["event_type"]:
             s = sm2(s, kind != "error")
             n += 1
-        state.update((n, float(s[0]), int(s[1]), int(s[2])))
-        yield pd.DataFrame([(key[0], n, float(s[0]), int(s[1]), int(s[2]))], columns=["user_id", "n", "ease", "days", "repetitions"])
+        state.update((n, float(s[0]), float(s[1]), int(s[2])))
+        yield pd.DataFrame([(key[0], n, float(s[0]), float(s[1]), int(s[2]))], columns=["user_id", "n", "ease", "days", "repetitions"])
 
-    out, held = "user_id long, n long, ease double, days long, repetitions long", "n long, ease double, days long, repetitions long"
+    out, held = "user_id long, n long, ease double, days double, repetitions long", "n long, ease double, days double, repetitions long"
     return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(run, out, held, "update", "NoTimeout")

@@ -29,8 +29,8 @@ def test_glosses(spark):
 
 
 def test_language(spark):
-    assert [one(spark, lang.era(F.lit(x))) for x in ("Latin", "Proto-Samic", "Old Javanese", "Late Middle Javanese", "Finnish")] == [-50, -1500, 1000, 1450, 1850]
-    assert [one(spark, lang.family(F.lit(x))) for x in ("English", "Old English", "Old Norse", "Finnish")] == ["English", "Older English", "Germanic", "Other"]
+    assert [one(spark, lang.era(F.lit(x))) for x in ("Latin", "Proto-Samic", "Old Javanese", "Late Middle Javanese", "Finnish", "Proto-Turkic")] == [-50, -1500, 1000, 1450, 1850, -500]
+    assert [one(spark, lang.family(F.lit(x))) for x in ("English", "Old English", "Old Norse", "Finnish", "Klingon")] == ["English", "Older English", "Germanic", "Uralic, Turkic & Caucasian", "Other"]
     assert lang.title("*ḱḗr", "Proto-Indo-European") == "ḱēr" and lang.title("verbō", "Latin") == "verbo" and lang.title("root *x", "Gothic") == "x"
     assert one(spark, lang.title_key(F.lit("mōdor"), F.lit("Old English"))) == "modor" and one(spark, lang.folded(F.lit("*Été "))) == "ete"
     assert [one(spark, lang.nominative(F.lit(x))) for x in ("civitatem", "stationem", "actorem", "legionem")] == ["civitas", "statio", "actor", "legio"]
@@ -66,3 +66,14 @@ def test_more_graph(spark):
     assert [r.child for r in graph.fold_set(fam).collect()] == [1]
     ties = graph.tie_weights(spark.createDataFrame([(1, 8), (4, 9), (1, 2)], "child long, parent long"), spark.createDataFrame([(1, 5), (2, 5), (4, 5), (8, 9), (9, 9)], "node long, root long"))
     assert [tuple(r) for r in ties.collect()] == [(5, 9, 2)]
+
+
+def test_names(spark):
+    said = {"A surname.": True, "A female given name from Latin.": True, "A river in Germany": True, "An inhabitant of the coast.": False, "A Greek goddess of Hunt.": True, "A poet (1770–1850).": True, "The language of love.": False, None: False}
+    for gloss, want in said.items():
+        assert one(spark, pred.proper_gloss(F.lit(gloss).cast("string"))) == want, gloss
+    assert one(spark, pred.only_name(F.array(F.lit("name")), F.lit("A city in Spain."))) and not one(spark, pred.only_name(F.array(F.lit("name")), F.lit("The third month of the year.")))
+    assert not one(spark, pred.only_name(F.array(F.lit("name"), F.lit("noun")), F.lit("A city.")))
+    assert [one(spark, pred.author(F.lit(x))) for x in ("Victor Hugo", "J. W. von Goethe", "Suhrkamp Verlag", "The Times", "of the sea 1990")] == [True, True, False, False, False]
+    assert [one(spark, pred.publisher(F.lit(x))) for x in ("Suhrkamp Verlag", "Penguin Books", "Victor Hugo")] == [True, True, False]
+    assert [one(spark, pred.press(F.lit(x))) for x in ("The New York Times", "Die Zeitung", "Victor Hugo")] == [True, True, False]

@@ -84,15 +84,25 @@ def test_graph(spark):
 
 
 def test_folds():
-    s = (2.5, 0, 0)
-    for right, days in ((True, 1), (True, 6), (True, 16), (False, 1)):
+    s = (2.5, 0.0, 0)
+    for right, days, ease in ((True, 1, 2.5), (True, 6, 2.5), (True, 15, 2.5), (False, 1, 1.96), (False, 1, 1.42), (False, 1, 1.3)):
         s = state.sm2(s, right)
-        assert s[1] == days
-    s = (0, 0, 0, False)
-    for _ in range(5):
+        assert s[1] == days and s[0] == pytest.approx(ease)
+    for _ in range(3000):
+        s = state.sm2((2.5, s[1], s[2]), True)
+    assert s[1] == float("inf")
+    s = (0, 0.0, 0, 1.0, False)
+    s = state.ladder(s, False)
+    assert s[2:4] == (1, 1.0)
+    s = state.ladder(s, False)
+    assert s[3] == pytest.approx(0.9)
+    for k in range(1, 6):
         s = state.ladder(s, True)
-    assert s[3] and state.ladder(s, True) == s and not state.ladder(s, False)[3]
-    s = (10, "")
-    for _ in range(4):
-        s = state.level(s, 0.9)
-    assert s == (8, "")
+        assert s[0] == k and (s[4] or s[1] == pytest.approx(state.LADDER[k] * (0.9 + 0.04 * k)))
+    assert s[4] and state.ladder(s, True) == s and state.ladder(s, False)[3:] == (1.0, False)
+    for first, score, want in ((72, 0.9, 62), (50, 0.9, 48), (26, 0.9, 26), (50, 0.2, 52), (50, 0.7, 50)):
+        s = (first, first, "")
+        for _ in range(4):
+            s = state.level(s, score, 5)
+        assert s[0] == want and state.level(s, 0.0, 2) == s
+    assert state.level((58, 50, "0.1,0.1,0.1,0.1"), 0.1, 9)[0] == 58
