@@ -421,7 +421,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000,
     found = d.select("doc", "text").mapInArrow(find, "shard int, data binary").groupBy("shard").applyInArrow(settle, "block int, kind int, data binary")
     found = stash(found, "spans")
     d = d.withColumn("block", block(F.col("doc"), n_blocks))
-    pieces = d.select("block", "doc", "text").groupBy("block").cogroup(found.where("kind = 1").groupBy("block")).applyInArrow(cut, "shard int, data binary")
+    # all columns of d, as in _removed(), so that texts are shuffled once
+    pieces = d.groupBy("block").cogroup(found.where("kind = 1").groupBy("block")).applyInArrow(cut, "shard int, data binary")
     more = pieces.groupBy("shard").applyInArrow(compare, "block int, kind int, data binary")
     return d, n_blocks, found.where("kind = 0").unionByName(more).select("block", "data")
 
