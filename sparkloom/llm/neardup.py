@@ -13,9 +13,10 @@ rules out only pairs under the threshold.  What is left is confirmed on full set
 Scale.  Copies (equal sets) are folded by a fingerprint first.  In a bucket, all
 members are paired with the least one; links found make components; only
 members of a bucket that are still in different components are compared further,
-in blocks inside one stream, and only pairs whose estimate comes near the
-threshold leave it.  So a group of copies or near copies costs as many pairs as
-members, while no link between different components goes unchecked.
+by pairs of cells of bounded size that any task can take, and only pairs whose
+estimate comes near the threshold leave them.  So a group of copies or near copies
+costs as many pairs as members, while no link between different components goes
+unchecked.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .exchange import lean
+from .exchange import lean, rowed
 from .shared import stash
 
 SHINGLE = 5
@@ -192,60 +193,87 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b").distinct()
 
 
-def across(members: DataFrame, percent: int, least: float) -> DataFrame:
+def cells(members: DataFrame, cell: int) -> DataFrame:
+    """members with low, high and `second`: the members of a bucket of more than `cell`
+    are dealt to cells of about that size by their hash, and each goes to every pair
+    (low, high) of cells that its own is part of; second tells the cell of the two.
+    Any two members of a bucket meet in one pair of cells, whose size is bounded."""
+    size = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > cell)
+    n = F.coalesce(F.ceil(F.col("size") / cell), F.lit(1)).cast("int")
+    dealt = members.join(size, "bucket", "left").withColumn("cells", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return each.select(*members.columns, low.alias("low"), high.alias("high"), (F.col("own") > F.col("other")).alias("second"))
+
+
+def across(members: DataFrame, percent: int, least: float, cell: int = 2048) -> DataFrame:
     """(bucket, rep, component, n, registers, parities) to the pairs (a, b) that share a
     bucket but no component, can be links, and whose estimate is at least `least`.
-    Buckets are streamed and compared in blocks; few pairs leave a bucket, for those
-    that pass are nearly all links between components."""
+    Pairs of cells of a bucket are streamed, so a task holds two cells at a time and a
+    hot bucket is spread over all tasks; few pairs leave, for those that pass are
+    nearly all links between components."""
 
-    def pairs(rep, comp, n, regs, odd) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(one: tuple, two: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Within one cell if two is None, else between cells."""
         step = 128
-        by = np.argsort(comp, kind="stable")
-        rep, comp, n, regs, odd = (x[by] for x in (rep, comp, n, regs, odd))
+        one = tuple(x[np.argsort(one[1], kind="stable")] for x in one)
+        two_ = one if two is None else tuple(x[np.argsort(two[1], kind="stable")] for x in two)
+        rep, comp, n, regs, odd = one
+        rep_, comp_, n_, regs_, odd_ = two_
         for i in range(0, len(rep), step):
-            for j in range(i, len(rep), step):
-                if comp[i] == comp[min(j + step, len(rep)) - 1]:
+            for j in range(i if two is None else 0, len(rep_), step):
+                c, c_ = comp[i : i + step], comp_[j : j + step]
+                if c[0] == c[-1] == c_[0] == c_[-1]:
                     continue  # one component, as they are in order
-                p, q = np.nonzero(comp[i : i + step, None] != comp[None, j : j + step])
-                if i == j:
+                p, q = np.nonzero(c[:, None] != c_[None, :])
+                if two is None and i == j:
                     p, q = p[p < q], q[p < q]
                 p, q = p + i, q + j
                 if len(p):
-                    good = possible(n[p], n[q], odd[p], odd[q], percent)
+                    good = possible(n[p], n_[q], odd[p], odd_[q], percent)
                     p, q = p[good], q[good]
                 if len(p):
-                    x, y = regs[p], regs[q]
-                    good = estimate(n[p], n[q], (x > y).sum(1), (x < y).sum(1)) >= least
-                    a, b = rep[p[good]], rep[q[good]]
+                    x, y = regs[p], regs_[q]
+                    good = estimate(n[p], n_[q], (x > y).sum(1), (x < y).sum(1)) >= least
+                    a, b = rep[p[good]], rep_[q[good]]
                     yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
-        bucket = None
-
-        def closed():
-            rep, comp, n = (np.array(h) for h in held[:3])
-            regs = np.frombuffer(b"".join(held[3]), np.uint16).reshape(-1, M)
-            odd = np.frombuffer(b"".join(held[4]), np.uint64).reshape(-1, PARITY // 64)
-            for a, b in pairs(rep, comp, n, regs, odd):
+        lean()
+        held: tuple[list, list] = ([], [])
+        now = None
+
+        def arrays(rows: list) -> tuple:
+            rep, comp, n, regs, odd = zip(*rows, strict=True)
+            regs, odd = np.frombuffer(b"".join(regs), np.uint16), np.frombuffer(b"".join(odd), np.uint64)
+            return np.array(rep), np.array(comp), np.array(n), regs.reshape(-1, M), odd.reshape(-1, PARITY // 64)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if now[1] == now[2]:
+                found = pairs(arrays(held[0]), None)
+            elif held[0] and held[1]:
+                found = pairs(arrays(held[0]), arrays(held[1]))
+            else:
+                return
+            for a, b in found:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != bucket and held[0]:
-                    yield from closed()
-                    held = [[], [], [], [], []]
-                bucket = key
-                for h, x in zip(held, row, strict=True):
-                    h.append(x)
-        if held[0]:
+            for bucket, low, high, second, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, low, high) != now:
+                    if now:
+                        yield from closed()
+                    held, now = ([], []), (bucket, low, high)
+                held[second].append(row)
+        if now:
             yield from closed()
 
-    dealt = members.select("bucket", "rep", "component", "n", "registers", "parities").repartition("bucket").sortWithinPartitions("bucket", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    key = ["bucket", "low", "high"]
+    dealt = cells(members, cell).select(*key, "second", "rep", "component", "n", "registers", "parities")
+    return dealt.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.15, cell: int = 2048) -> DataFrame:
     """Takes doc_id (a whole number) and text.
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (the smallest
@@ -253,6 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.15) ->
     Documents are linked if 100 * intersection >= percent * union of their sets.
     A pair of that similarity shares no band with probability under 3e-8; pairs
     whose estimate is more than `slack` (over four standard deviations) below are dropped.
+    Buckets of more than `cell` members are compared by cells of about that size.
 
     Null or empty text, or no words: an empty set, linked with nothing.  A null
     id: linked with nothing, component null, kept.  Rows that repeat an id share its
@@ -274,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.15) ->
     named = buckets.where("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     torn = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     open_ = named.join(torn, "bucket", "left_semi").join(reps.select("rep", "n", "registers", "parities"), "rep")
-    rest = stash(across(open_, percent, least).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = stash(across(open_, percent, least, cell).join(tried, ["a", "b"], "left_anti"), "rest")
     more = stash(confirm(rest, docs, percent), "links")
     # components of components: what the first pass settled is not walked again
     name = first.withColumnRenamed("component", "c")
@@ -297,7 +326,9 @@ def _by_id(all_: DataFrame, of_id: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs, all columns, that stand for their component."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = stash(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs, all columns, that stand for their component: one row of each,
+    also where rows repeat an id or have none (a null id comes before all others)."""
+    rows = rowed(docs)
+    judged = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
+    gone = stash(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "gone")
+    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)

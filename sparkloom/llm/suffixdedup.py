@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import NO_ID, block, block_of, cuts, doc_long, lean, pack, parts, shard_of, text_bytes, unpack
+from .exchange import NO_ID, block, block_of, cuts, doc_long, lean, pack, parts, rowed, shard_of, text_bytes, unpack
 from .neardup import _mixed
 from .shared import stash
 
@@ -259,21 +259,6 @@ def _table(rows, names=("block", "kind", "data")) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
-def rowed(docs: DataFrame) -> DataFrame:
-    """docs with __row, a long that no two rows share, in the order of ids.
-
-    It is the id (NO_ID for null) if none occurs twice.  Else rows are written in the
-    order of id and the text's hash and numbered; rows alike in both come in any order.
-    """
-    out = docs.withColumn("__row", doc_long())
-    if out.groupBy("__row").count().where("count > 1").isEmpty():
-        return out
-    n = parts(text_bytes(docs), 16_000_000)
-    out = out.withColumn("__sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("__tie", F.monotonically_increasing_id())
-    out = out.repartitionByRange(n, "__row", "__sha", "__tie").sortWithinPartitions("__row", "__sha", "__tie")
-    return stash(out.drop("__sha", "__tie").withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = 6_000_000, shard_bytes: int = 6_000_000, piece_bytes: int = 1_000_000) -> tuple[DataFrame, int, DataFrame]:
     """Of rowed() docs, the texts by block and, packed by block, the spans to remove: (docs, number of blocks, spans)."""
     if not K < length <= LONGEST:

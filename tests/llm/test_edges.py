@@ -124,8 +124,36 @@ def test_chain_of_near_copies(spark):
             w[r.randrange(150)] = f"m{k}{r.randrange(9)}"
         docs.append((k, " ".join(w)))
     want = brute.near_duplicates(docs)
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == want
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for cell in (2048, 4):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(frame, cell=cell).collect()}
+        assert got == want
+
+
+def test_cells(spark):
+    """Every two members of a bucket in different components meet, however small the cells; those of one don't."""
+    base = [neardup.shingles(sentence(k, 120)) for k in range(3)]
+    rows = []
+    for rep in range(90):
+        own = neardup.shingles(f"own{rep} words of its own")
+        h = np.union1d(base[rep // 40], own)
+        rows.append((rep // 40, rep, rep - rep % 2, len(h), bytearray(neardup.sketch(h).tobytes()), bytearray(neardup.parities(h).tobytes())))
+    members = spark.createDataFrame(rows, "bucket long, rep long, component long, n long, registers binary, parities binary")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2]}
+    for cell in (1, 7, 40, 2048):
+        assert {(r.a, r.b) for r in neardup.across(members, 85, 0.7, cell).collect()} == want
+    dealt = neardup.cells(members, 7)
+    sizes = [r["count"] for r in dealt.groupBy("bucket", "low", "high").count().collect()]
+    assert max(sizes) < 40 and dealt.where("low = high").count() == 90
+
+
+def test_keep_first_rows(spark):
+    """One row of a group stays, also of rows with one id or without ids; empty texts stay."""
+    a, b, c = (sentence(k, 60) for k in (21, 22, 23))
+    docs = [(None, a), (None, a), (1, a), (2, b), (2, b), (2, c), (3, c), (4, None), (4, None), (None, "")]
+    got = neardup.keep_first(spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, row string"))
+    assert got.columns == ["doc_id", "text", "row"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(0, a), (2, b), (2, c), (4, ""), (4, ""), (0, "")])
 
 
 def test_sketches():
