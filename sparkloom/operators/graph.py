@@ -88,7 +88,8 @@ def break_cycles(parents: DataFrame) -> DataFrame:
 
 
 def tree_roots(parents: DataFrame, most: int = 40) -> DataFrame:
-    """(node, root) in a forest, by pointer doubling; roots are nodes without a parent."""
+    """(node, root) in a forest, by pointer doubling; roots are nodes without a parent.
+    `most` rounds reach 2**most levels; a cycle, which has no root, is a ValueError."""
     up = stash(parents.select(F.col("child").alias("node"), F.col("parent").alias("to")), "up")
     for _ in range(most):
         ahead = up.select(F.col("node").alias("to"), F.col("to").alias("then"))
@@ -96,6 +97,8 @@ def tree_roots(parents: DataFrame, most: int = 40) -> DataFrame:
         up = nxt.select("node", "to")
         if nxt.where("moved").isEmpty():
             break
+    else:
+        raise ValueError("the parents hold a cycle")
     roots = parents.select(F.col("parent").alias("node")).distinct().join(parents.select(F.col("child").alias("node")), "node", "left_anti")
     return up.select("node", F.col("to").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
@@ -163,11 +166,12 @@ def reaches(edges: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
     return pairs.join(closure(edges, most), ["node", "ancestor"], "left_semi")
 
 
-def keep_ancestry(edges: DataFrame, seeds: DataFrame, most: int = 12) -> DataFrame:
-    """Edges that some seed (node) reaches: from the seeds upwards, level by level."""
+def keep_ancestry(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges that some seed (node) reaches: from the seeds upwards, level by level, to
+    the end, in as many rounds as there are levels; cycles end where they close."""
     found = stash(seeds.select("node").distinct(), "kept")
     front = found
-    for _ in range(most):
+    while True:
         up = edges.join(front, edges["child"] == front["node"], "left_semi").select(F.col("parent").alias("node")).distinct()
         front = stash(up.join(found, "node", "left_anti"), "front")
         if front.isEmpty():

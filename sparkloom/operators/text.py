@@ -15,8 +15,8 @@ K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII words."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
+    """Lower-case words of letters, marks and digits, in any script."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), lambda w: F.lower(w))
 
 
 def bm25(docs: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def cluster_components(spark, sf_dir):
 
 
 _TERMS = ("thing", "erst")
-_TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w))"
+_TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+'), lambda w: lower(w))"
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),

@@ -48,6 +48,8 @@ def test_more_graph(spark):
     reach = graph.closure(e)
     n = lambda *x: spark.createDataFrame([(k,) for k in x], "node long")
     assert {r.child for r in graph.keep_ancestry(e, n(1)).collect()} == {1, 2, 3}
+    deep = spark.createDataFrame([(k, k + 1) for k in range(15)] + [(15, 14)], "child long, parent long")
+    assert graph.keep_ancestry(deep, n(0)).count() == 16
     assert {r.ancestor for r in graph.common_ancestors(reach, n(1, 4)).collect()} == {3, 5}
     got = {(r.node, r.role) for r in graph.focus(e.drop("kind"), 3).collect()}
     assert got == {(5, "ancestor"), (2, "child"), (4, "child"), (1, "grandchild")}

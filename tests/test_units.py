@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import morph, scalar
-from sparkloom.operators import graph, relational, series, state
+from sparkloom.operators import graph, relational, series, state, text
 from sparkloom.operators.components import connected_components
 
 
@@ -73,12 +73,19 @@ def test_apply_is_idempotent(spark):
     assert relational.same_keys(base, base, ["k"]).isEmpty() and relational.same_keys(base, once, ["k"]).count() == 1
 
 
+def test_words_of_any_script(spark):
+    got = spark.createDataFrame([("Élan à Zürich 42, naïve!",), (None,)], "t string").select(text.tokens(F.col("t")).alias("w")).collect()
+    assert got[0].w == ["élan", "à", "zürich", "42", "naïve"] and got[1].w is None
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (5, 6), (6, 5)], "child long, parent long")
     reach = {(r.node, r.ancestor): r.depth for r in graph.closure(e).collect()}
     assert reach[1, 3] == 2 and reach[5, 5] == 2 and (3, 1) not in reach
     assert {(r.node, r.loop) for r in graph.loops(e.unionAll(spark.createDataFrame([(3, 3)], "child long, parent long"))).collect()} == {(3, 3), (5, 5), (6, 5)}
     assert {r.node: r.root for r in graph.tree_roots(e.where("child < 5")).collect()} == {1: 3, 2: 3, 4: 3, 3: 3}
+    with pytest.raises(ValueError):
+        graph.tree_roots(e.where("child >= 5"), most=2)
     c = {r.node: r.component for r in connected_components(spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(500, 400)], "a long, b long")).collect()}
     assert c[200] == 1 and c[500] == 400 and len(c) == 202
 
