@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stash
+
 #: Frame magics of the WARC and Zstandard formats.
 DICTIONARY, PADDING, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: Fixed value: the profile of revisit records.
@@ -144,11 +146,16 @@ def records(data: bytes) -> Iterator[Record]:
 
 def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, html, digest, size and refers_to: of equal payloads of at least
-    `least` bytes the largest page_id is the response that the others refer to."""
+    `least` bytes the largest page_id is the response that the others refer to.
+
+    Rows that repeat the largest page_id are all responses; a null page_id is the
+    least.  The digests that occur twice are written first, so that a join that is too
+    large to be broadcast is one of two plain shuffles, whose hot digests Spark splits.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     copies = p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    j = p.join(copies.select("digest", "first"), "digest", "left")
+    j = p.join(stash(copies.select("digest", "first"), "copies"), "digest", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return j.select("page_id", "url", "html", "digest", "size", F.when(other, F.col("first")).alias("refers_to"))
 
