@@ -97,14 +97,19 @@ def measure(docs: DataFrame, span: int = 8) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _failed(tests: list[str]) -> Column:
+    """The bits of the tests that hold."""
+    bits = [F.when(F.expr(t), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(tests)]
+    return sum(bits[1:], bits[0])
+
+
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, span: int = 8) -> DataFrame:
     """A row per row of docs: doc_id, the measures and `failed`, a bit a rule.
 
     Null or empty text has measures 0 and fails too_short.  Repeated rows are
     rows of their own; no rows: no rows.
     """
-    bits = [F.when(F.expr(r.test), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(rules)]
-    return measure(docs, span).withColumn("failed", sum(bits[1:], bits[0]))
+    return measure(docs, span).withColumn("failed", _failed([r.test for r in rules]))
 
 
 def mask(policy: tuple[str, int], rules: tuple[Rule, ...] = RULES, policies: dict = POLICIES) -> int:
@@ -135,7 +140,7 @@ def ablation(ledger_: DataFrame, policy: tuple[str, int], rules: tuple[Rule, ...
 
 
 def keep(docs: DataFrame, policy: tuple[str, int] = ("prose", 2)) -> DataFrame:
-    """The rows of docs, all columns, that pass the policy.  Measured in one pass beside the row; no join."""
+    """The rows of docs, all columns, that pass the policy.  The ledger is made in one pass beside the row; no join."""
     names = docs.columns
     mark = "__" + "_" * max((len(n) for n in names if n.startswith("__")), default=0)  # no column begins so
     at = [n.lower() for n in names].index("text")
@@ -152,7 +157,5 @@ def keep(docs: DataFrame, policy: tuple[str, int] = ("prose", 2)) -> DataFrame:
     def renamed(test: str) -> str:
         return " ".join(f"`{mark}{x}`" if x in MEASURES else x for x in test.split(" "))
 
-    for k, r in enumerate(RULES):
-        if mask(policy) >> k & 1:
-            measured = measured.where(~F.expr(renamed(r.test)))
-    return measured.select(*names)
+    failed = _failed([renamed(r.test) for r in RULES])
+    return measured.where(failed.bitwiseAND(F.lit(mask(policy))) == 0).select(*names)
