@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     node moves to the least node nearby, in a small star every lesser one does;
     the edges become stars around the least nodes in a number of rounds that
     grows with the logarithm of a component's size.  A round is two aggregations
-    with map-side sums and two joins whose skewed side Spark can split; nothing
-    is collected but a count and a checksum a round.
+    with map-side sums and two joins that stream the edges of a node, a star's in
+    one task; nothing is collected but a count and a checksum a round.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e, seen = stash(e, "edges"), None
