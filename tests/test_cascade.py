@@ -2,7 +2,7 @@
 
 from compare import compare
 
-from sparkloom.llm.shared import new_path
+from sparkloom.sources.shared import new_path
 from sparkloom.plans import texts
 
 
