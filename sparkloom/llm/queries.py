@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, licences, lm, mixing, neardup, quality, suffixdedup, warc
+from . import bpe, chat, decontam, htmltext, licences, lm, mixing, neardup, quality, suffixdedup, warc
 from .exchange import NO_ID
 from .shared import new_path, table
 
@@ -74,6 +74,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return chat.digest(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations")), codec), codec)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """All documents encoded by a vocabulary of words with word ends, and decoded."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    codec = bpe.load(spark, vocabulary)
+    read = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec), codec)
+    n, ids = F.size("ids").cast("long"), F.array_join(F.col("ids").cast("array<string>"), " ")
+    return read.select("doc_id", n.alias("n_tokens"), bpe.digest(ids).alias("ids_sha256"), bpe.digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
