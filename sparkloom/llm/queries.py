@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, licences, lm, mixing, neardup, quality, suffixdedup, warc
+from . import bpe, chat, decontam, htmltext, licences, lm, mixing, neardup, quality, resample, suffixdedup, warc
 from .exchange import NO_ID
 from .shared import new_path, table
 
@@ -74,6 +74,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return chat.digest(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations")), codec), codec)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn by their words' likeness to the benchmark's."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """All documents encoded by a vocabulary of words with word ends, and decoded."""
     if vocabulary is None:

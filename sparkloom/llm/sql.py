@@ -167,7 +167,38 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: CRC-32 of strings: a table of 256 entries by the polynomial's rule, then a fold over a string's bytes.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(strlen({0})), lambda i: ('0x' || hex({0})[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+OP11 = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW.format("text")}, '{_CLASS}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOW.format("text")}, '{_CLASS}') AS w FROM benchmark),
+dn AS (SELECT row, x, count(*) AS n FROM (SELECT row, unnest(w) AS x FROM d) GROUP BY row, x),
+bn AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM b) GROUP BY x),
+place AS (SELECT x, {_CRC.format("x")} % 10000 AS bucket FROM (SELECT x FROM dn UNION SELECT x FROM bn), crc_table),
+s AS (SELECT bucket, sum(n) AS s FROM dn JOIN place USING (x) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM bn JOIN place USING (x) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), (SELECT coalesce(sum(s), 0) AS all_s FROM s), (SELECT coalesce(sum(t), 0) AS all_t FROM t)),
+sums AS (SELECT row, sum(n * gain) AS total FROM dn JOIN place USING (x) JOIN gain USING (bucket) GROUP BY row),
+weighed AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(floor(total / len(w)), 0)::BIGINT AS weight,
+    ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM d LEFT JOIN sums USING (row)),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place,
+    10 * count(*) FILTER (WHERE n_features >= 20) OVER () // 100 AS quota FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= quota THEN place END AS rank FROM ranked
+"""
+
 SQL = {
     "op1_mixing": OP1, "op2_decontamination": OP2, "op3_near_duplicates": OP3, "op4_quality_rules": OP4,
     "op5_licence_scan": OP5, "op6_suffix_dedup": OP6, "op8_warc": OP8, "op10_chat_format": OP10,
+    "op11_resample": OP11,
 }
