@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, licences, lm, mixing, neardup, quality, resample, suffixdedup, warc
+from . import bpe, chat, decontam, htmltext, licences, lm, mixing, neardup, quality, resample, spelling, suffixdedup, warc
 from .exchange import NO_ID
 from .shared import new_path, table
 
@@ -80,6 +80,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, those one letter apart, and the form that each is a slip of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """All documents encoded by a vocabulary of words with word ends, and decoded."""
     if vocabulary is None:

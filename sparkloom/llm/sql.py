@@ -197,8 +197,31 @@ ranked AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= quota THEN place END AS rank FROM ranked
 """
 
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+hashed AS (SELECT w, n, {_CRC.format("(d || w)")} AS h FROM (SELECT d, w, count(*) AS n FROM runs GROUP BY d, w), crc_table),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (
+  SELECT word, i, word[1 : i] || word[i + 2 :] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT less.word AS a, v.word AS b FROM less JOIN v ON less.rest = v.word
+  UNION SELECT v.word, less.word FROM less JOIN v ON less.rest = v.word
+  UNION SELECT x.word, y.word FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+near AS (
+  SELECT a, count(*) AS n_near, min({{'less': -v.n, 'word': b}}) AS best FROM pairs JOIN v ON b = v.word GROUP BY a),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 10 * n THEN best.word END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+  FROM v LEFT JOIN near ON word = a),
+way AS (
+  SELECT word, word AS last FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON way.last = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT way.word, last AS root FROM way JOIN forms ON way.last = forms.word WHERE forms.form IS NULL)
+SELECT word, n, n_near, form, form_n::BIGINT AS form_n, root FROM forms JOIN ends USING (word)
+"""
+
 SQL = {
     "op1_mixing": OP1, "op2_decontamination": OP2, "op3_near_duplicates": OP3, "op4_quality_rules": OP4,
     "op5_licence_scan": OP5, "op6_suffix_dedup": OP6, "op8_warc": OP8, "op10_chat_format": OP10,
-    "op11_resample": OP11,
+    "op11_resample": OP11, "op12_spelling_variants": OP12,
 }
