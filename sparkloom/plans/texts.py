@@ -46,21 +46,9 @@ def cluster_components(spark, sf_dir):
     return connected_components(similarity.similar_pairs(_vectors(Tables(spark, sf_dir)), ["label"], 0.35).select("a", "b"))
 
 
-_TERMS = ("thing", "erst")
 _TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+'), lambda w: lower(w))"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, {", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{k}" for k, t in enumerate(_TERMS))} FROM w),
-s AS (SELECT count(*) AS docs, avg(n) AS mean, {", ".join(f"count(*) FILTER (WHERE t{k} > 0) AS n{k}" for k in range(len(_TERMS)))} FROM c)
-SELECT doc_id, round({" + ".join(f"ln((docs - n{k} + 0.5::DOUBLE) / (n{k} + 0.5::DOUBLE) + 1) * t{k} * 2.2::DOUBLE / (t{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for k in range(len(_TERMS)))}, 4) AS score
-FROM c, s WHERE {" AND ".join(f"t{k} > 0" for k in range(len(_TERMS)))} ORDER BY score DESC, doc_id LIMIT 20""")
-def fts_match(spark, sf_dir):
-    """The twenty best are the report."""
-    d = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), "text")
-    return text.bm25(d, _TERMS).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
-
-
 @query(f"""WITH {_VOCABULARY}, t AS (SELECT *, CASE WHEN word = 'that' THEN 0 WHEN lower(word) = 'that' THEN 1 WHEN starts_with(lower(word), 'that') THEN 2 END AS tier FROM vocabulary)
 SELECT word, n, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, length(word), n DESC, word LIMIT 40""")
 def prefix_search(spark, sf_dir):
