@@ -92,30 +92,6 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end() - m.start(), m[0]) for m in _TOKEN.finditer(text)]
 
 
-def phrases(text: str, index: dict[str, list[tuple[str, ...]]], gaps: frozenset[str], most: int = 2) -> list[tuple[int, int, str]]:
-    """(start, end, phrase) of phrases with up to `most` words of a closed class in
-    between, not across punctuation: fewest gaps, then longest; none overlap."""
-    found = []
-    words = [(s, s + n, t.lower()) for s, n, t in tokens(text)]
-    for i, (start, _, first) in enumerate(words):
-        for phrase in index.get(first, ()):
-            at, used, ok = i, 0, True
-            for want in phrase[1:]:
-                at += 1
-                while at < len(words) and words[at][2] != want and words[at][2] in gaps and used < most:
-                    at, used = at + 1, used + 1
-                if at >= len(words) or words[at][2] != want:
-                    ok = False
-                    break
-            if ok and not re.search(r"[.,;:!?()\n]", text[start : words[at][1]]):
-                found.append((used, -len(phrase), start, words[at][1], " ".join(phrase)))
-    taken: list[tuple[int, int, str]] = []
-    for _, _, start, end, phrase in sorted(found):
-        if all(end <= s or start >= e for s, e, _ in taken):
-            taken.append((start, end, phrase))
-    return sorted(taken)
-
-
 def similar_prefix(a: str, b: str) -> int:
     """Length of the longest common prefix."""
     n = 0

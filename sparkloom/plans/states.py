@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import morph
-from ..operators import state
+from ..operators import phrases, state
 from ..streaming import events as streams
 from .registry import Registry, Tables
 from .relational import _VOCABULARY, vocabulary
@@ -111,23 +111,43 @@ def tokenize_offsets(spark, sf_dir):
     return c.mapInArrow(run, "conv_id long, turn long, start long, length long, token string")
 
 
-#: The phrases and gap words of the query below.
-PHRASES = {"of": [("of", "in"), ("of", "the", "in")], "en": [("en", "la")], "it": [("it", "was")], "der": [("der", "die")]}
-GAPS = frozenset("the a an of le la de que die das und".split())
-
-
-@query()
+#: Words that may stand between a phrase's words.
+GAPS = ("the", "a", "an", "of", "le", "la", "de", "que", "die", "das", "und")
+_STREAM = r"""list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[,.;:!?()«»"—–\n]'), lambda x: lower(x))"""
+_SIGNS = """[',', '.', ';', ':', '!', '?', '(', ')', '«', '»', '"', '—', '–', chr(10)]"""
+_GAP = "(" + ", ".join(f"'{g}'" for g in GAPS) + ")"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT {_STREAM} AS w FROM benchmark),
+runs AS (SELECT w[s + 1 : s + n] AS ws FROM (SELECT w, n, unnest(range(0, len(w) - n + 1)) AS s FROM b, (VALUES (2), (3)) v(n) WHERE len(w) >= n)),
+ph AS (SELECT DISTINCT array_to_string(ws, ' ') AS phrase, ws, len(ws) AS size FROM runs WHERE NOT list_has_any(ws, {_SIGNS})),
+t AS (SELECT doc_id, i - 1 AS p, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_STREAM} AS w FROM documents))),
+g AS (SELECT doc_id, p FROM t WHERE x IN {_GAP}),
+pairs AS (
+  SELECT t.doc_id, t.p AS a, u.p AS b, t.x AS x, u.x AS y FROM t JOIN t u ON t.doc_id = u.doc_id AND u.p BETWEEN t.p + 1 AND t.p + 3
+  LEFT JOIN g g1 ON u.p > t.p + 1 AND g1.doc_id = t.doc_id AND g1.p = t.p + 1 LEFT JOIN g g2 ON u.p > t.p + 2 AND g2.doc_id = t.doc_id AND g2.p = t.p + 2
+  WHERE (u.p = t.p + 1 OR g1.p IS NOT NULL) AND (u.p < t.p + 3 OR g2.p IS NOT NULL)),
+c AS (
+  SELECT doc_id, phrase, a AS start, [a, b] AS places, b - a - 1 AS gaps, [b - a - 1] AS spread FROM pairs JOIN ph ON size = 2 AND x = ws[1] AND y = ws[2]
+  UNION ALL SELECT k.doc_id, phrase, k.a, [k.a, k.b, l.b], l.b - k.a - 2, [k.b - k.a - 1, l.b - l.a - 1] FROM pairs k JOIN ph ON size = 3 AND k.x = ws[1] AND k.y = ws[2]
+    JOIN pairs l ON l.doc_id = k.doc_id AND l.a = k.b AND l.y = ws[3] WHERE l.b - k.a - 2 <= 2),
+one AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, phrase, start ORDER BY spread) = 1),
+r AS (SELECT *, max(places[-1]) OVER (PARTITION BY doc_id ORDER BY start, phrase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM one),
+st AS (SELECT *, sum((reach IS NULL OR start > reach)::INT) OVER (PARTITION BY doc_id ORDER BY start, phrase) AS stretch FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stretch ORDER BY gaps, len(places) DESC, start, phrase) AS k FROM st),
+f AS (
+  SELECT doc_id, stretch, 1 AS k, places AS taken, true AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.stretch, o.k, CASE WHEN list_has_any(taken, places) THEN taken ELSE list_concat(taken, places) END, NOT list_has_any(taken, places)
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.stretch = f.stretch AND o.k = f.k + 1)
+SELECT doc_id, phrase, start::BIGINT AS start, array_to_string(places, ',') AS places, gaps::BIGINT AS gaps FROM f JOIN o USING (doc_id, stretch, k) WHERE kept""")
 def phrase_match(spark, sf_dir):
-    """Gapped phrases in all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows = [(d, s, e, p) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, e, p in morph.phrases(x or "", PHRASES, GAPS)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "start", "end", "phrase"])
-
-    return Tables(spark, sf_dir).documents.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, phrase string")
+    """Pairs and triples of words in the benchmark, in all documents, with up to two gaps."""
+    t = Tables(spark, sf_dir)
+    w = t.benchmark.select(phrases.stream(F.col("text")).alias("w")).where(F.size("w") > 1)
+    runs = F.concat(*(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, F.lit(n))) for n in (2, 3)))
+    own = w.select(F.explode(runs).alias("words")).where(F.size("words") >= 2).where(~F.exists("words", lambda x: x.rlike(r"^[^\p{L}\p{M}\p{N}]$"))).select(F.array_join("words", " ").alias("phrase"), "words")
+    found = phrases.match(t.documents.select(F.col("doc_id").alias("id"), "text"), own, GAPS)
+    return found.select(F.col("id").alias("doc_id"), "phrase", F.col("start").cast("long").alias("start"), F.array_join(F.col("places").cast("array<string>"), ",").alias("places"), F.col("gaps").cast("long").alias("gaps"))
 
 
 @query(f"""WITH {_VOCABULARY}, w AS (SELECT DISTINCT lower(word) AS w FROM vocabulary WHERE length(word) >= 4),

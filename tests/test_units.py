@@ -22,14 +22,6 @@ def test_segmentation():
     assert morph.decompose("two words")[0].kind == "word" and morph.decompose("") == []
 
 
-def test_phrases():
-    index = {"of": [("of", "course"), ("of", "all", "kinds")]}
-    assert morph.phrases("Of the course, of all kinds.", index, frozenset({"the"})) == [(0, 13, "of course"), (15, 27, "of all kinds")]
-    assert morph.phrases("of, course", index, frozenset()) == []
-    assert [t for _, _, t in morph.tokens("l'été well-known x2")] == ["l'été", "well-known", "x"]
-    assert morph.split_depth("a, b(c, d), e") == ["a", "b(c, d)", "e"] and morph.similar_prefix("abc", "abd") == 2
-
-
 def test_scalars(spark):
     assert one(spark, scalar.fold(F.lit("Éßæ Ñandú"))) == "essae nandu"
     assert one(spark, scalar.djb2(F.lit("ab"))) == (5381 * 33 + 97) * 33 + 98
