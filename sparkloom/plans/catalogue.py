@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import columns, curation, graphs, relational, reports, search, series, states, texts
+from . import columns, curation, graphs, morphemes, relational, reports, search, series, states, texts
 
-_MODULES = (relational, series, graphs, texts, search, states, curation, reports, columns)
+_MODULES = (relational, series, graphs, texts, search, morphemes, states, curation, reports, columns)
 
 
 def queries() -> dict:

@@ -82,19 +82,6 @@ def level_fold(spark, sf_dir):
     return out.select("user_id", "level", F.when(F.col("scores") == "", 0).otherwise(F.size(F.split("scores", ","))).cast("long").alias("n_scores"))
 
 
-@query()
-def decompose_words(spark, sf_dir):
-    """Parses of all lower-case words of documents."""
-    words = vocabulary(Tables(spark, sf_dir).documents).select(F.lower("word").alias("word")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parses = [morph.decompose(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["+".join(p.text for p in x) for x in parses], pa.string()), pa.array(["+".join(p.kind for p in x) for x in parses], pa.string())], ["word", "pieces", "kinds"])
-
-    return words.mapInArrow(run, "word string, pieces string, kinds string")
-
-
 @query()
 def tokenize_offsets(spark, sf_dir):
     """Tokens of all turns with their places."""
