@@ -13,12 +13,12 @@ query = Registry()
 
 #: Words of two letters are prefixes, of three to five roots (one root with and without a final e), the ends of
 #: many long words suffixes; conditions of all three kinds.
-_TABLE = f"""{_VOCABULARY}, v AS (SELECT lower(word) AS w, sum(n)::BIGINT AS n FROM vocabulary GROUP BY 1),
+_TABLE = f"""{_VOCABULARY}, v AS MATERIALIZED (SELECT lower(word) AS w, sum(n)::BIGINT AS n FROM vocabulary GROUP BY 1),
 m AS (
   SELECT 'prefix' AS kind, w AS form, 'p:' || w AS id, n FROM v WHERE length(w) = 2 AND n >= 3
   UNION ALL SELECT 'root', w, 'r:' || regexp_replace(w, 'e$', ''), n FROM v WHERE length(w) BETWEEN 3 AND 5 AND n >= 3
   UNION ALL SELECT 'suffix', form, 's:' || form, count(*) FROM (SELECT w, unnest([w[-2:], w[-3:], w[-4:]]) AS form FROM v WHERE length(w) >= 6) GROUP BY form HAVING count(*) >= 20),
-t AS (
+t AS MATERIALIZED (
   SELECT kind, form, id, row_number() OVER (ORDER BY kind, n DESC, form)::INT AS place, CASE WHEN kind = 'prefix' AND form LIKE '%e' THEN '^[^aeiou]' END AS ahead,
     CASE WHEN kind = 'prefix' AND form LIKE 'i%' THEN '(tion|e|d)$' END AS whole, CASE WHEN kind = 'root' AND length(form) = 3 THEN 's$' END AS unless FROM m)"""
 _EDGES = """list({'n': length(form), 'x': form, 'i': id} ORDER BY length(form) DESC, place, id) FILTER (WHERE kind = """
@@ -28,29 +28,30 @@ e AS (
   SELECT w, a, kind, form, id, place FROM cut JOIN t USING (form) WHERE (ahead IS NULL OR regexp_matches(w[a + length(form) + 1 :], ahead)) AND (whole IS NULL OR regexp_matches(w, whole))
     AND (unless IS NULL OR NOT regexp_matches(w, unless)) AND (kind <> 'prefix' OR length(w) - a - length(form) >= 2)),
 lat AS (SELECT w, a, {_EDGES}'prefix') AS pre, {_EDGES}'root') AS root, {_EDGES}'suffix') AS suf FROM e GROUP BY w, a),
-l AS (
+l AS MATERIALIZED (
   SELECT c.w, c.a, coalesce(pre, []) AS pre, coalesce(root, []) AS root, coalesce(suf, []) AS suf,
     coalesce(min(CASE WHEN suf IS NOT NULL THEN c.a END) OVER (PARTITION BY c.w ORDER BY c.a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), length(c.w)) - c.a AS run,
     contains('aeiouy', c.w[c.a + 1]) AND lead(root) OVER (PARTITION BY c.w ORDER BY c.a) IS NOT NULL AS links
   FROM (SELECT w, unnest(range(length(w))) AS a FROM v) c LEFT JOIN lat ON lat.w = c.w AND lat.a = c.a),
 best AS (
-  SELECT w, length(w) AS a, [{{'s': 0, 'o': 0, 't': []::VARCHAR[], 'k': []::VARCHAR[], 'i': []::VARCHAR[]}}] AS f0, [{{'s': 0, 'o': 0, 't': []::VARCHAR[], 'k': []::VARCHAR[], 'i': []::VARCHAR[]}}] AS f1,
-    [{{'s': 0, 'o': 0, 't': []::VARCHAR[], 'k': []::VARCHAR[], 'i': []::VARCHAR[]}}] AS f2 FROM v
+  SELECT w, length(w) AS a, [{{'s': 0, 'o': 0, 'p': ''}}] AS f0, [{{'s': 0, 'o': 0, 'p': ''}}] AS f1, [{{'s': 0, 'o': 0, 'p': ''}}] AS f2 FROM v
   UNION ALL
   SELECT w, a, list_prepend(b0, f0), list_prepend(b1, f1), list_prepend(b2, f2) FROM (
-    SELECT *, list_sort(list_concat(list_transform(pre, lambda x, i: {{'s': (100 * x.n - 12 + f0[x.n].s)::INT, 'o': (-i)::INT, 't': list_prepend(x.x, f0[x.n].t), 'k': list_prepend('prefix', f0[x.n].k), 'i': list_prepend(x.i, f0[x.n].i)}}),
-        [{{'s': b1.s, 'o': -10000, 't': b1.t, 'k': b1.k, 'i': b1.i}}]), 'DESC')[1] AS b0 FROM (
-      SELECT *, list_sort(list_concat(list_transform(root, lambda x, i: {{'s': (100 * x.n + 88 + f1[x.n].s)::INT, 'o': (-i)::INT, 't': list_prepend(x.x, f1[x.n].t), 'k': list_prepend('root', f1[x.n].k), 'i': list_prepend(x.i, f1[x.n].i)}}),
-          CASE WHEN links THEN [{{'s': (f1[1].s - 7)::INT, 'o': -5000, 't': list_prepend(w[a + 1], f1[1].t), 'k': list_prepend('linker', f1[1].k), 'i': list_prepend('', f1[1].i)}}] ELSE [] END,
-          [{{'s': b2.s, 'o': -10000, 't': b2.t, 'k': b2.k, 'i': b2.i}}]), 'DESC')[1] AS b1 FROM (
-        SELECT l.*, f0, f1, f2, list_sort(list_concat(list_transform(suf, lambda x, i: {{'s': (100 * x.n - 12 + f2[x.n].s)::INT, 'o': (-i)::INT, 't': list_prepend(x.x, f2[x.n].t), 'k': list_prepend('suffix', f2[x.n].k), 'i': list_prepend(x.i, f2[x.n].i)}}),
-            CASE WHEN l.a = length(l.w) - 1 AND l.w[l.a + 1] = 'e' THEN [{{'s': -7, 'o': -5000, 't': ['e'], 'k': ['silent'], 'i': ['']}}] ELSE [] END,
-            CASE WHEN len(suf) = 0 THEN [{{'s': (-70 * run - 12 + f2[run].s)::INT, 'o': -6000, 't': list_prepend(l.w[l.a + 1 : l.a + run], f2[run].t), 'k': list_prepend('unknown', f2[run].k), 'i': list_prepend('', f2[run].i)}}] ELSE [] END), 'DESC')[1] AS b2
+    SELECT *, list_sort(list_concat(list_transform(pre, lambda x, i: {{'s': (100 * x.n - 12 + f0[x.n].s)::INT, 'o': (-i)::INT, 'p': 'prefix;' || x.x || ';' || x.i || '|' || f0[x.n].p}}),
+        [{{'s': b1.s, 'o': -10000, 'p': b1.p}}]), 'DESC')[1] AS b0 FROM (
+      SELECT *, list_sort(list_concat(list_transform(root, lambda x, i: {{'s': (100 * x.n + 88 + f1[x.n].s)::INT, 'o': (-i)::INT, 'p': 'root;' || x.x || ';' || x.i || '|' || f1[x.n].p}}),
+          CASE WHEN links THEN [{{'s': (f1[1].s - 7)::INT, 'o': -5000, 'p': 'linker;' || w[a + 1] || ';|' || f1[1].p}}] ELSE [] END,
+          [{{'s': b2.s, 'o': -10000, 'p': b2.p}}]), 'DESC')[1] AS b1 FROM (
+        SELECT l.*, f0, f1, f2, list_sort(list_concat(list_transform(suf, lambda x, i: {{'s': (100 * x.n - 12 + f2[x.n].s)::INT, 'o': (-i)::INT, 'p': 'suffix;' || x.x || ';' || x.i || '|' || f2[x.n].p}}),
+            CASE WHEN l.a = length(l.w) - 1 AND l.w[l.a + 1] = 'e' THEN [{{'s': -7, 'o': -5000, 'p': 'silent;e;|'}}] ELSE [] END,
+            CASE WHEN len(suf) = 0 THEN [{{'s': (-70 * run - 12 + f2[run].s)::INT, 'o': -6000, 'p': 'unknown;' || l.w[l.a + 1 : l.a + run] || ';|' || f2[run].p}}] ELSE [] END), 'DESC')[1] AS b2
         FROM best JOIN l ON l.w = best.w AND l.a = best.a - 1)))),
-p AS (SELECT w AS word, f0[1].s AS score, f0[1].t AS t, f0[1].k AS k, f0[1].i AS i FROM best WHERE a = 0),
+p AS MATERIALIZED (
+  SELECT word, score, list_transform(x, lambda y: split_part(y, ';', 1)) AS k, list_transform(x, lambda y: split_part(y, ';', 2)) AS t, list_transform(x, lambda y: split_part(y, ';', 3)) AS i
+  FROM (SELECT w AS word, f0[1].s AS score, string_split(f0[1].p, '|')[:-2] AS x FROM best WHERE a = 0)),
 parses AS (
   SELECT word, score, CASE WHEN peel THEN list_concat(t[:-2], [t[-1][:-2], 'e']) ELSE t END AS t, CASE WHEN peel THEN list_append(k, 'silent') ELSE k END AS k, CASE WHEN peel THEN list_append(i, '') ELSE i END AS i
-  FROM (SELECT *, k[-1] = 'root' AND length(t[-1]) >= 4 AND t[-1] LIKE '%e' AND EXISTS (SELECT 1 FROM t r WHERE r.kind = 'root' AND r.id = p.i[-1] AND r.form = p.t[-1][:-2]) AS peel FROM p))"""
+  FROM (SELECT p.*, r.id IS NOT NULL AND k[-1] = 'root' AND length(t[-1]) >= 4 AND t[-1] LIKE '%e' AS peel FROM p LEFT JOIN (SELECT DISTINCT id, form FROM t WHERE kind = 'root') r ON r.id = i[-1] AND r.form = t[-1][:-2]))"""
 
 
 def _table(words):
