@@ -240,3 +240,52 @@ def lineage_rows(reach: DataFrame, edges: DataFrame, node) -> DataFrame:
     line = reach.where(F.col("node") == node).select(F.col("ancestor").alias("child"), "depth").unionByName(reach.where(F.col("node") == node).select("node").distinct().select(F.col("node").alias("child"), F.lit(0).cast("long").alias("depth")))
     up = edges.join(line.select("child"), "child", "left_semi").groupBy("child").agg(F.array_sort(F.collect_set(F.struct("parent", "kind"))).alias("parents"))
     return line.join(up, "child", "left").orderBy(F.desc("depth"), "child")
+
+
+def lineages(parents: DataFrame, most: int = 14) -> DataFrame:
+    """(child, parent), one parent a child, to (node, path): the node, its parent and so on, up to `most` steps back.
+
+    Paths are doubled: each round hangs the path of a path's last node behind it, so that the rounds grow with the logarithm of `most`.
+    Nodes that are no child have no row. On a cycle a path goes round.
+    """
+    up = stash(parents.select(F.col("child").alias("node"), F.array("parent").alias("path")), "lineages")
+    for _ in range(max(0, ceil(log2(most)))):
+        more = up.select(F.col("node").alias("last"), F.col("path").alias("more"))
+        long = up.join(more, F.element_at("path", -1) == F.col("last"), "left")
+        up = stash(long.select("node", F.concat("path", F.coalesce("more", F.slice("path", 1, 0))).alias("path")), "lineages")
+    return up.select("node", F.concat(F.array("node"), F.slice("path", 1, most)).alias("path"))
+
+
+def fork_paths(pairs: DataFrame, parents: DataFrame, most: int = 14) -> DataFrame:
+    """(a, b) to (a, b, via, path_a, path_b): both lineages from the node itself to where they meet, the first node of a's that b's has too.
+
+    Lineages that don't meet within `most` steps are given whole, with a null via. Equal pairs count once; a pair with a null has no row.
+    """
+    ends = pairs.select("a", "b").distinct().where("a IS NOT NULL AND b IS NOT NULL")
+    line = lineages(parents, most)
+    one, two = (line.select(F.col("node").alias(x), F.col("path").alias(f"_{x}")) for x in "ab")
+    both = ends.join(one, "a", "left").join(two, "b", "left")
+    both = both.select("a", "b", *(F.coalesce(f"_{x}", F.array(x)).alias(f"_{x}") for x in "ab"))
+    via = F.get(F.filter("_a", lambda x: F.array_contains("_b", x)), F.lit(0))
+    met = both.withColumn("via", via)
+
+    def upto(path: str) -> Column:
+        return F.when(F.col("via").isNull(), F.col(path)).otherwise(F.slice(path, F.lit(1), F.array_position(path, F.col("via")).cast("int")))
+
+    return met.select("a", "b", "via", upto("_a").alias("path_a"), upto("_b").alias("path_b"))
+
+
+def grown_paths(edges: DataFrame, starts: DataFrame, order: Sequence[Column], hops: int = 5) -> DataFrame:
+    """(a, b, ...) and (node) to (node, path): from each start the first edge in order to a node that the path hasn't, up to `hops` times.
+
+    A path has at most `hops` nodes to avoid, so that of each node only its first hops + 1 edges can be taken; no more travel.
+    """
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(*order))
+    kept = edges.where("a <> b").withColumn("_k", rank).where(F.col("_k") <= hops + 1)
+    ways = stash(kept.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "b"))), lambda x: x["b"]).alias("_next")), "ways")
+    paths = starts.select("node", F.array("node").alias("path")).where("node IS NOT NULL").distinct()
+    for _ in range(hops):
+        on = paths.join(ways, F.element_at("path", -1) == F.col("a"), "left")
+        free = F.filter("_next", lambda x: ~F.array_contains("path", x))
+        paths = on.select("node", F.concat("path", F.coalesce(F.slice(free, 1, 1), F.slice("path", 1, 0))).alias("path"))
+    return paths

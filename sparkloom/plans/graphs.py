@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -123,3 +124,35 @@ def layered_edges(spark, sf_dir):
     return graph.layered([pick(l.where("l_returnflag = 'R'")), pick(l.where("l_returnflag = 'A'")), pick(l)])
 
 
+
+
+_HEAP = "heap AS (SELECT p_partkey AS child, (p_partkey - 1) // 2 AS parent FROM part WHERE p_partkey > 0 AND p_size <> 50)"
+
+
+@query(f"""WITH RECURSIVE {_HEAP}, pairs AS (SELECT DISTINCT min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY l_orderkey),
+up AS (SELECT x AS node, [x] AS path, true AS more FROM (SELECT a AS x FROM pairs UNION SELECT b FROM pairs)
+  UNION ALL SELECT node, CASE WHEN parent IS NULL THEN path ELSE list_append(path, parent) END, parent IS NOT NULL FROM up LEFT JOIN heap ON child = path[-1] WHERE more AND len(path) <= 14),
+line AS (SELECT node, arg_max(path, len(path)) AS path FROM up GROUP BY node),
+j AS (SELECT a, b, x.path AS pa, y.path AS pb, list_filter(x.path, lambda n: list_contains(y.path, n))[1] AS via FROM pairs JOIN line x ON x.node = a JOIN line y ON y.node = b)
+SELECT a, b, via, array_to_string(CASE WHEN via IS NULL THEN pa ELSE pa[: list_position(pa, via)] END, ' ') AS path_a, array_to_string(CASE WHEN via IS NULL THEN pb ELSE pb[: list_position(pb, via)] END, ' ') AS path_b FROM j""")
+def fork_paths(spark, sf_dir):
+    """Parts as a tree by halves of their keys, cut above one size; the first and last part of each order."""
+    t = Tables(spark, sf_dir)
+    heap = t.part.where("p_partkey > 0 AND p_size <> 50").selectExpr("p_partkey AS child", "(p_partkey - 1) DIV 2 AS parent")
+    pairs = t.lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return graph.fork_paths(pairs, heap).select("a", "b", "via", text("path_a"), text("path_b"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS b FROM lineitem),
+e AS (SELECT a, b, count(*) AS n FROM l WHERE b IS NOT NULL AND a <> b GROUP BY a, b), w AS (SELECT a, list(b ORDER BY n DESC, b) AS ways FROM e GROUP BY a),
+g AS (SELECT p_partkey AS node, [p_partkey] AS path, 0 AS hops FROM part
+  UNION ALL SELECT node, list_append(path, list_filter(ways, lambda x: NOT list_contains(path, x))[1]), hops + 1 FROM g JOIN w ON a = path[-1] WHERE hops < 5 AND len(list_filter(ways, lambda x: NOT list_contains(path, x))) > 0)
+SELECT node, array_to_string(arg_max(path, hops), ' ') AS path FROM g GROUP BY node""")
+def grown_paths(spark, sf_dir):
+    """From each part to the part that most often follows it in an order, five times, never back."""
+    t = Tables(spark, sf_dir)
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    e = t.lineitem.select(F.col("l_partkey").alias("a"), after.alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    paths = graph.grown_paths(e, t.part.select(F.col("p_partkey").alias("node")), [F.desc("n"), F.col("b")])
+    return paths.select("node", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
