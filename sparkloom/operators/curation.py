@@ -7,10 +7,12 @@ again afterwards finds nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
 from .relational import first_by
 
 
@@ -156,3 +158,93 @@ def to_embed(words: DataFrame, done: DataFrame, cached: DataFrame) -> DataFrame:
     aren't done, without those whose hash is cached."""
     todo = words.join(done.select("word"), "word", "left_anti").select(F.sha1(F.col("gloss").cast("binary")).alias("hash"), "gloss").dropDuplicates(["hash"])
     return todo.join(cached.select("hash"), "hash", "left_anti")
+
+
+#: The commonest words that are enriched, the candidates that are looked at, the senses that a word may have in the end, and from
+#: which share of common words on two glosses say the same.
+MOST_RANK, CANDIDATES, MOST_SENSES, SAME = 20_000, 8, 4, 0.6
+#: What tells a sense that is a place, and words of a gloss that covers the principal place already.
+PLACES = ("county seat", "unincorporated community", "census-designated place", "township", "shire of", "local government area", "borough", "civil parish")
+PLACE_KINDS = ("town", "city", "village", "hamlet", "river", "suburb", "commune", "neighbourhood", "neighborhood")
+GAZETTEER = ("city", "town", "capital", "county", "river", "state", "community", "village", "country", "kingdom", "monarchy", "nation", "republic", "island", "peninsula", "region", "province")
+
+
+def near_gloss(a: Column, b: Column) -> Column:
+    """Two normalised glosses say the same: one holds the other, or more than SAME of the smaller one's words are common; never if either is empty."""
+    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    held = F.contains(a, b) | F.contains(b, a)
+    return (a != "") & (b != "") & (held | (F.size(F.array_intersect(x, y)) > SAME * F.least(F.size(x), F.size(y))))
+
+
+def by_spelling(entries: DataFrame, names: DataFrame) -> DataFrame:
+    """(name) to (name, word): the entry (word) so called, else the only one so called but for case; names without one are left out."""
+    exact = names.select("name").distinct().join(entries.select("word").distinct().withColumn("name", F.col("word")), "name", "left")
+    only = entries.select("word").distinct().groupBy(F.lower("word").alias("folded")).agg(F.min("word").alias("only"), F.count("*").alias("n")).where("n = 1").select("folded", "only")
+    return exact.join(only, F.lower("name") == F.col("folded"), "left").select("name", F.coalesce("word", "only").alias("word")).where("word IS NOT NULL")
+
+
+def backfill_senses(entries: DataFrame, candidates: DataFrame, most_rank: int = MOST_RANK) -> DataFrame:
+    """Takes entries (word, gloss, rank), a row a sense, and candidates (word, row, gloss) in the order of row; returns the senses to add: (word,
+    place, gloss), place counted from 1.
+
+    Entries of one sense and a rank below most_rank are enriched. Of the first CANDIDATES whose gloss isn't blank, each in turn is added if it says
+    nothing that the entry or those added before say, up to MOST_SENSES in all. One of them may be a place: none if the entry's gloss names
+    one, nor after a place that was left out as said already. Candidates find their entry by by_spelling(). Equal rows of candidates count once.
+    """
+    from ..functions.scalar import normal_gloss
+
+    one = entries.groupBy("word").agg(F.count("*").alias("n"), F.first("gloss").alias("own"), F.min("rank").alias("rank")).where((F.col("n") == 1) & (F.col("rank") < most_rank))
+    held = one.select("word", F.coalesce(normal_gloss(F.col("own")), F.lit("")).alias("own"))
+    c = candidates.select(F.col("word").alias("name"), "row", F.trim("gloss").alias("gloss")).where("gloss <> ''").distinct()
+    found = c.join(by_spelling(held, c.select("name")), "name").select("word", "row", "gloss")
+    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy("row", "gloss"))).where(F.col("_k") <= CANDIDATES)
+    place = F.lower("gloss").rlike(r"\b(" + "|".join(PLACES) + r"|a (" + "|".join(PLACE_KINDS) + r") (in|of))\b")
+    tried = first.select("word", F.struct(F.col("_k").alias("k"), "gloss", normal_gloss(F.col("gloss")).alias("norm"), place.alias("place")).alias("c"))
+    listed = tried.groupBy("word").agg(F.array_sort(F.collect_list("c")).alias("all")).join(held, "word")
+    names_place = F.col("own").rlike(r"\b(" + "|".join(GAZETTEER) + r")\b")
+    kind = "struct<said:array<string>,added:array<string>,places:int>"
+    start = F.struct(F.array("own").alias("said"), F.array().cast("array<string>").alias("added"), F.when(names_place, 0).otherwise(1).alias("places")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        full = F.size(s["added"]) + 1 >= MOST_SENSES
+        same = F.exists(s["said"], lambda g: near_gloss(g, x["norm"]))
+        without = F.struct(s["said"].alias("said"), s["added"].alias("added"), F.lit(0).alias("places")).cast(kind)
+        more = F.struct(F.concat(s["said"], F.array(x["norm"])).alias("said"), F.concat(s["added"], F.array(x["gloss"])).alias("added"), F.when(x["place"], s["places"] - 1).otherwise(s["places"]).alias("places")).cast(kind)
+        return F.when(full | (x["norm"] == ""), s).when(same, F.when(x["place"], without).otherwise(s)).when(x["place"] & (s["places"] <= 0), s).otherwise(more)
+
+    added = listed.select("word", F.posexplode(F.aggregate("all", start, step)["added"]).alias("place", "gloss"))
+    return added.select("word", (F.col("place") + 1).cast("long").alias("place"), "gloss")
+
+
+def fold_variants(entries: DataFrame, senses: DataFrame, kin: Column, times: int = 2) -> DataFrame:
+    """Takes entries (word, rank: null where unknown, pointer: it is one already, curated: its analysis is a deliberate one) and senses (word,
+    pos, target: the word that the sense points to, null for a definition); returns a row for each entry all of whose senses point to one other
+    entry: (word, target, verdict).
+
+    The verdict is the first that holds of: kin (kin, over word and target, says that they aren't), pointer (the target is one), pos (parts of speech are
+    known of both and none is common), rank (the target isn't `times` as common; one of known rank is commoner than one of unknown), chain (the
+    target folds itself), and fold. Ranks fall by `times` along the folds, so that there are no cycles, and of each chain every other
+    word folds, counted from the word that it ends in. Targets are found by by_spelling(). Rows of one word count as one entry.
+    """
+    own = entries.groupBy("word").agg(F.min("rank").alias("rank"), F.bool_or(F.coalesce("pointer", F.lit(False))).alias("pointer"), F.bool_or(F.coalesce("curated", F.lit(False))).alias("curated")).where("word IS NOT NULL")
+    by_word = senses.groupBy("word").agg(F.bool_and(F.col("target").isNotNull()).alias("all"), F.count_distinct(F.lower("target")).alias("n"), F.min(F.lower("target")).alias("name"), F.collect_set("pos").alias("pos"))
+    pointing = own.where("NOT pointer AND NOT curated").join(by_word.where("all AND n = 1"), "word").select("word", "rank", "name", "pos")
+    to = by_spelling(own, pointing.select("name")).withColumnRenamed("word", "target")
+    parts = by_word.select(F.col("word").alias("target"), F.col("pos").alias("target_pos"))
+    target = own.select(F.col("word").alias("target"), F.col("rank").alias("target_rank"), F.col("pointer").alias("points"))
+    j = pointing.join(to, "name").where(F.lower("target") != F.lower("word")).join(target, "target").join(parts, "target", "left")
+    pos_ok = (F.size("pos") == 0) | F.col("target_pos").isNull() | (F.size("target_pos") == 0) | F.arrays_overlap("pos", "target_pos")
+    commoner = F.col("target_rank").isNotNull() & (F.col("rank").isNull() | (F.col("target_rank") * times <= F.col("rank")))
+    verdict = F.when(~F.coalesce(kin, F.lit(False)), "kin").when(F.col("points"), "pointer").when(~pos_ok, "pos").when(~commoner, "rank").otherwise("fold")
+    judged = stash(j.select("word", "target", "rank", verdict.alias("verdict")), "variants")
+    # how many folds lead from a word to where its chain ends, by doubling; a chain is no longer than a rank can be divided
+    edges = judged.where("verdict = 'fold'")
+    most = edges.agg(F.max("rank")).first()[0] or 1
+    steps = int(log2(max(2, most)) / log2(times)) + 3
+    up = edges.select("word", F.col("target").alias("end"), F.lit(1).alias("steps"))
+    for _ in range(ceil(log2(steps))):
+        more = up.select(F.col("word").alias("end"), F.col("end").alias("further"), F.col("steps").alias("more"))
+        up = stash(up.join(more, "end", "left").select("word", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "chains")
+    depth = up.select("word", "steps")
+    settled = judged.join(depth, "word", "left")
+    return settled.select("word", "target", F.when((F.col("verdict") == "fold") & (F.col("steps") % 2 == 0), "chain").otherwise(F.col("verdict")).alias("verdict"))

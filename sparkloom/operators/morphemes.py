@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.morph import DEFAULT
+from ..sources.shared import stash
 
 #: Fixed values, in hundredths: a letter covered, a root, a piece, a linking vowel or silent e, an unknown letter.
 LETTER, ROOT, PIECE, LINK, UNKNOWN = 100, 100, -12, 5, -70
@@ -151,7 +152,7 @@ def index(parsed: DataFrame, first: int = FIRST, last: int = LAST) -> DataFrame:
     """
     good = (F.length("word") >= LEAST_WORD) & F.exists("parts", lambda p: p["kind"] == "root") & ~F.exists("parts", lambda p: p["kind"].isin("unknown", "word"))
     pieces = F.array_distinct(F.transform(F.filter("parts", lambda p: p["id"].isNotNull() & (F.length(p["text"]) >= LEAST_PIECE)), lambda p: p["id"]))
-    postings = parsed.where(good).select("word", F.explode(pieces).alias("id"))
+    postings = stash(parsed.where(good).select("word", F.explode(pieces).alias("id")), "postings")
     counts = postings.groupBy("id").agg(F.count("*").alias("n"))
     order, back = [F.length("word"), F.col("word")], [F.desc(F.length("word")), F.desc("word")]
     # each end by itself: a task keeps that many words of a morpheme before anything is shuffled

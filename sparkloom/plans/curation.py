@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import language, scalar
 from ..operators import curation, sampling
 from .registry import Registry, Tables
 from .relational import _VOCABULARY, vocabulary
@@ -134,3 +134,69 @@ def second_opinion(spark, sf_dir):
     return curation.vetoed(first, second, "doc_id")
 
 
+
+
+_LOWN = "trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g'))"
+_WORDS_OF = "list_distinct(string_split({}, ' '))"
+_GLOSS = """CASE WHEN p_size < 9 THEN 'a ' || ['town', 'river', 'village'][p_size % 3 + 1] || ' in ' || n_name || ' of ' || p_name WHEN p_size < 14 THEN 'township ' || p_name || ' ' || lower(p_type) WHEN p_size < 16 THEN '' ELSE p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) END"""
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Word' ELSE 'word' END || o_orderkey AS word, CASE WHEN o_custkey % 5 = 0 THEN 'The city of ' || p_name ELSE p_name || ' ' || lower(p_type) END AS own, floor(o_totalprice / 20) AS rank
+  FROM orders JOIN part ON p_partkey = o_custkey UNION ALL SELECT 'WORD' || o_orderkey, 'again', 1 FROM orders WHERE o_orderkey % 10 = 4 UNION ALL SELECT 'word' || o_orderkey, 'second', 1 FROM orders WHERE o_orderkey % 10 = 5),
+one AS (SELECT word, max(own) AS own FROM e GROUP BY word HAVING count(*) = 1 AND min(rank) < 15000),
+c AS (SELECT DISTINCT 'word' || l_orderkey AS name, l_linenumber * 1000000 + l_partkey AS row, trim({_GLOSS}) AS gloss FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+u AS (SELECT lower(word) AS f, min(word) AS word FROM one GROUP BY 1 HAVING count(*) = 1),
+f AS (SELECT coalesce(x.word, u.word) AS word, row, gloss FROM c LEFT JOIN one x ON x.word = c.name LEFT JOIN u ON u.f = lower(c.name) WHERE gloss <> '' AND coalesce(x.word, u.word) IS NOT NULL),
+k AS (
+  SELECT word, gloss, {_LOWN.format("gloss")} AS norm, regexp_matches(lower(gloss), '\\b(township|a (town|river|village) in)\\b') AS place, row_number() OVER (PARTITION BY word ORDER BY row, gloss) AS k FROM f QUALIFY k <= 8),
+s AS (
+  SELECT word, 0::BIGINT AS k, [{_LOWN.format("own")}] AS said, []::VARCHAR[] AS added, CASE WHEN regexp_matches({_LOWN.format("own")}, '\\b(city|town|river|village)\\b') THEN 0 ELSE 1 END AS places FROM one
+  UNION ALL
+  SELECT word, next, CASE WHEN take THEN list_append(said, norm) ELSE said END, CASE WHEN take THEN list_append(added, gloss) ELSE added END,
+    CASE WHEN len(added) >= 3 THEN places WHEN same THEN CASE WHEN place THEN 0 ELSE places END WHEN take AND place THEN places - 1 ELSE places END
+  FROM (
+    SELECT *, NOT same AND len(added) < 3 AND NOT (place AND places <= 0) AS take FROM (
+      SELECT s.*, k.k AS next, k.gloss, k.norm, k.place, len(list_filter(s.said, lambda g: contains(g, k.norm) OR contains(k.norm, g)
+        OR len(list_intersect({_WORDS_OF.format("g")}, {_WORDS_OF.format("k.norm")})) > 0.6 * least(len({_WORDS_OF.format("g")}), len({_WORDS_OF.format("k.norm")})))) > 0 AS same
+      FROM s JOIN k ON k.word = s.word AND k.k = s.k + 1)))
+SELECT word, unnest(range(1, len(added) + 1)) AS place, unnest(added) AS gloss FROM (SELECT word, arg_max(added, k) AS added FROM s GROUP BY word)""")
+def backfill_senses(spark, sf_dir):
+    """Orders as words of one sense, some of two or spelt twice; their lines as candidate senses, some of them places."""
+    t = Tables(spark, sf_dir)
+    case = F.when(F.col("o_orderkey") % 2 == 0, "Word").otherwise("word")
+    own = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("The city of "), "p_name")).otherwise(F.concat("p_name", F.lit(" "), F.lower("p_type")))
+    first = t.orders.join(t.part, F.col("p_partkey") == F.col("o_custkey")).select(F.concat(case, "o_orderkey").alias("word"), own.alias("gloss"), F.floor(F.col("o_totalprice") / 20).alias("rank"))
+    more = [t.orders.where(f"o_orderkey % 10 = {k}").select(F.concat(F.lit(w), "o_orderkey").alias("word"), F.lit(g).alias("gloss"), F.lit(1).cast("long").alias("rank")) for k, w, g in ((4, "WORD", "again"), (5, "word", "second"))]
+    named = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    lines = t.lineitem.join(named, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    gloss = F.expr(_GLOSS.replace("['town', 'river', 'village'][p_size % 3 + 1]", "element_at(array('town', 'river', 'village'), int(p_size % 3 + 1))"))
+    candidates = lines.select(F.concat(F.lit("word"), "l_orderkey").alias("word"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("row"), gloss.alias("gloss"))
+    return curation.backfill_senses(first.unionByName(more[0]).unionByName(more[1]), candidates, 15_000)
+
+
+_CUT = "CASE WHEN ends_with(w, 'es') AND lang = 'fr' THEN w[:-3] WHEN regexp_matches(w, '[esnrt]$') AND length(w) > 4 THEN w[:-2] END"
+_KIN_STEM = r"regexp_replace({}, '(isation|ization|ical|ness|ity|ise|ize|ous|our|ic|al|ly|or|re|er|e)$', '')"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT lower(w) AS w, lang, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1, 2),
+own AS (SELECT w AS word, CASE WHEN sum(n) > 1 THEN (1000000 // sum(n))::BIGINT END AS rank, sum(n) % 9 = 5 AS pointer, length(w) > 14 AS curated FROM v GROUP BY w),
+s AS (SELECT w AS word, lang AS pos, lower(CASE WHEN lang = 'de' THEN upper({_CUT}) ELSE {_CUT} END) AS target FROM v),
+b AS (SELECT word, bool_and(target IS NOT NULL) AS whole, count(DISTINCT target) AS n, min(target) AS name, list(DISTINCT pos) FILTER (WHERE pos IS NOT NULL) AS pos FROM s GROUP BY word),
+j AS (SELECT o.word, t.word AS target, o.rank, t.rank AS rank2, t.pointer AS points, b.pos, bt.pos AS pos2 FROM own o JOIN b USING (word) JOIN own t ON t.word = b.name LEFT JOIN b bt ON bt.word = t.word WHERE b.whole AND b.n = 1 AND NOT o.pointer AND NOT o.curated),
+k AS (
+  SELECT word, target, CASE WHEN NOT (length({_KIN_STEM.format("word")}) >= 4 AND length({_KIN_STEM.format("target")}) >= 4 AND (starts_with({_KIN_STEM.format("word")}, {_KIN_STEM.format("target")}) OR starts_with({_KIN_STEM.format("target")}, {_KIN_STEM.format("word")}))) THEN 'kin'
+    WHEN points THEN 'pointer' WHEN NOT (coalesce(len(pos), 0) = 0 OR coalesce(len(pos2), 0) = 0 OR list_has_any(pos, pos2)) THEN 'pos' WHEN NOT (rank2 IS NOT NULL AND (rank IS NULL OR rank2 * 2 <= rank)) THEN 'rank' ELSE 'fold' END AS verdict FROM j),
+d AS (SELECT word, target AS last, 1 AS steps FROM k WHERE verdict = 'fold' UNION ALL SELECT d.word, k.target, steps + 1 FROM d JOIN k ON k.word = d.last AND k.verdict = 'fold'),
+e AS (SELECT word, max(steps) AS steps FROM d GROUP BY word)
+SELECT word, target, CASE WHEN verdict = 'fold' AND steps % 2 = 0 THEN 'chain' ELSE verdict END AS verdict FROM k LEFT JOIN e USING (word)""")
+def fold_variants(spark, sf_dir):
+    """Words of documents with a sense in each language, which points to the word without its ending."""
+    d = Tables(spark, sf_dir).documents
+    words = d.select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w"), "lang").agg(F.count("*").alias("n"))
+    size = F.col("size")
+    own = words.groupBy(F.col("w").alias("word")).agg(F.sum("n").alias("size")).select("word", F.when(size > 1, F.expr("1000000 DIV size")).alias("rank"), (size % 9 == 5).alias("pointer"), (F.length("word") > 14).alias("curated"))
+    w = F.col("w")
+    cut = F.when(w.endswith("es") & (F.col("lang") == "fr"), F.expr("left(w, length(w) - 2)")).when(w.rlike("[esnrt]$") & (F.length(w) > 4), F.expr("left(w, length(w) - 1)"))
+    senses = words.select(w.alias("word"), F.col("lang").alias("pos"), F.when(F.col("lang") == "de", F.upper(cut)).otherwise(cut).alias("target"))
+    return curation.fold_variants(own, senses, language.kin(F.col("word"), F.col("target")))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import morphemes
+from ..sources.shared import stash
 from .registry import Registry, Tables
 from .relational import _VOCABULARY, vocabulary
 
@@ -72,6 +73,7 @@ def _table(words):
 
 def _parsed(spark, sf_dir):
     words = vocabulary(Tables(spark, sf_dir).documents).groupBy(F.lower("word").alias("w")).agg(F.sum("n").alias("n"))
+    words = stash(words, "vocabulary")  # words and table are both made of it
     return morphemes.decompose(words.select(F.col("w").alias("word")), _table(words))
 
 
