@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import morph
 from ..operators import phrases, state
 from ..streaming import events as streams
+from ..streaming import sync
 from .registry import Registry, Tables
 from .relational import _VOCABULARY, vocabulary
 
@@ -185,3 +186,21 @@ def stream_sm2(spark, sf_dir):
     states = streams.run(streams.sm2_states(streams.source(spark, sf_dir)), spark, "sm2", "update")
     last = states.groupBy("user_id").agg(F.max_by(F.struct("ease", "days", "repetitions"), "n").alias("s"))
     return last.select("user_id", "s.*")
+
+
+_QUIET = 3 * 3600 * 1000
+
+
+@query(f"""WITH c AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id AS id, event_type AS key, floor(value / 100)::BIGINT AS value FROM events),
+g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, id) > {_QUIET} AS gap FROM c),
+r AS (SELECT *, 1 + sum(coalesce(gap, false)::INT) OVER (PARTITION BY user_id ORDER BY ms, id) AS round FROM g),
+sizes AS (SELECT user_id, round, min(ms) AS start_ms, max(ms) AS last, count(*) AS n_changes, count(DISTINCT key) AS n_keys FROM r GROUP BY 1, 2),
+closed AS (SELECT * FROM sizes WHERE last + {_QUIET} <= (SELECT max(ms) - 3600000 FROM c)),
+k AS (SELECT user_id, round, key, arg_max(value, (ms, id)) AS value FROM r GROUP BY 1, 2, 3),
+d AS (SELECT *, lag(value) OVER (PARTITION BY user_id, key ORDER BY round) AS before FROM k),
+w AS (SELECT user_id, round, count(*) FILTER (WHERE before IS NULL OR before <> value) AS n_written FROM d GROUP BY 1, 2)
+SELECT user_id, round::BIGINT AS round, start_ms, n_changes, n_keys, n_written FROM closed JOIN w USING (user_id, round) WHERE n_written > 0""")
+def stream_sync(spark, sf_dir):
+    """Each user's events as changes, synchronised when nothing has come for three hours."""
+    with sync.with_rocks(spark):
+        return streams.run(sync.rounds(sync.of_events(streams.source(spark, sf_dir)), _QUIET), spark, "sync", "append")
