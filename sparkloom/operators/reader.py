@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import content_words
+from ..sources.shared import stash
 from .curation import by_rules
 from .relational import top_by
 from .sampling import chance
@@ -49,6 +50,122 @@ def readings(surfaces: DataFrame, forms: DataFrame, most: int = 4, ratio: float
     return top_by(ok, ["surface"], [F.col("demoted"), ~F.col("closed"), F.desc("zipf"), F.col("ord"), F.col("entry")], most).select("surface", "entry", "rank")
 
 
+#: Fixed values, in thousandths: what a reading costs by how it is reached (closed-class title, title, demoted title, closed-class form, strong form, weak
+#: form, another spelling, override, name), by the variant of the surface it is reached from, and what counts as strong, and as a strong common reading.
+COSTS = {"closed": 500, "title": 2000, "demoted": 5000, "closed form": 600, "strong form": 1000, "form": 3000, "spelling": 2500, "override": -1000, "name": -500}
+VARIANT, LAST_RESORT, STRONG, COMMON = 500, 4000, 0.8, 1100
+#: Links of spellings, and of forms of forms, that are followed; readings that another spelling passes on.
+SPELLINGS, FORMS_OF_FORMS, PASSED_ON = 3, 3, 2
+
+
+def spelled(surfaces: DataFrame, german: bool) -> DataFrame:
+    """(surface, initial) with the spellings that are tried, v, in order k from 0, and what each costs: the surface, in lower case (first, if it begins
+    a sentence), and in German with a capital."""
+    s, low = F.col("surface"), F.lower("surface")
+    cased = low != s
+    order = F.when(cased & F.col("initial"), F.array(low, s)).when(cased, F.array(s, low)).otherwise(F.array(s))
+    lower_first = F.substring(s, 1, 1).rlike(r"^\p{Ll}")
+    if german:
+        order = F.when(lower_first, F.concat(order, F.array(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000))))).otherwise(order)
+    each = surfaces.select("surface", "initial", F.posexplode(order).alias("k", "v"))
+    last = (F.col("v") != s) & lower_first
+    if german:
+        last = last | ((F.col("v") != s) & F.substring(s, 1, 1).rlike(r"^\p{Lu}") & ~F.col("initial"))
+    return each.withColumn("cost", F.when(last, LAST_RESORT).otherwise(F.col("k") * VARIANT))
+
+
+def lemmas_of(forms: DataFrame, entries: DataFrame) -> DataFrame:
+    """(form, lemma, ord): what a form is a form of, in the order of ord; a lemma without an entry that is itself a form is followed to its first lemma."""
+    titles = entries.select(F.col("title").alias("lemma"), F.lit(True).alias("_there")).distinct()
+    first = forms.groupBy("form").agg(F.min_by("lemma", F.struct("ord", "lemma")).alias("_next")).select(F.col("form").alias("lemma"), "_next")
+    out = forms.select("form", "lemma", "ord")
+    for _ in range(FORMS_OF_FORMS):
+        j = out.join(titles, "lemma", "left").join(first, "lemma", "left")
+        out = j.select("form", F.when(F.col("_there").isNull() & F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("lemma")).alias("lemma"), "ord")
+    return out.groupBy("form", "lemma").agg(F.min("ord").alias("ord"))
+
+
+def strengths(asked: DataFrame, forms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(v, lemma) to (v, lemma, alone, all): the frequency of the lemma and its forms other than v, over that of v; `alone` without those
+    that another lemma of v has too (the lemma itself counts always). v of no frequency: 1 for each."""
+    members = forms.select("lemma", F.col("form").alias("f")).unionByName(asked.select("lemma", F.col("lemma").alias("f"))).distinct()
+    of = asked.join(members, "lemma").join(frequencies.select(F.col("word").alias("f"), "n"), "f", "left")
+    shared = of.groupBy("v", "f").agg(F.count_distinct("lemma").alias("_lemmas"))
+    other = F.lower("f") != F.lower("v")
+    own = (F.col("_lemmas") == 1) | (F.col("f") == F.col("lemma"))
+    n = F.coalesce("n", F.lit(0))
+    sums = of.join(shared, ["v", "f"]).groupBy("v", "lemma").agg(F.sum(F.when(other & own, n).otherwise(0)).alias("a"), F.sum(F.when(other, n).otherwise(0)).alias("b"))
+    fs = frequencies.select(F.col("word").alias("v"), F.col("n").alias("_fs")).where("n > 0")
+    return sums.join(fs, "v", "left").select("v", "lemma", F.coalesce(F.col("a") / F.col("_fs"), F.lit(1.0)).alias("alone"), F.coalesce(F.col("b") / F.col("_fs"), F.lit(1.0)).alias("all"))
+
+
+def ranked_readings(surfaces: DataFrame, entries: DataFrame, forms: DataFrame, frequencies: DataFrame, overrides: DataFrame | None = None, german: bool = False) -> DataFrame:
+    """The entries that a written word can be, best first: (surface, initial, entry, how, cost, rank).
+
+    Takes surfaces (surface, initial: it begins a sentence), entries (entry, title, ord, name, closed, demoted, spelling_of: the title that a
+    demoted entry is another spelling of, null for none), forms (form, lemma, ord), frequencies (word, n) and overrides (surface, entry).
+
+    A title costs less if closed-class, more if demoted; a form less if its lemma's other forms are common and commoner than
+    those of the same title, by their share of the surface's frequency; each spelling tried after the first costs more. A demoted entry that is another spelling
+    passes on the best two readings of the title it names, whose readings may be passed on in turn, three links far: all titles
+    so named are ranked at once, in as many rounds, so that links that loop end. A capitalised word that has a name is the name, unless a common
+    reading is strong (not in German). Equal surfaces count once; a surface without a reading has no row.
+    """
+    e = stash(entries.select("entry", "title", "ord", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("name", "closed", "demoted")), "spelling_of"), "entries")
+    lemmas = stash(lemmas_of(forms.select("form", "lemma", "ord").distinct(), e), "lemmas")
+    known = e.select(F.col("title").alias("t")).union(forms.select("form")).distinct()
+    links = e.where("demoted AND NOT name AND spelling_of IS NOT NULL AND spelling_of <> title").join(known, F.col("spelling_of") == F.col("t"), "left_semi").select("entry", F.col("spelling_of").alias("to"))
+    asked = surfaces.select("surface", "initial").where("surface <> ''").unionByName(links.select(F.col("to").alias("surface"), F.lit(False).alias("initial"))).distinct()
+    tried = stash(spelled(asked, german), "spellings")
+    vs = tried.select("v").distinct()
+
+    # how strong lemmas are, and titles in their own right
+    titles = e.join(vs, F.col("title") == F.col("v"), "left_semi").groupBy(F.col("title").alias("v")).agg(F.bool_or(~F.col("demoted")).alias("_plain"))
+    of = lemmas.join(vs, F.col("form") == F.col("v"), "left_semi").select(F.col("form").alias("v"), "lemma", "ord")
+    rated = stash(strengths(of.select("v", "lemma").union(titles.select("v", F.col("v").alias("lemma"))).distinct(), lemmas, frequencies), "strengths")
+    own = titles.join(rated.where("lemma = v"), "v").select("v", F.when(F.col("_plain"), F.greatest("all", "alone")).otherwise(F.col("alone")).alias("_title"))
+
+    best = e.groupBy(F.col("title").alias("lemma")).agg(F.min_by(F.struct("entry", "closed"), F.struct("demoted", "ord", "entry")).alias("_e"))
+    by_form = of.join(best, "lemma").join(rated, ["v", "lemma"]).join(own, "v", "left")
+    strong = (F.col("alone") >= STRONG) & (F.col("alone") > F.coalesce("_title", F.lit(0.0)))
+    kind = F.when(F.col("_e.closed"), COSTS["closed form"]).when(strong, COSTS["strong form"]).otherwise(COSTS["form"])
+    by_form = by_form.select("v", F.col("_e.entry").alias("entry"), F.lit("form").alias("how"), (kind - F.floor(F.least("alone", F.lit(50.0)))).alias("c"), F.struct(F.lit(1).alias("s"), F.col("ord").cast("long").alias("o"), F.col("lemma").alias("t")).alias("_o"))
+    linked = e.join(links.select("entry", "to"), "entry", "left")
+    cost = F.when(F.col("demoted"), COSTS["demoted"]).when(F.col("closed"), COSTS["closed"]).otherwise(COSTS["title"])
+    first = F.struct(F.lit(0).alias("s"), (F.when(F.col("demoted"), F.lit(1_000_000)).otherwise(0).cast("long") + F.col("ord")).alias("o"), F.col("entry").cast("string").alias("t"))
+    by_title = linked.select(F.col("title").alias("v"), "entry", F.lit("title").alias("how"), cost.alias("c"), first.alias("_o"))
+    base = by_title.join(vs, "v", "left_semi").union(by_form)
+    if overrides is not None:
+        base = base.union(overrides.select(F.col("surface").alias("v"), "entry", F.lit("override"), F.lit(None).cast("long"), F.struct(F.lit(2).alias("s"), F.lit(0).cast("long").alias("o"), F.lit("").alias("t"))))
+    fixed = F.when(F.col("how") == "override", COSTS["override"]).otherwise(F.col("c") + F.col("cost"))
+    reached = stash(tried.join(base, "v").select("surface", "initial", "entry", "how", fixed.cast("long").alias("c"), F.struct(F.col("k"), F.col("_o.s").alias("s"), F.col("_o.o").alias("o"), F.col("_o.t").alias("t")).alias("at")), "reached")
+    names = e.where("name").select(F.col("title").alias("_s"), F.col("entry").alias("_n"))
+
+    def ranked(passed: DataFrame | None) -> DataFrame:
+        """All readings of all that was asked, given what other spellings pass on: (to, entry, place)."""
+        rows = reached
+        if passed is not None:
+            over = tried.join(linked.where("to IS NOT NULL").select(F.col("title").alias("v"), "to", F.col("ord")), "v").join(passed, "to")
+            rows = rows.unionByName(over.select("surface", "initial", "entry", F.lit("alt").alias("how"), (F.col("cost") + COSTS["spelling"]).cast("long").alias("c"), F.struct(F.col("k"), F.lit(0).alias("s"), (F.col("ord") + 1_000_000).cast("long").alias("o"), F.format_string("%02d", "place").alias("t")).alias("at")))
+        one = rows.groupBy("surface", "initial", "entry").agg(F.min(F.struct("c", "how")).alias("b"), F.min("at").alias("at"))
+        if not german:
+            named = F.col("_n").isNotNull() & F.substring("surface", 1, 1).rlike(r"^\p{Lu}")
+            n = one.join(names, (F.col("surface") == F.col("_s")) & (F.col("entry") == F.col("_n")), "left").select("surface", "initial", "entry", "b", "at", named.alias("_named"), F.col("_n").isNotNull().alias("_name"))
+            common = n.where(~F.col("_name") & (F.col("b.c") <= COMMON)).select("surface", "initial").distinct().withColumn("_strong", F.lit(True))
+            n = n.join(common, ["surface", "initial"], "left")
+            is_name = F.col("_named") & F.col("_strong").isNull() & (F.col("b.c") > COSTS["name"])
+            one = n.select("surface", "initial", "entry", F.when(is_name, F.struct(F.lit(COSTS["name"]).cast("long").alias("c"), F.lit("name").alias("how"))).otherwise(F.col("b")).alias("b"), "at")
+        w = Window.partitionBy("surface", "initial").orderBy("b.c", "at", "entry")
+        return one.select("surface", "initial", "entry", F.col("b.how").alias("how"), F.col("b.c").alias("cost"), F.row_number().over(w).alias("rank"))
+
+    passed = None
+    for _ in range(SPELLINGS):
+        top = ranked(passed).where(~F.col("initial") & (F.col("rank") <= PASSED_ON)).select(F.col("surface").alias("to"), "entry", F.col("rank").alias("place"))
+        passed = stash(top.join(links.select("to").distinct(), "to", "left_semi"), "passed")
+    wanted = surfaces.select("surface", "initial").distinct()
+    return ranked(passed).join(wanted, ["surface", "initial"], "left_semi")
+
+
 def fallbacks(words: DataFrame, lexicon: DataFrame, language: str) -> DataFrame:
     """(word, base, rule) for words that the lexicon lacks, by the first ending whose base it has."""
     missing = words.select("word").distinct().join(lexicon.select("word"), "word", "left_anti")

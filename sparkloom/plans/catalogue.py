@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import columns, curation, etymology, graphs, morphemes, relational, reports, search, series, states, texts
+from . import columns, curation, etymology, graphs, morphemes, reading, relational, reports, search, series, states, texts
 
-_MODULES = (relational, series, graphs, texts, search, morphemes, etymology, states, curation, reports, columns)
+_MODULES = (relational, series, graphs, texts, search, morphemes, etymology, reading, states, curation, reports, columns)
 
 
 def queries() -> dict:
