@@ -72,8 +72,10 @@ def _entries(t):
     """Surfaces, entries, forms, frequencies and overrides, all of the documents' own words."""
     w = F.regexp_extract_all("text", F.lit(_SIGNS), F.lit(0))
     sign = lambda x: x.isin(".", "!", "?", "\n")
-    marked = t.documents.select(w.alias("w")).select(F.transform("w", lambda x, i: F.struct(x.alias("surface"), F.coalesce(sign(F.get("w", i - 1)), F.lit(True)).alias("initial"))).alias("w"))
-    seen = stash(marked.select(F.inline("w")).where(~sign(F.col("surface"))).groupBy("surface", "initial").agg(F.count("*").alias("n")), "seen")
+    # a generator of its own, over the words as a column: else they would be cut anew for each of them
+    marked = F.inline(F.transform("w", lambda x, i: F.struct(x.alias("surface"), F.coalesce(sign(F.get("w", i - 1)), F.lit(True)).alias("initial"))))
+    seen = t.documents.select(w.alias("w")).select(marked).where(~sign(F.col("surface")))
+    seen = stash(seen.groupBy("surface", "initial").agg(F.count("*").alias("n")), "seen")
     freq = stash(seen.groupBy(F.col("surface").alias("word")).agg(F.sum("n").alias("n")), "frequencies")
     word, n = F.col("word"), F.col("n")
     kept = freq.where("n >= 3")
@@ -91,3 +93,86 @@ def ranked_readings(spark, sf_dir):
     """All words of documents, as they stand at the beginning of sentences and elsewhere."""
     surfaces, entries, forms, freq, over = _entries(Tables(spark, sf_dir))
     return reader.ranked_readings(surfaces, entries, forms, freq, over).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"{_READINGS} SELECT surface, initial, entry FROM r3 JOIN sf USING (surface, initial) WHERE place = 2")
+def runner_up(spark, sf_dir):
+    """The second reading of each word."""
+    surfaces, entries, forms, freq, over = _entries(Tables(spark, sf_dir))
+    return reader.ranked_readings(surfaces, entries, forms, freq, over).where("rank = 2").select("surface", "initial", "entry")
+
+
+def _vocabulary(spark, sf_dir):
+    w = F.explode(F.regexp_extract_all("text", F.lit(r"[a-z]+"), F.lit(0))).alias("w")
+    return Tables(spark, sf_dir).documents.select(w).groupBy("w").agg(F.count("*").alias("n"))
+
+
+_WORDS = "v AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) GROUP BY w)"
+_MADE = "CASE n % 4 WHEN 0 THEN ['l', 'd', 'qu', 'x', 'jusqu', 'S'][(length(w) % 6 + 1)::INT] || '’' || w WHEN 1 THEN w || '-' || w[1:3] || '-là' ELSE w END"
+_ELIDED = "CASE regexp_extract(lower(t), '^([a-z]+)[''’]', 1) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in reader.ELISIONS.items()) + " END"
+
+
+@query(f"""WITH {_WORDS}, t AS (SELECT {_MADE} AS t FROM v), u AS (SELECT DISTINCT t FROM t)
+SELECT t AS token, array_to_string(CASE {" ".join(f"WHEN lower(t) = '{k}' THEN ['{a}', '{b}']" for k, (a, b) in reader.CONTRACTIONS["fr"].items())} WHEN {_ELIDED} IS NOT NULL THEN [{_ELIDED}, regexp_extract(lower(t), '^[a-z]+[''’](.+)$', 1)] ELSE string_split(lower(t), '-') END, ' ') AS parts FROM u""")
+def token_parts(spark, sf_dir):
+    """Words of documents, a quarter each with an elided word before and with hyphens."""
+    w, n = F.col("w"), F.col("n")
+    elided = F.element_at(F.array(*map(F.lit, ("l", "d", "qu", "x", "jusqu", "S"))), (F.length(w) % 6 + 1).cast("int"))
+    made = F.when(n % 4 == 0, F.concat(elided, F.lit("’"), w)).when(n % 4 == 1, F.concat(w, F.lit("-"), F.substring(w, 1, 3), F.lit("-là"))).otherwise(w)
+    tokens = _vocabulary(spark, sf_dir).select(made.alias("token")).distinct()
+    return tokens.select("token", F.array_join(reader.parts_of(F.col("token"), "fr"), " ").alias("parts"))
+
+
+def _fallback_sql(language: str) -> str:
+    made = " UNION ALL ".join(f"SELECT w, {k} AS k, w[: -{len(a) + 1}] || '{b}' AS base, '{r}' AS rule FROM m WHERE ends_with(w, '{a}') AND length(w) > {len(a) + 2}" for k, (a, b, r) in enumerate(reader.FALLBACKS[language]))
+    return f"""WITH {_WORDS}, lex AS (SELECT w FROM v WHERE n >= 6), m AS (SELECT w FROM v WHERE n < 6), c AS ({made})
+SELECT c.w AS word, base, rule FROM c JOIN (SELECT w AS base FROM v) x USING (base) WHERE base <> c.w QUALIFY row_number() OVER (PARTITION BY c.w ORDER BY k) = 1"""
+
+
+@query(_fallback_sql("fr"))
+def inflection_fallback(spark, sf_dir):
+    """Rare words by the first ending without which they are another word."""
+    v = _vocabulary(spark, sf_dir)
+    lexicon = v.where("n >= 6").select(F.col("w").alias("word"))
+    return reader.fallbacks(v.where("n < 6").select(F.col("w").alias("word")), lexicon, "fr").select("word", "base", "rule")
+
+
+_STEMS = "list_transform(list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)), lambda w: w[:5])"
+
+
+@query(f"""WITH g AS (SELECT item_id AS quote, unnest(string_split(text, '. ')) AS gloss FROM benchmark), a AS (SELECT doc_id AS quote, text FROM documents)
+SELECT quote, count(*) AS words, count(*) FILTER (WHERE list_has_any({_STEMS.format("gloss")}, {_STEMS.format("text")})) AS found FROM g JOIN a USING (quote) GROUP BY quote""")
+def judged_answers(spark, sf_dir):
+    """Sentences of benchmark items as glosses, the documents of the same number as answers."""
+    t = Tables(spark, sf_dir)
+    glosses = t.benchmark.select(F.col("item_id").alias("quote"), F.explode(F.split("text", r"\. ")).alias("gloss"))
+    return reader.judged(glosses, t.documents.select(F.col("doc_id").alias("quote"), F.col("text").alias("answer")))
+
+
+@query(f"""WITH {_WORDS}, verbs AS (SELECT p AS prefix, w AS stem, p || w AS verb FROM v, (VALUES ('an'), ('on'), ('of'), ('to')) x(p) WHERE length(w) >= 5 AND n >= 3),
+s AS (SELECT doc_id AS quote, k AS sentence, regexp_extract_all(x, '\\p{{L}}+') AS w FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))),
+t AS (SELECT quote, sentence, unnest(range(len(w))) AS place, unnest(w) AS token FROM s),
+j AS (SELECT t.quote, t.sentence, t.place, verb, u.place AS p FROM t JOIN verbs ON lower(t.token) = stem JOIN t u ON u.quote = t.quote AND u.sentence = t.sentence AND lower(u.token) = prefix AND u.place > t.place)
+SELECT quote, sentence, place, arg_min(verb, (p, verb)) AS verb FROM j GROUP BY 1, 2, 3""")
+def separable_verbs(spark, sf_dir):
+    """Words of five letters with a particle later in the sentence."""
+    v = _vocabulary(spark, sf_dir).where("length(w) >= 5 AND n >= 3")
+    verbs = v.select(F.explode(F.array(*map(F.lit, ("an", "on", "of", "to")))).alias("prefix"), F.col("w").alias("stem")).withColumn("verb", F.concat("prefix", "stem"))
+    s = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("quote"), F.posexplode(F.split("text", r"\.")).alias("sentence", "x"))
+    tokens = s.select("quote", F.col("sentence").cast("long").alias("sentence"), F.posexplode(F.regexp_extract_all("x", F.lit(r"\p{L}+"), F.lit(0))).alias("place", "token"))
+    return reader.separable(tokens.withColumn("place", F.col("place").cast("long")), verbs)
+
+
+@query("""WITH s AS (SELECT p_brand AS word, p_partkey AS ord, 'a ' || p_name || ' of ' || lower(p_type) AS gloss FROM part),
+l AS (SELECT DISTINCT p_brand AS word, CASE WHEN l_linenumber % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE lower(p_type) END AS other, CASE WHEN l_quantity > 25 THEN 'a ' || p_name || ' of ' || lower(p_type) ELSE 'gone' END AS gloss FROM lineitem JOIN part ON p_partkey = l_partkey),
+c AS (SELECT word, other, ord, 0 AS tier FROM l JOIN s USING (word, gloss) UNION ALL SELECT l.word, other, ord, 1 FROM (SELECT DISTINCT word, other FROM l) l JOIN s ON s.word = l.word AND contains(lower(s.gloss), lower(other)))
+SELECT word, other, arg_min(ord, (tier, ord)) AS ord FROM c GROUP BY 1, 2""")
+def sense_links(spark, sf_dir):
+    """Brands as words with their parts as senses; links from lines, half of which name a sense."""
+    t = Tables(spark, sf_dir)
+    gloss = F.concat(F.lit("a "), "p_name", F.lit(" of "), F.lower("p_type"))
+    senses = t.part.select(F.col("p_brand").alias("word"), F.col("p_partkey").alias("ord"), gloss.alias("gloss"))
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    other = F.when(F.col("l_linenumber") % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.lower("p_type"))
+    links = lines.select(F.col("p_brand").alias("word"), other.alias("other"), F.when(F.col("l_quantity") > 25, gloss).otherwise("gone").alias("gloss")).distinct()
+    return reader.sense_link(senses, links)
