@@ -7,8 +7,9 @@ page order, are fused by their product, weighted by the share of text outside of
 what the path's elements are declared to be, and held against a threshold.
 Blocks of the paths above it are content nodes; the smallest container that
 holds them all is the article, of which everything is kept but declared parts (menus, adverts,
-comments ...) whose paths stay below the threshold.  A declared element that holds most
-of a page's text, and a heading, is taken for a wrapper: its declaration doesn't count.
+comments ...) whose paths stay below the threshold.  A class, id or role declares an element only if all its words are of that kind, so that
+an article's own sections keep their names: "side-bar" does, "side-effects" doesn't.  A declared element that holds most
+of a page's text is taken for a wrapper, and its declaration doesn't count: comments, adverts, menus and the like only if they hold a heading, too.
 Pages are taken one by one, in Arrow batches, in time that grows with their length.
 """
 
@@ -31,6 +32,7 @@ BLOCK = frozenset(
 UNSEEN = frozenset("head title script style noscript template textarea iframe svg select object canvas audio video".split())
 RAW = frozenset("title script style noscript template textarea iframe svg".split())
 OTHER = frozenset("nav header footer aside form menu button dialog".split())
+LOOSE = frozenset("header aside form dialog".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset(("article", "main", "h1", "h2", "h3"))
 #: A start tag of the first kind closes an open element of the second.
@@ -42,33 +44,57 @@ CLOSES = {
 SCOPE = frozenset("html body article aside blockquote button caption details dialog div fieldset figure footer form header main menu nav object ol section table td th ul".split())
 #: Elements that can be an article's root; others are parts of one.
 CONTAINERS = frozenset("html body main article div center td".split())
-#: Words of a class, id or role that say what an element is.
-OTHER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments discussion disqus reply replies respond cookie cookies consent notice gdpr popup modal newsletter subscribe signup login share sharing social related recommended widget pagination pager search toolbar contentinfo complementary".split()
+#: Words of a class, id or role that say what an element is: those that can hold a page's article by mistake, and those that hardly can.
+LOOSE_WORDS = frozenset("banner side aside header masthead widget popup modal toolbar complementary".split())
+OTHER_WORDS = LOOSE_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments discussion disqus reply replies respond cookie cookies consent notice gdpr newsletter subscribe signup login share sharing social related recommended pagination pager search contentinfo".split()
+)
+#: Words that stand beside those and leave their meaning as it is.
+BESIDE = frozenset(
+    "page site main top bottom left right primary secondary global local container wrapper wrap inner outer box block list items item section area bar slot unit link links post posts article articles content row col column group holder panel button buttons icon icons form user reader readers text title body the js id".split()
 )
 #: Weights of paths inside article or main, and inside something declared to be other than the article.
-MAIN_WEIGHT, OTHER_WEIGHT = 4.0, 0.005
-#: Share of a page's text from which a declared element with a heading is a wrapper.
+MAIN_WEIGHT, OTHER_WEIGHT = 2.0, 0.05
+#: Share of a page's text from which a declared element is a wrapper.
 WRAPPER = 0.6
 #: Smoothing counts a path's own ratio so many times more than a neighbour's.
 OWN = 4
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_WORDS = re.compile(r"[^a-z]+")
+_WORDS = re.compile(r"[a-z]+")
+#: An attribute's value without quotes at a tag's end, which a slash there belongs to.
+_BARE = re.compile(r"=\s*[^\s\"'>][^\s>]*$")
 _ENDS = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in RAW}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
+def declared_words(named: str) -> frozenset[str]:
+    """The words that declare something, of names of which each consists of such words and words beside them."""
+    found: set[str] = set()
+    for name in named.split():
+        words = set(_WORDS.findall(name))
+        if not words.isdisjoint(OTHER_WORDS) and words <= OTHER_WORDS | BESIDE:
+            found |= words & OTHER_WORDS
+    return frozenset(found)
+
+
+def closes_itself(tag: str, rest: str, foreign: bool) -> bool:
+    """A slash ends svg and math and what is in them; for other elements it means nothing."""
+    return rest.endswith("/") and (foreign or tag in ("svg", "math")) and not _BARE.search(rest)
+
+
 class Node:
     """An element in its place: `number` counts start tags, `last` is that of its last descendant."""
 
-    __slots__ = ("tag", "label", "parent", "number", "last", "declared", "held", "headed", "path", "linked", "unseen")
+    __slots__ = ("tag", "label", "parent", "number", "last", "declared", "loose", "held", "headed", "path", "linked", "unseen")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, number: int):
         named = " ".join(x or y or z for _, x, y, z in _NAMED.findall(attributes)).lower() if "=" in attributes else ""
         self.tag, self.label, self.parent, self.number, self.last = tag, f"{tag}.{named}" if named else tag, parent, number, number
-        self.declared = tag in OTHER or tag not in ("html", "body") and bool(named) and not OTHER_WORDS.isdisjoint(_WORDS.split(named))
+        words = declared_words(named) if named and tag not in ("html", "body") else frozenset()
+        self.declared = tag in OTHER or bool(words)
+        self.loose = (tag not in OTHER or tag in LOOSE) and words <= LOOSE_WORDS
         self.held, self.headed, self.path = 0, False, -1
         self.linked = tag == "a" or parent is not None and parent.linked
         self.unseen = tag in UNSEEN or parent is not None and parent.unseen
@@ -119,7 +145,7 @@ def pieces(html: str) -> Iterator[tuple[str, str, str]]:
         if name:
             tag = name[0].lower()
             yield "end" if after == "/" else "start", tag, html[name.end() : end]
-            if after != "/" and tag in RAW and not html.endswith("/", 0, end):
+            if after != "/" and tag in RAW and not closes_itself(tag, html[name.end() : end], False):
                 m = _ENDS[tag].search(html, at)
                 at = m.start() if m else len(html)
     yield "text", "", html[at:]
@@ -188,7 +214,7 @@ def blocks_of(html: str) -> list[Block]:
                             break
             if tag == "br" and parts:
                 parts.append(" ")
-            if tag not in VOID and not rest.endswith("/"):
+            if tag not in VOID and not closes_itself(tag, rest, bool(opened.get("math"))):
                 number += 1
                 stack.append(Node(tag, rest, stack[-1], number))
                 opened[tag] = opened.get(tag, 0) + 1
@@ -213,7 +239,7 @@ def _measured(blocks: list[Block]) -> tuple[list[Node], set[int]]:
             x.parent.held += x.held
             x.parent.headed |= x.headed or x.tag in HEADINGS
     total = sum(len(b.text) for b in blocks)
-    return order, {x.number for x in order if x.declared and x.headed and x.held >= WRAPPER * total}
+    return order, {x.number for x in order if x.declared and (x.headed or x.loose) and x.held >= WRAPPER * total}
 
 
 def scores(blocks: list[Block], spread: int = 1) -> tuple[list[float], list[bool]]:

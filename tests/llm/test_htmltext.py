@@ -94,6 +94,39 @@ def test_declared_parts():
     assert htmltext.main_text("<p title='a>b'>x</p><p title='>y</p>") == "x\n\ny"
 
 
+def test_ordinary_names():
+    """Sections of an article keep their ids, whatever words are in them; names of other things are still told."""
+    parts = "".join(f"<section id='{x}'><h2>{x}</h2><p>{SHORT}</p></section>" for x in ("side-effects", "related-work", "search-methods", "share-price", "menu-costs", "reply-brief", "ad-hoc", "header-files"))
+    text = htmltext.main_text(f"<body><nav>Home</nav><article><h1>T</h1><p>{LONG}</p>{parts}<div class='ad-slot top'>Buy!</div><div class='related posts'>More</div><div id='comment-list'>Me!</div></article></body>")
+    assert text.count(SHORT.strip()) == 8 and text.startswith("T\n\n") and not any(x in text for x in ("Buy", "More", "Me!", "Home"))
+    for name in ("ad", "site-header", "social-share", "cookie-banner", "page_footer", "nav2", "main-nav", "user-comments", "js-newsletter-form"):
+        assert htmltext.declared_words(name)
+    for name in ("adhoc", "leadership", "side-effects", "navier-stokes", "commentary", "", "w-1/2"):
+        assert not htmltext.declared_words(name)
+
+
+def test_slashes():
+    """A slash at the end of a start tag closes only svg and math; behind a bare value it is part of it."""
+    assert htmltext.main_text(f"<body><p>{LONG}</p><script src='a.js'/>var leaked = 1;</script><p>{LONG}</p></body>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+    assert htmltext.main_text(f"<body><div><p>{LONG}</p><div class='ad'/>BUY NOW</div><div class=ad/>BUY NOW</div></div></body>") == LONG.strip()
+    assert htmltext.main_text(f"<body><p>{LONG}</p><svg width='1'/><p>Behind. It is, here.</p></body>").endswith("Behind. It is, here.")
+    assert htmltext.main_text("<p>a <br/>b<hr/>c <math><mi/>x</math> d</p>") == "a b\n\nc x d"
+
+
+def test_wrappers():
+    """What holds nearly all of the text isn't a header, whatever it is called; comments need a heading for that."""
+    inner = f"<p>{LONG}</p><p>{LONG}</p>"
+    assert htmltext.main_text(f"<body><p>One line. Of text.</p><div class='page-header'>{inner}</div></body>").endswith(f"{LONG.strip()}\n\n{LONG.strip()}")
+    assert htmltext.main_text(f"<body><div><p>{LONG}</p><div class='comments'>{inner}</div></div></body>") == LONG.strip()
+
+
+def test_ratios_decide():
+    """Without names, only the ratios tell the article from lines around it."""
+    page = f"<body><div><div>Home, about, contact.</div><div>Of this page, more.</div></div><div><p>{LONG}</p><p>{LONG}</p></div><div><div>All rights, reserved.</div></div></body>"
+    assert htmltext.main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    assert htmltext.main_text(page, 0.0) != htmltext.main_text(page)
+
+
 def test_time_grows_with_length():
     for page in ("<script " * 20_000, "<a " * 50_000, "<a>" * 50_000 + "</b>" * 50_000 + "x", "<a href='x>\"y " * 20_000, "<!-- " * 50_000, "<p>x" * 50_000, "<div>" * 20_000 + "x"):
         began = time.process_time()
