@@ -2,21 +2,21 @@
 
 Texts are normalised (lower case, runs of other characters than letters and
 digits are one space), line breaks included, so that wrapped notices are like
-others.  A bigram of a document that a template has says where the template would start; where
-at least `aligned` of the template's bigrams agree on a start, the window of the template's
-length from there, trimmed to the first and last bigram that the template has,
-is compared: Dice is twice the common bigrams over the bigrams of both, counting repeated
+others.  Windows from every bigram of a document that a template has to every other are
+compared: Dice is twice the common bigrams over the bigrams of both, counting repeated
 ones.  A window of n bigrams can reach Dice d with a template of b only if n lies between
-b*d/(2-d) and b*(2-d)/d: windows and whole documents outside of that are dropped.
-Matching windows that overlap are one unit.  DataFrame functions only.
+b*d/(2-d) and b*(2-d)/d, and only if it has b*d/(2-d) bigrams of the template: windows and whole documents outside of that are dropped.
+Of matching windows that overlap the best is a unit.  DataFrame functions only.
 
 Scale: one scan drops documents without any of the words that a match must have;
-of the others only bigrams that some template has are written, and shuffled by document.
+of the others only bigrams that some template has are shuffled, by document and template, and of these only
+stretches dense enough for a match are written.  A window is at most 1.2 templates long, so that the windows of a stretch grow with its length.
 Templates are parameters; they are broadcast below a checked size.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,7 +74,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Templates of so many bigrams are broadcast; more are joined like any table.
 BROADCAST_BIGRAMS = 200_000
-LEAST, ALIGNED = 0.9, 0.2
+LEAST = 0.9
+#: A template's longest window in the units by which positions are ordered: windows of all templates are frames of one width.
+SPAN = 1 << 32
 
 
 def terms(text: Column) -> Column:
@@ -113,11 +115,13 @@ def telling(places_of: Mapping[tuple[str, int], list[str]], least: float) -> set
     return words
 
 
-def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, aligned: float = ALIGNED) -> DataFrame:
-    """(doc, first, last, licence, template, dice) of every window with dice of at least `least`.
+def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(doc, first, last, licence, template, dice): from every bigram of a template in a document the window that begins there with
+    the highest Dice, the longest of equals, if that is `least` or more.
 
-    first, last: its first and last bigram in the document, from 0; `doc` keys id and text.
-    `aligned` is the share of a template's bigrams that must agree on a start (two at least).
+    first, last: the window's first and last bigram in the document, from 0; `doc` keys id and text. Windows of b bigrams are compared with
+    templates of d for all b from d * least/(2-least) to d * (2-least)/least, beyond which Dice can't be `least`; they end in bigrams of the template, since
+    others at an end only lower it. A bigram counts as often as the template has it.
     """
     t = templates_of(docs.sparkSession, templates)
     places: dict[tuple[str, int], list[str]] = {}
@@ -127,8 +131,7 @@ def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     words = sorted(telling(places, least))
     low = least / (2 - least)
 
-    same = ["licence", "template", "bigram"]
-    t = t.withColumn("first_place", F.min("place").over(Window.partitionBy(*same))).withColumn("often", F.count("*").over(Window.partitionBy(*same)))
+    t = t.groupBy("licence", "template", "size", "bigram").agg(F.count("*").alias("often"))
     if small:
         t = F.broadcast(t)
     # most documents have none of the telling words and go no further
@@ -138,41 +141,56 @@ def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     d = docs.select("doc_id", "text").where(told).select(row_key().alias("doc"), pairs.alias("all"))
     each = d.select("doc", F.size("all").alias("n_doc"), F.posexplode_outer("all").alias("at", "bigram"))
     hits = each.join(t, "bigram").where(F.col("n_doc") >= F.col("size") * low)
-    hits = hits.select("doc", "licence", "template", "size", "bigram", "often", "at", (F.col("at") - F.col("place")).alias("start"), (F.col("place") == F.col("first_place")).alias("once"))
-    hits = stash(hits, "hits")
-
-    starts = hits.groupBy("doc", "licence", "template", "size", "start").agg(F.countDistinct("at").alias("agreed"))
-    starts = starts.where(F.col("agreed") >= F.greatest(F.lit(2), F.ceil(F.col("size") * F.lit(aligned))))
-    # a window lies in two cells of the template's length at most: a join on cells, not of all windows with all hits
-    cell = lambda x: F.floor(x / F.col("size"))
-    starts = starts.select("doc", "licence", "template", "start", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("size") - 1))).alias("cell"))
-    in_cells = hits.where("once").withColumn("cell", cell(F.col("at")))
-    inside = in_cells.drop("start", "once").join(starts, ["doc", "licence", "template", "cell"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("size")))
-    window = ["doc", "licence", "template", "size", "start"]
-    by_bigram = inside.groupBy(*window, "bigram").agg(F.countDistinct("at").alias("n"), F.max("often").alias("often"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    found = by_bigram.groupBy(*window).agg(F.sum(F.least("n", "often")).alias("both"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    dice = 2.0 * F.col("both") / (F.col("last") - F.col("first") + 1 + F.col("size"))
-    return found.withColumn("dice", dice).where(F.col("dice") >= least).select("doc", "first", "last", "licence", "template", "dice")
+
+    one = ["doc", "licence", "template"]
+    hits = hits.repartition(*one).dropDuplicates([*one, "at"])  # rows alike are one; all that follows is by these keys
+    # positions in units of which a window's longest length has SPAN; and how many bigrams of the template any window must have
+    hits = hits.withColumn("x", F.expr(f"(bigint(at) * {SPAN}L) DIV bigint(floor(size / {low!r}D + 1e-9D))"))
+    need = F.ceil(F.col("size") * F.lit(low) - 1e-9)
+    along = Window.partitionBy(*one).orderBy("x")
+    ahead, behind = along.rangeBetween(0, SPAN - 1), along.rangeBetween(1 - SPAN, 0)
+    begins = hits.withColumn("begins", F.count("*").over(ahead) >= need)
+    dense = begins.withColumn("near", F.max("begins").over(behind)).where("near").drop("near")
+    # the occurrence of the same bigram that must lie before a window for this one to count in it
+    same = Window.partitionBy(*one, "bigram").orderBy("at")
+    before = F.lit(None).cast("int")
+    for often in sorted({n for p in places.values() for n in Counter(p).values()}):
+        before = F.when(F.col("often") == often, F.lag("at", often).over(same)).otherwise(before)
+    dense = stash(dense.select(*one, "size", "at", "x", "begins", F.coalesce(before, F.lit(-1)).alias("before")), "hits")
+    windows = dense.withColumn("ends", F.collect_list(F.struct("at", "before")).over(ahead)).where("begins")
+    zero = F.struct(F.lit(0).alias("both"), F.lit(0.0).alias("dice"), F.lit(-1).alias("last"))
+
+    def longer(s: Column, e: Column) -> Column:
+        both = s["both"] + F.when(e["before"] < F.col("at"), 1).otherwise(0)
+        dice = both * 2.0 / (e["at"] - F.col("at") + 1 + F.col("size"))
+        better = dice >= s["dice"]
+        return F.struct(both.alias("both"), F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, e["at"]).otherwise(s["last"]).alias("last"))
+
+    best = windows.select(*one, F.col("at").alias("first"), F.aggregate(F.array_sort("ends"), zero, longer).alias("w"))
+    return best.where(F.col("w.dice") >= least).select("doc", "first", F.col("w.last").alias("last"), "licence", "template", F.col("w.dice").alias("dice"))
 
 
 def units(found: DataFrame) -> DataFrame:
-    """Of matches(): (doc, unit, licence, dice), overlapping windows joined to a unit
-    with the licence of the best; ties go to the licence first in order."""
-    order = Window.partitionBy("doc").orderBy("first", "last", "licence", "template", "dice")
+    """Of matches(): (doc, licence, dice, first, last), windows none of which overlap: the one with the highest Dice first, of
+    equals the longest, then by licence and place, each if none that overlaps it was taken. Windows are settled stretch by stretch."""
+    order = Window.partitionBy("doc").orderBy("first", "last", "licence", "template")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = found.withColumn("new", (reach.isNull() | (F.col("first") > reach)).cast("int")).withColumn("unit", F.sum("new").over(order))
-    best = joined.groupBy("doc", "unit").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence")).alias("b"))
-    return best.select("doc", "unit", F.col("b.licence").alias("licence"), (-F.col("b.d")).alias("dice"))
+    joined = found.withColumn("new", (reach.isNull() | (F.col("first") > reach)).cast("int")).withColumn("stretch", F.sum("new").over(order))
+    rank = F.struct((-F.col("dice")).alias("d"), (F.col("first") - F.col("last")).alias("l"), "licence", "first", "last")
+    groups = joined.groupBy("doc", "stretch").agg(F.array_sort(F.collect_set(rank)).alias("all"))
+    take = lambda a, x: F.when(F.exists(a, lambda y: (y["first"] <= x["last"]) & (y["last"] >= x["first"])), a).otherwise(F.concat(a, F.array(x)))
+    kept = groups.select("doc", F.explode(F.aggregate("all", F.slice("all", 1, 0), take)).alias("x"))
+    return kept.select("doc", "x.licence", (-F.col("x.d")).alias("dice"), "x.first", "x.last")
 
 
-def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, aligned: float = ALIGNED) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """Takes doc_id and text.  Returns a row per row of docs: doc_id, licences (of
     its units, sorted, comma-joined, '' if none), n_units and best_dice (0 if none).
 
     Null or empty text, or fewer than two words: no unit.  Repeated rows: a row each
     with the same figures.  No rows: no rows.  No templates: no units.
     """
-    of = units(matches(docs, templates, least, aligned))
+    of = units(matches(docs, templates, least))
     by_doc = of.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("l"), F.count("*").alias("u"), F.max("dice").alias("d"))
     out = docs.select("doc_id", row_key().alias("doc")).join(by_doc, "doc", "left")
     return out.select("doc_id", F.coalesce("l", F.lit("")).alias("licences"), F.coalesce("u", F.lit(0)).cast("long").alias("n_units"), F.coalesce("d", F.lit(0.0)).alias("best_dice"))

@@ -35,7 +35,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the licence notices, line by line and as a whole."""
+    """All documents against the licence notices, in windows of all lengths that can match."""
     return licences.scan(table(spark, sf_dir, "documents"))
 
 

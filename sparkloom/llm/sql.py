@@ -1,7 +1,7 @@
 """DuckDB SQL with the rows of this package's queries."""
 
 from .chat import CONTROL, END, SEP, START
-from .licences import ALIGNED, LEAST, TEMPLATES
+from .licences import LEAST, TEMPLATES
 
 #: Plain words of a text.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -90,24 +90,31 @@ def _quoted(text: str) -> str:
 _TERMS = r"list_filter(string_split(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _PLACES = "SELECT {0}, unnest(range(0, len(w) - 1)) AS {1}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b"
 OP5 = rf"""
-WITH templates(licence, template, part) AS (VALUES {", ".join(f"({_quoted(n)}, {k}, {_quoted(t)})" for n, ts in TEMPLATES.items() for k, t in enumerate(ts))}),
+WITH RECURSIVE templates(licence, template, part) AS (VALUES {", ".join(f"({_quoted(n)}, {k}, {_quoted(t)})" for n, ts in TEMPLATES.items() for k, t in enumerate(ts))}),
 tw AS (SELECT licence, template, {_TERMS} AS w FROM templates),
 tb AS (SELECT *, count(*) OVER (PARTITION BY licence, template, b) AS often FROM ({_PLACES.format("licence, template, len(w) - 1 AS size", "place")} FROM tw)),
 docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
 dw AS (SELECT row, {_TERMS.replace("part", "text")} AS w FROM docs WHERE text IS NOT NULL),
 db AS ({_PLACES.format("row, len(w) - 1 AS n_doc", "pos")} FROM dw WHERE len(w) >= 2),
-hits AS (SELECT row, licence, template, size, b, often, pos, pos - place AS start FROM db JOIN tb USING (b) WHERE n_doc >= size * ({LEAST} / (2 - {LEAST}))),
-starts AS (SELECT row, licence, template, size, start FROM hits GROUP BY ALL HAVING count(*) >= greatest(2, ceil(size * {ALIGNED}))),
-found AS (
-  SELECT row, licence, template, size, start, b, least(count(DISTINCT pos), max(often)) AS n, min(pos) AS lo, max(pos) AS hi
-  FROM (SELECT DISTINCT row, licence, template, b, often, pos FROM hits) h JOIN starts s USING (row, licence, template)
-  WHERE pos >= start AND pos < start + size GROUP BY row, licence, template, size, start, b),
-d AS (
-  SELECT row, licence, min(lo) AS first, max(hi) AS last, 2.0::DOUBLE * sum(n)::DOUBLE / (max(hi) - min(lo) + 1 + size) AS dice
-  FROM found GROUP BY row, licence, template, size, start),
-good AS (SELECT *, max(last) OVER (PARTITION BY row ORDER BY first, last, licence, dice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d WHERE dice >= {LEAST}),
-numbered AS (SELECT *, sum((reach IS NULL OR first > reach)::INT) OVER (PARTITION BY row ORDER BY first, last, licence, dice ROWS UNBOUNDED PRECEDING) AS unit FROM good),
-best AS (SELECT row, unit, licence, dice FROM numbered QUALIFY row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, licence) = 1),
+once AS (SELECT DISTINCT licence, template, size, b, often FROM tb),
+hits AS (SELECT row, licence, template, size, b, often, pos FROM db JOIN once USING (b) WHERE n_doc >= size * ({LEAST} / (2 - {LEAST}))),
+many AS (
+  SELECT x.row, x.licence, x.template, x.size, x.pos AS first FROM hits x JOIN hits y ON y.row = x.row AND y.licence = x.licence AND y.template = x.template AND y.pos >= x.pos AND y.pos < x.pos + floor(x.size * (2 - {LEAST}) / {LEAST} + 1e-9)
+  GROUP BY ALL HAVING count(*) >= ceil(x.size * {LEAST} / (2 - {LEAST}) - 1e-9)),
+w AS (
+  SELECT m.row, m.licence, m.template, m.size, m.first, h.pos AS last, row_number() OVER (PARTITION BY m.row, m.licence, m.template, m.first, h.b ORDER BY h.pos) <= h.often AS counts
+  FROM many m JOIN hits h ON h.row = m.row AND h.licence = m.licence AND h.template = m.template AND h.pos >= m.first AND h.pos < m.first + floor(m.size * (2 - {LEAST}) / {LEAST} + 1e-9)),
+e AS (
+  SELECT row, licence, template, first, last, 2.0::DOUBLE * sum(counts::INT) OVER (PARTITION BY row, licence, template, first ORDER BY last)::DOUBLE / (last - first + 1 + size) AS dice FROM w),
+d AS (SELECT row, licence, template, first, max(dice) AS dice, arg_max(last, (dice, last)) AS last FROM e GROUP BY row, licence, template, first),
+good AS (SELECT *, max(last) OVER (PARTITION BY row ORDER BY first, last, licence, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d WHERE dice >= {LEAST}),
+numbered AS (SELECT *, sum((reach IS NULL OR first > reach)::INT) OVER (PARTITION BY row ORDER BY first, last, licence, template ROWS UNBOUNDED PRECEDING) AS stretch FROM good),
+o AS (SELECT *, row_number() OVER (PARTITION BY row, stretch ORDER BY dice DESC, last - first DESC, licence, first) AS k FROM (SELECT DISTINCT row, stretch, dice, first, last, licence FROM numbered)),
+g AS (
+  SELECT row, stretch, k, [first] AS fs, [last] AS ls, true AS kept FROM o WHERE k = 1
+  UNION ALL SELECT row, stretch, next, CASE WHEN free THEN list_append(fs, first) ELSE fs END, CASE WHEN free THEN list_append(ls, last) ELSE ls END, free FROM (
+    SELECT g.row, g.stretch, o.k AS next, fs, ls, o.first, o.last, len(list_filter(range(1, len(fs) + 1), lambda i: fs[i] <= o.last AND ls[i] >= o.first)) = 0 AS free FROM g JOIN o ON o.row = g.row AND o.stretch = g.stretch AND o.k = g.k + 1)),
+best AS (SELECT row, licence, dice FROM g JOIN o USING (row, stretch, k) WHERE kept),
 by_doc AS (SELECT row, string_agg(DISTINCT licence, ',' ORDER BY licence) AS l, count(*) AS u, max(dice) AS m FROM best GROUP BY row)
 SELECT doc_id, coalesce(l, '') AS licences, coalesce(u, 0)::BIGINT AS n_units, coalesce(m, 0.0)::DOUBLE AS best_dice
 FROM docs LEFT JOIN by_doc USING (row)
