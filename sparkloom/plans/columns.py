@@ -29,13 +29,17 @@ def _among(list_: str, words: list[str]) -> str:
     return f"list_has_any({list_}, {_texts(tuple(words))})"
 
 
+_NAMES = sorted({*lang.ERAS, *(x for v in lang.FAMILIES.values() for x in v.split("|")), "Klingon"})
+#: Languages that parts stand for, by key: each as it is and with what may stand before it.
+LANGUAGES = tuple(x for k, n in enumerate(_NAMES) for x in (n, ("Old ", "Middle ", "Proto-", "Late Middle ", "Classical ")[k % 5] + n))
+
 _BASES = {
     "words": f"(WITH {_VOCABULARY} SELECT DISTINCT lower(word) AS word FROM vocabulary)",
     "documents": "documents",
     "orders": "orders",
     "lineitem": "lineitem",
     "glosses": f"(SELECT p_partkey, p_name, {_texts(GLOSSES)}[(p_partkey % {len(GLOSSES)} + 1)::INT] || p_name AS gloss FROM part)",
-    "languages": "(SELECT n || x AS language FROM (SELECT unnest(['', 'Old ', 'Middle ', 'Proto-', 'Late Middle ', 'Classical ']) AS n), (SELECT unnest(" + _texts(tuple(sorted({*lang.ERAS, *(x for v in lang.FAMILIES.values() for x in v.split("|")), "Klingon"}))) + ") AS x))",
+    "languages": f"(SELECT p_partkey, {_texts(LANGUAGES)}[(p_partkey % {len(LANGUAGES)} + 1)::INT] AS language FROM part)",
 }
 
 
@@ -47,8 +51,8 @@ def _base(spark, sf_dir: str, name: str) -> DataFrame:
         start = F.element_at(F.array(*map(F.lit, GLOSSES)), (F.col("p_partkey") % len(GLOSSES) + 1).cast("int"))
         return t.part.select("p_partkey", "p_name", F.concat(start, F.col("p_name")).alias("gloss"))
     if name == "languages":
-        names = sorted({*lang.ERAS, *(x for v in lang.FAMILIES.values() for x in v.split("|")), "Klingon"})
-        return spark.createDataFrame([(p + n,) for p in ("", "Old ", "Middle ", "Proto-", "Late Middle ", "Classical ") for n in names], "language string")
+        names = F.array(*map(F.lit, LANGUAGES))
+        return t.part.select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(LANGUAGES) + 1).cast("int")).alias("language"))
     return getattr(t, name)
 
 
@@ -134,7 +138,7 @@ def _source() -> Column:
 _column("edge_fields", "orders", "o_orderkey", lambda: lang.edge_bits(_kinds(), _source()), "(o_orderkey % 7 + [0, 8, 16][(o_orderkey % 3 + 1)::INT])::INT")
 _column("edge_kinds", "orders", "o_orderkey", lambda: lang.edge_of_bits(lang.edge_bits(_kinds(), _source()))["kind"], f"{_texts(lang.KIND_BITS)}[(o_orderkey % 7 + 1)::INT]")
 _ERA = " ".join(f"WHEN language = '{k}' THEN {v}" for k, v in lang.ERAS.items()) + " " + " ".join(f"WHEN regexp_matches(language, '{p}') THEN {y}" for p, y in lang.ERA_RULES)
-_column("eras", "languages", "language", lambda: lang.era(c("language")), f"CASE {_ERA} ELSE {lang.MODERN} END")
+_column("eras", "languages", "p_partkey, language", lambda: lang.era(c("language")), f"CASE {_ERA} ELSE {lang.MODERN} END")
 _FAMILY = " ".join(f"WHEN regexp_matches(language, '^({v})$') THEN '{k}'" for k, v in lang.ENGLISH.items()) + " " + " ".join("WHEN regexp_matches(language, '{}') THEN '{}'".format(v.replace("'", "''"), k) for k, v in lang.FAMILIES.items())
-_column("families", "languages", "language", lambda: lang.family(c("language")), f"CASE {_FAMILY} ELSE 'Other' END")
+_column("families", "languages", "p_partkey, language", lambda: lang.family(c("language")), f"CASE {_FAMILY} ELSE 'Other' END")
 _column("day_keys", "orders", "o_orderkey", lambda: F.concat_ws("-", F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")), "year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate)")

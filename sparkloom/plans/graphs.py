@@ -156,3 +156,110 @@ def grown_paths(spark, sf_dir):
     e = t.lineitem.select(F.col("l_partkey").alias("a"), after.alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
     paths = graph.grown_paths(e, t.part.select(F.col("p_partkey").alias("node")), [F.desc("n"), F.col("b")])
     return paths.select("node", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
+
+
+@query("""WITH r AS (SELECT p_brand AS title, p_type AS language, p_partkey, p_name AS gloss FROM part),
+g AS (SELECT title, language, gloss, min(p_partkey) AS first FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY title, language ORDER BY first) AS k FROM g)
+SELECT title, language, min(p_partkey) AS p_partkey, (SELECT string_agg(gloss, ', ' ORDER BY k) FROM k WHERE k.title = r.title AND k.language = r.language AND k <= 4) AS glosses, count(*) AS merged FROM r GROUP BY title, language""")
+def merged_nodes(spark, sf_dir):
+    """Parts of one brand and type as one node, with its first four names."""
+    r = Tables(spark, sf_dir).part.select(F.col("p_brand").alias("title"), F.col("p_type").alias("language"), "p_partkey", F.col("p_name").alias("gloss"))
+    return graph.merge_nodes(r, ["title", "language"], [F.col("p_partkey")], "gloss").select("title", "language", "p_partkey", F.array_join("glosses", ", ").alias("glosses"), "merged")
+
+
+@query("SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N')")
+def bare_nodes(spark, sf_dir):
+    """Pairs of parts and suppliers that are cited but never kept."""
+    l = Tables(spark, sf_dir).lineitem.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_returnflag")  # noqa: E741
+    return graph.bare_nodes(l, l.where("l_returnflag = 'N'"), ["part", "supplier"])
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, pairs AS (SELECT 'o' || o_orderkey AS node, 'r' || o_orderkey % 5 AS ancestor FROM orders)
+SELECT node, ancestor FROM pairs WHERE EXISTS (SELECT 1 FROM reach r WHERE r.node = pairs.node AND r.ancestor = pairs.ancestor)""")
+def reaching_pairs(spark, sf_dir):
+    """Orders that belong to the region that their key names."""
+    t = Tables(spark, sf_dir)
+    pairs = t.orders.select(_NODE("o", "o_orderkey").alias("node"), F.concat(F.lit("r"), F.col("o_orderkey") % 5).alias("ancestor"))
+    return graph.reaches(tree(t), pairs)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, seeds AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+up AS (SELECT node FROM seeds UNION SELECT ancestor FROM reach JOIN seeds USING (node)) SELECT child, parent FROM edges WHERE child IN (SELECT node FROM up)""")
+def kept_ancestry(spark, sf_dir):
+    """What urgent pending orders hang on."""
+    t = Tables(spark, sf_dir)
+    return graph.keep_ancestry(tree(t), t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(_NODE("o", "o_orderkey").alias("node")))
+
+
+_BINARY = "bin AS (SELECT p_partkey AS child, (p_partkey - 1) // 2 AS parent FROM part WHERE p_partkey > 0 AND p_size > 2)"
+_ROOTS = f"""{_BINARY}, roots AS (SELECT child AS node, parent AS at_, 1 AS steps FROM bin UNION ALL SELECT node, parent, steps + 1 FROM roots JOIN bin ON child = at_),
+tree AS (SELECT node, arg_max(at_, steps) AS root FROM roots GROUP BY node UNION SELECT parent, parent FROM bin WHERE parent NOT IN (SELECT child FROM bin))"""
+
+
+def _binary(t):
+    """Parts as a forest by halves of their keys, cut above the smallest sizes."""
+    return t.part.where("p_partkey > 0 AND p_size > 2").selectExpr("p_partkey AS child", "(p_partkey - 1) DIV 2 AS parent")
+
+
+@query(f"WITH RECURSIVE {_ROOTS} SELECT node, root FROM tree")
+def tree_roots(spark, sf_dir):
+    return graph.tree_roots(_binary(Tables(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_ROOTS}, l AS (SELECT l_partkey AS child, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS parent FROM lineitem)
+SELECT least(x.root, y.root) AS a, greatest(x.root, y.root) AS b, count(*) AS weight FROM l JOIN tree x ON x.node = child JOIN tree y ON y.node = parent WHERE x.root <> y.root GROUP BY 1, 2""")
+def tie_weights(spark, sf_dir):
+    """How many orders lead from one tree of parts to another."""
+    t = Tables(spark, sf_dir)
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    links = t.lineitem.select(F.col("l_partkey").alias("child"), after.alias("parent"))
+    return graph.tie_weights(links, graph.tree_roots(_binary(t)))
+
+
+@query("""SELECT l_partkey AS child FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY l_partkey HAVING bool_and(p_size % 2 = s_nationkey % 2 OR l_quantity < 40)""")
+def fold_set(spark, sf_dir):
+    """Parts all of whose larger lines come from nations of their own parity."""
+    t = Tables(spark, sf_dir)
+    j = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    own = F.col("p_size") % 2
+    e = j.select(F.col("l_partkey").alias("child"), own.cast("long").alias("child_family"), F.when(F.col("l_quantity") < 40, own).otherwise(F.col("s_nationkey") % 2).cast("long").alias("parent_family"))
+    return graph.fold_set(e)
+
+
+@query(f"WITH RECURSIVE {_BINARY}, up AS (SELECT child AS node, parent AS at_, 1 AS depth FROM bin UNION ALL SELECT node, parent, depth + 1 FROM up JOIN bin ON child = at_ WHERE depth < 12) SELECT node, max(depth)::BIGINT AS generations FROM up GROUP BY node HAVING max(depth) >= 6")
+def generations(spark, sf_dir):
+    """Parts with six generations or more above them, of the twelve that are followed."""
+    return graph.generations(graph.closure(_binary(Tables(spark, sf_dir))), 6)
+
+
+@query(f"""WITH RECURSIVE {_BINARY}, w AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (40, 41, 42)),
+up AS (SELECT child AS node, parent AS at_, 1 AS depth FROM bin UNION ALL SELECT node, parent, depth + 1 FROM up JOIN bin ON child = at_ WHERE depth < 12)
+SELECT at_ AS ancestor FROM up JOIN w USING (node) GROUP BY at_ HAVING count(DISTINCT node) = (SELECT count(*) FROM w)""")
+def common_ancestors(spark, sf_dir):
+    """What three parts have in common above them: the words are the query's parameters."""
+    t = Tables(spark, sf_dir)
+    return graph.common_ancestors(graph.closure(_binary(t)), t.part.where("p_partkey IN (40, 41, 42)").select(F.col("p_partkey").alias("node")))
+
+
+@query("""WITH n AS (SELECT p_partkey AS node, p_type AS language, p_name AS title FROM part), e AS (SELECT DISTINCT l_partkey AS child FROM lineitem WHERE l_quantity >= 46),
+s(language, older, ord) AS (VALUES ('PROMO', 'STANDARD', 1), ('PROMO', 'ECONOMY', 2), ('LARGE', 'MEDIUM', 1), ('LARGE', 'SMALL', 2), ('MEDIUM', 'SMALL', 1))
+SELECT n.node AS child, arg_min(h.node, (ord, h.node)) AS parent FROM n JOIN s USING (language) JOIN n h ON h.language = s.older AND h.title = n.title WHERE n.node NOT IN (SELECT child FROM e) AND h.node IN (SELECT child FROM e) GROUP BY n.node""")
+def bridged_stages(spark, sf_dir):
+    """Parts without large lines led to the same name in an older type; the types' order is the query's parameter."""
+    t = Tables(spark, sf_dir)
+    nodes = t.part.select(F.col("p_partkey").alias("node"), F.col("p_type").alias("language"), F.col("p_name").alias("title"))
+    stages = spark.createDataFrame([("PROMO", "STANDARD", 1), ("PROMO", "ECONOMY", 2), ("LARGE", "MEDIUM", 1), ("LARGE", "SMALL", 2), ("MEDIUM", "SMALL", 1)], "language string, older string, ord int")
+    return graph.bridge(nodes, t.lineitem.where("l_quantity >= 46").select(F.col("l_partkey").alias("child")), stages)
+
+
+_STAGE = "CASE WHEN p_size % 3 = 0 THEN 'Proto-' || p_type ELSE p_type END"
+
+
+@query(f"""WITH RECURSIVE {_BINARY}, up AS (SELECT child AS node, parent AS at_, 1 AS depth FROM bin UNION ALL SELECT node, parent, depth + 1 FROM up JOIN bin ON child = at_ WHERE depth < 12),
+l AS (SELECT p_partkey AS at_, {_STAGE} AS language FROM part), f AS (SELECT node, arg_min(language, (depth, at_)) AS donor FROM up JOIN l USING (at_) WHERE language NOT IN ('SMALL', 'LARGE', 'MEDIUM') GROUP BY node)
+SELECT node, CASE WHEN NOT starts_with(donor, 'Proto-') THEN donor END AS donor FROM f""")
+def donors(spark, sf_dir):
+    """The type of the nearest part above that isn't one of the sizes' own; none if a reconstruction comes before."""
+    t = Tables(spark, sf_dir)
+    languages = t.part.select(F.col("p_partkey").alias("node"), F.expr(_STAGE.replace("'Proto-' || p_type", "concat('Proto-', p_type)")).alias("language"))
+    return graph.donor(graph.closure(_binary(t)), languages, ["SMALL", "LARGE", "MEDIUM"])
