@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -194,14 +194,30 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def cells(members: DataFrame, cell: int) -> DataFrame:
-    """members with low, high and `second`: the members of a bucket of more than `cell`
-    are dealt to cells of about that size by their hash, and each goes to every pair
-    (low, high) of cells that its own is part of; second tells the cell of the two.
-    Any two members of a bucket meet in one pair of cells, whose size is bounded."""
-    size = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > cell)
-    n = F.coalesce(F.ceil(F.col("size") / cell), F.lit(1)).cast("int")
-    dealt = members.join(size, "bucket", "left").withColumn("cells", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    """members with low, high and `second`: the members of a bucket of more than `cell` are dealt to cells of about that size by their
+    component, and each goes to every pair (low, high) of cells that its own is part of, but for pairs within one component; second tells the cell of the two.
+
+    A component of more than `cell` members has cells of its own, to which they are dealt by their hash; smaller ones share cells in order. Any
+    two members of a bucket in different components meet in one pair of cells, whose size is bounded. So a bucket that is one
+    component but for a few members sends its members about once for each cell of these few.
+    """
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n_"))
+    size = counts.groupBy("bucket").agg(F.sum("n_").alias("size")).where(F.col("size") > cell).select("bucket")
+    large = F.col("n_") > cell
+    counts = counts.join(size, "bucket").withColumn("own_cells", F.when(large, F.ceil(F.col("n_") / cell)).otherwise(0).cast("int")).withColumn("small", F.when(large, 0).otherwise(F.col("n_")))
+    order = Window.partitionBy("bucket").orderBy(large.desc(), "component")
+    whole = Window.partitionBy("bucket")
+    # cells of large components first, each its own; behind them those that small ones fill in order
+    before = F.sum("own_cells").over(order) - F.col("own_cells")
+    begun = F.sum("own_cells").over(whole) + F.floor((F.sum("small").over(order) - F.col("small")) / cell)
+    placed = counts.withColumn("base", F.when(large, before).otherwise(begun).cast("int"))
+    placed = placed.withColumn("cells", F.max(F.col("base") + F.greatest("own_cells", F.lit(1))).over(whole).cast("int"))
+    dealt = members.join(placed.select("bucket", "component", "own_cells", "base", "cells"), ["bucket", "component"], "left")
+    within = F.when(F.col("own_cells") > 0, F.pmod(F.xxhash64("rep"), F.col("own_cells"))).otherwise(0)
+    dealt = dealt.withColumn("own", (F.coalesce("base", F.lit(0)) + F.coalesce(within, F.lit(0))).cast("int"))
+    others = F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)
+    apart = F.filter(others, lambda k: (F.coalesce("own_cells", F.lit(0)) == 0) | (k < F.col("base")) | (k >= F.col("base") + F.col("own_cells")))
+    each = dealt.withColumn("other", F.explode(apart))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return each.select(*members.columns, low.alias("low"), high.alias("high"), (F.col("own") > F.col("other")).alias("second"))
 

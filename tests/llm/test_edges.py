@@ -144,7 +144,25 @@ def test_cells(spark):
         assert {(r.a, r.b) for r in neardup.across(members, 85, 0.7, cell).collect()} == want
     dealt = neardup.cells(members, 7)
     sizes = [r["count"] for r in dealt.groupBy("bucket", "low", "high").count().collect()]
-    assert max(sizes) < 40 and dealt.where("low = high").count() == 90
+    assert max(sizes) < 40 and dealt.where("low = high").count() == 90  # components of two share cells
+
+
+def test_cells_of_one_component(spark):
+    """A large component and a few others: its members go once to each cell of the others, not to one another's."""
+    big = spark.range(20_000).selectExpr("1L AS bucket", "id AS rep", "0L AS component")
+    one = big.unionByName(spark.range(1).selectExpr("1L AS bucket", "90000L AS rep", "90000L AS component"))
+    for cell in (2048, 200):
+        dealt = neardup.cells(one, cell)
+        own = -(-20_000 // cell)
+        assert dealt.count() == 20_000 + own + 1
+        assert dealt.groupBy("low", "high").count().agg({"count": "max"}).first()[0] < 1.5 * cell
+        assert dealt.where("rep < 20000 AND (low = high OR high <> 10 AND high <> 100)").count() == 0
+    # two large ones meet cell by cell, and no pair of theirs is missed
+    two = spark.range(60).selectExpr("1L AS bucket", "id AS rep", "CASE WHEN id < 30 THEN 0L WHEN id < 50 THEN 30L ELSE id END AS component")
+    rows = neardup.cells(two, 7).collect()
+    met = {(min(x.rep, y.rep), max(x.rep, y.rep)) for x in rows for y in rows if (x.low, x.high) == (y.low, y.high) and x.rep != y.rep and (x.low == x.high or x.second != y.second)}
+    component = {x.rep: x.component for x in rows}
+    assert {(a, b) for a in range(60) for b in range(a + 1, 60) if component[a] != component[b]} <= met
 
 
 def test_keep_first_rows(spark):
