@@ -47,10 +47,14 @@ def bracketed(text: str) -> tuple[str, list[str]]:
     return head.strip(), out
 
 
+#: Fixed value: a language's code before a term, of two or three letters and up to three parts more.
+_CODED = re.compile(r"([a-z]{2,3}(?:-[a-z]{2,4}){0,3}):(.+)")
+
+
 def term(text: str, language: str) -> Term:
     """A term such as `fr:mot<t:word><id:x>`; without a code it is of `language`."""
     head, mods = bracketed(text or "")
-    coded = re.fullmatch(r"([a-z]{2,3}(?:-[a-z]{2,4}){0,3}):(.+)", head)
+    coded = _CODED.fullmatch(head)
     named: dict[str, str] = {}
     for m in mods:
         key, _, value = m.partition(":")
@@ -59,9 +63,16 @@ def term(text: str, language: str) -> Term:
     return Term(coded[1] if coded else language, (shown or named.get("alt", "")).strip(), named.get("t", ""), named.get("id", ""))
 
 
+#: What markup begins with, and what asks for a term in its script.
+MARKUP, WANTED = ("[", "⇒", ">"), "script needed"
+
+
 def is_word(text: str) -> bool:
-    """Has a letter and is no markup, bare code or request for a script."""
-    return any(c.isalpha() for c in text) and not re.search(r"^\[|^⇒|^>|:\s|:$|script needed", text)
+    """Has a letter and is no markup, bare code (a colon with nothing close behind it) or request for a script."""
+    if text.startswith(MARKUP) or WANTED in text:
+        return False
+    behind = [rest[:1] for rest in text.split(":")[1:]]
+    return all(c and not c.isspace() for c in behind) and any(c.isalpha() for c in text)
 
 
 def connection(prose: str) -> str:

@@ -17,9 +17,9 @@ CONSONANTS = {
 }
 #: Vowels without stress that have a sign of their own.
 WEAK = {"AH": "ə", "ER": "ɚ"}
-#: Clusters that can begin a syllable.
+#: Clusters that can begin a syllable. THR isn't one of them: it is cut before the R, as in bath-room.
 ONSETS = frozenset(
-    "PR PL BR BL TR DR KR KL GR GL FR FL TH R SHR SP ST SK SL SM SN SW SF TW KW DW GW HW PY BY KY FY GY MY VY HY STR SPR SKR SPL SKW SKL".split()
+    "PR PL BR BL TR DR KR KL GR GL FR FL SHR SP ST SK SL SM SN SW SF TW KW DW GW HW PY BY KY FY GY MY VY HY STR SPR SKR SPL SKW SKL".split()
 )
 #: IPA signs and their respelling, longer signs before shorter.
 SIGNS = (

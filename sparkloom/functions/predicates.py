@@ -115,10 +115,19 @@ def best_example(examples: Column) -> Column:
     return F.coalesce(F.get(own, F.lit(0))["text"], F.get(usable, F.lit(0))["text"])
 
 
+#: Words of which one of each list in a row says that a gloss refers to another sense.
+BACK_TO = ("in of with like on for to", "this|that|the same|the aforementioned|the above", "style kind sense manner fashion way sort type form context regard")
+
+
+def refers_back(gloss: Column) -> Column:
+    """The gloss is to be understood only beside another sense."""
+    before, which, what = (x.split("|") if "|" in x else x.split() for x in BACK_TO)
+    return F.lower(gloss).rlike(r"\b" + " ".join(f"({'|'.join(x)})" for x in (before, which, what)) + r"\b")
+
+
 def quizzable(word: Column, gloss: Column) -> Column:
     """8 to 140 characters, no pointer, no reference back, and the word isn't in it."""
-    back = gloss.rlike(r"(?i)\b(in|of|with|like|on|for|to) (this|that|the same) (style|kind|sense|manner|way|sort|type|form|context)\b")
-    return F.length(gloss).between(8, 140) & pointer(gloss).isNull() & ~back & ~F.contains(F.lower(gloss), F.lower(word))
+    return F.length(gloss).between(8, 140) & pointer(gloss).isNull() & ~refers_back(gloss) & ~F.contains(F.lower(gloss), F.lower(word))
 
 
 def chosen(tags: Column, groups: Sequence[str], topics: Column, wanted: Sequence[str]) -> Column:

@@ -2,8 +2,10 @@
 
 from math import hypot
 
+from pyspark.sql import functions as F
+
 from sparkloom.functions import etymology as ety
-from sparkloom.functions import phonetic
+from sparkloom.functions import language, phonetic, predicates
 from sparkloom.operators.layout import radial
 
 
@@ -48,3 +50,12 @@ def test_layout(spark):
     got = {r.node: (r.x, r.y) for r in radial(spark.createDataFrame(rows, "tree long, node long, parent long, year int")).collect()}
     assert got[1] == (0, 0) and got[9] == (0, 0)
     assert 0 < hypot(*got[2]) < hypot(*got[3])
+
+
+def test_spellings_and_references(spark):
+    words = {"color": 1, "colour": -1, "organize": 1, "organise": -1, "dialog": 1, "dialogue": -1, "defense": 1, "offence": -1, "fence": 0, "traveled": 1, "travelled": -1, "or": 0, "colors or colours": -1, "analyze the dialogue": 0, "doors": 1}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", language.american(F.col("w")).alias("n"))
+    assert {r.w: r.n for r in rows.collect()} == words
+    glosses = {"a piece in this style": True, "of the same kind": True, "With The Above regard": True, "in that room": False, "kind of this": False}
+    rows = spark.createDataFrame([(g,) for g in glosses], "g string").select("g", predicates.refers_back(F.col("g")).alias("b"))
+    assert {r.g: r.b for r in rows.collect()} == glosses
