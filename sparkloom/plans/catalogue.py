@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import columns, curation, etymology, graphs, morphemes, reading, relational, repairs, reports, search, series, states, texts
+from . import columns, curation, etymology, graphs, morphemes, reading, relational, repairs, reports, search, series, states, stores, texts
 
-_MODULES = (relational, series, graphs, texts, search, morphemes, etymology, reading, states, curation, repairs, reports, columns)
+_MODULES = (relational, series, graphs, texts, search, morphemes, etymology, reading, states, curation, repairs, stores, reports, columns)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,20 @@ def write_shards(entries: DataFrame, path: str) -> None:
     entries.withColumn("shard", shard_key(F.col("word"))).repartition("shard").sortWithinPartitions("shard", "word").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def write_json_shards(entries: DataFrame, path: str) -> None:
+    """Rows (word, entry fields) as JSON files of {word: entry}, which read_shards() reads: a folder for each two letters, a word a line, in order of the
+    words. A shard is one file of bounded size, as its readers expect; a file that doesn't read back as it was written is a ValueError."""
+    fields = [c for c in entries.columns if c != "word"]
+    line = F.concat(F.to_json(F.array("word")).substr(F.lit(2), F.length(F.to_json(F.array("word"))) - 2), F.lit(": "), F.to_json(F.struct(*fields)))
+    lines = entries.select(shard_key(F.col("word")).alias("shard"), F.struct("word", line.alias("line")).alias("l"))
+    files = lines.groupBy("shard").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), ",\n").alias("body"), F.count("*").alias("n"))
+    files.select("shard", F.concat(F.lit("{\n"), "body", F.lit("\n}")).alias("value")).repartition("shard").write.mode("overwrite").partitionBy("shard").text(path)
+    spark = entries.sparkSession
+    back = spark.read.text(f"{path}/*", wholetext=True).select(F.size(F.from_json("value", "map<string,string>")).alias("n")).agg(F.sum("n")).first()[0]
+    if (back or 0) != entries.select("word").distinct().count():
+        raise ValueError(f"{path} doesn't hold what was written")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, holds: str | None = None) -> DataFrame:
     """JSON lines, bad ones left out; with `holds`, only lines with that string are parsed."""
     if holds is None:
@@ -62,9 +76,9 @@ def write_chunks(df: DataFrame, path: str, key: str = "id", size: int = 1024) ->
     df.withColumn("chunk", F.floor(F.col(key) / size)).repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(path)
 
 
-def write_hashed(df: DataFrame, path: str, key: Column, n: int = 256) -> None:
+def write_hashed(df: DataFrame, path: str, key: Column, n: int = 256, hashed: Callable[[Column], Column] = F.xxhash64) -> None:
     """n folders by a hash of the key."""
-    df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+    df.withColumn("part", F.pmod(hashed(key), F.lit(n))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_bands(df: DataFrame, path: str, order: Sequence[Column], size: int = 400) -> None:
