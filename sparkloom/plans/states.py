@@ -83,7 +83,11 @@ def level_fold(spark, sf_dir):
     return out.select("user_id", "level", F.when(F.col("scores") == "", 0).otherwise(F.size(F.split("scores", ","))).cast("long").alias("n_scores"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '\p{L}+(?:[''’\-]\p{L}+)*|[^\p{L}]+') AS l FROM conversations),
+r AS (SELECT *, row_number() OVER () AS row FROM p),
+u AS (SELECT conv_id, turn, row, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS token, unnest(list_transform(l, lambda x: length(x))) AS length FROM r),
+c AS (SELECT *, sum(length) OVER (PARTITION BY row ORDER BY k ROWS UNBOUNDED PRECEDING) - length AS start FROM u)
+SELECT conv_id, turn, start::BIGINT AS start, length, token FROM c WHERE regexp_matches(token, '^\p{L}')""")
 def tokenize_offsets(spark, sf_dir):
     """Tokens of all turns with their places."""
 
@@ -167,7 +171,10 @@ def stream_lww(spark, sf_dir):
     return streams.run(streams.latest(streams.source(spark, sf_dir)), spark, "latest", "complete")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER w >= INTERVAL 6 HOUR AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(coalesce(gap, false)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+w AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, strftime(first, '%Y-%m-%d %H:%M:%S') AS start, n FROM w WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_session(spark, sf_dir):
     """Sessions of users, closed ones only."""
     return streams.run(streams.sessions(streams.source(spark, sf_dir)), spark, "sessions", "append")
