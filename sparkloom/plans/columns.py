@@ -114,7 +114,8 @@ _column("variant_guard", "words", "word", lambda: lang.variants(c("word"), F.con
 _column("citation_rule", "words", "word", lambda: lang.nominative(F.concat(c("word"), F.when(F.length(c("word")) % 2 == 0, "tatem").otherwise("tionem"))), "word || CASE WHEN length(word) % 2 = 0 THEN 'tas' ELSE 'tio' END")
 _column("string_hash", "words", "word", lambda: scalar.djb2(c("word")), "list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(word, ''), lambda x: unicode(x)::BIGINT)), lambda h, x: (h * 33 + x) % 4294967296)")
 _column("context_snippets", "documents", "doc_id", lambda: lang.snippet(c("text"), F.lit(200)), "CASE WHEN length(text) <= 160 THEN text ELSE '…' || trim(substring(text, 130, 140), ' ') || CASE WHEN 270 <= length(text) THEN '…' ELSE '' END END")
-_column("canonical_hash", "orders", "o_orderkey", lambda: lang.canonical(F.struct("o_custkey", "o_orderstatus")), "sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}')")
+_column("canonical_hash", "orders", "o_orderkey", lambda: lang.canonical(F.struct(c("o_orderstatus").alias("z"), F.when(c("o_orderkey") % 2 == 0, F.create_map(F.lit("b"), c("o_orderpriority"), F.lit("a"), c("o_orderstatus"))).otherwise(F.create_map(F.lit("a"), c("o_orderstatus"), F.lit("b"), c("o_orderpriority"))).alias("tags"), c("o_custkey"))),
+        "sha256('{\"o_custkey\":' || o_custkey || ',\"tags\":{\"a\":\"' || o_orderstatus || '\",\"b\":\"' || o_orderpriority || '\"},\"z\":\"' || o_orderstatus || '\"}')")
 _column("edge_sentences", "orders", "o_orderkey", lambda: lang.edge_sentence(F.element_at(F.array(*map(F.lit, ("inh", "bor", "cmp", "zzz"))), (c("o_orderkey") % 4 + 1).cast("int")), c("o_orderpriority"), c("o_orderstatus")),
         "['inherited from', 'borrowed from', 'made with', 'from'][(o_orderkey % 4 + 1)::INT] || ' ' || o_orderstatus || ' ' || o_orderpriority")
 _column("shown_forms", "words", "word", lambda: lang.shown_form(F.length(c("word")), c("word")), "length(word) * 10 + length(regexp_replace(word, '[\\x00-\\x7F]', '', 'g'))")

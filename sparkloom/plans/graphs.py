@@ -263,3 +263,34 @@ def donors(spark, sf_dir):
     t = Tables(spark, sf_dir)
     languages = t.part.select(F.col("p_partkey").alias("node"), F.expr(_STAGE.replace("'Proto-' || p_type", "concat('Proto-', p_type)")).alias("language"))
     return graph.donor(graph.closure(_binary(t)), languages, ["SMALL", "LARGE", "MEDIUM"])
+
+
+_KIND = "CASE left(child, 1) WHEN 'o' THEN 'of' WHEN 'c' THEN 'from' ELSE 'in' END"
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, line AS (SELECT ancestor AS child, depth FROM reach WHERE node = 'o7' UNION ALL SELECT 'o7', 0)
+SELECT line.child, depth::BIGINT AS depth, parent || ' ' || {_KIND.replace("child", "line.child")} AS parents FROM line LEFT JOIN edges USING (child)""")
+def lineage_rows(spark, sf_dir):
+    """The ancestry of one order with its parents: the order is the query's parameter."""
+    edges = tree(Tables(spark, sf_dir)).withColumn("kind", F.expr(_KIND))
+    rows = graph.lineage_rows(graph.closure(edges), edges, "o7")
+    return rows.select("child", "depth", F.array_join(F.transform("parents", lambda p: F.concat_ws(" ", p["parent"], p["kind"])), ", ").alias("parents"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, k AS (SELECT child FROM edges WHERE parent = 'n3' ORDER BY child LIMIT 60)
+SELECT ancestor AS node, 'ancestor' AS role, depth::BIGINT AS depth FROM reach WHERE node = 'n3' UNION ALL SELECT child, 'child', -1 FROM k
+UNION ALL SELECT child, 'grandchild', -2 FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS n FROM edges WHERE parent IN (SELECT child FROM k)) WHERE n <= 20""")
+def focus(spark, sf_dir):
+    """What is shown around one nation: the numbers shown are the feature."""
+    return graph.focus(tree(Tables(spark, sf_dir)), "n3")
+
+
+@query("""WITH RECURSIVE a AS (SELECT p_partkey AS child, (p_partkey - 1) // 2 AS parent FROM part WHERE p_partkey > 0 AND p_size > 2), b AS (SELECT p_partkey AS child, (p_partkey - 1) // 2 AS parent FROM part WHERE p_partkey > 0 AND p_size > 3),
+ua AS (SELECT child AS node, parent AS up, 1 AS depth FROM a UNION ALL SELECT node, parent, depth + 1 FROM ua JOIN a ON child = up WHERE depth < 12), ub AS (SELECT child AS node, parent AS up, 1 AS depth FROM b UNION ALL SELECT node, parent, depth + 1 FROM ub JOIN b ON child = up WHERE depth < 12),
+o AS (SELECT node, max(depth) AS o FROM ua GROUP BY 1), n AS (SELECT node, max(depth) AS n FROM ub GROUP BY 1)
+SELECT count(*) AS nodes, count(*) FILTER (WHERE coalesce(n, 0) >= o) AS kept, count(*) FILTER (WHERE coalesce(n, 0) >= o) / count(*) AS share, count(*) FILTER (WHERE coalesce(n, 0) >= o) / count(*) >= 0.97 AS enough FROM o LEFT JOIN n USING (node)""")
+def depth_report(spark, sf_dir):
+    """Whether a forest cut at one more size is still as deep."""
+    t = Tables(spark, sf_dir)
+    fewer = t.part.where("p_partkey > 0 AND p_size > 3").selectExpr("p_partkey AS child", "(p_partkey - 1) DIV 2 AS parent")
+    return graph.depth_report(graph.closure(_binary(t)), graph.closure(fewer))

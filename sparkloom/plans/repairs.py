@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curation
+from ..operators import curation, relational, sampling
 from .registry import Registry, Tables
 
 query = Registry()
@@ -98,3 +98,37 @@ def glosses_to_embed(spark, sf_dir):
     words = o.select(F.col("o_orderkey").alias("word"), gloss.alias("gloss"))
     cached = o.select(F.sha1(F.concat_ws(" ", "o_orderpriority", F.lit("P"), F.col("o_custkey").cast("string")).cast("binary")).alias("hash")).distinct()
     return curation.to_embed(words, o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("word")), cached)
+
+
+_CHANGED = "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders"
+
+
+@query(f"{_CHANGED} UNION ALL SELECT o_orderkey + 100000000, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice < 2000")
+def applied_upsert(spark, sf_dir):
+    """A plan of changes and new rows, made and applied."""
+    base = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = base.where("o_totalprice < 2000").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000)
+    patch = base.withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 300_000, "X")).unionByName(new)
+    plan = curation.upsert(base, patch, ["o_orderkey"])
+    return relational.apply_diff(base, plan.drop("change"), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, 'lost' AS side FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_totalprice < 2000")
+def changed_keys(spark, sf_dir):
+    """Keys that an edit lost or invented."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice")
+    after = o.where("o_totalprice <= 400000").unionByName(o.where("o_totalprice < 2000").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000))
+    return relational.same_keys(o, after, ["o_orderkey"])
+
+
+@query("""WITH RECURSIVE v AS (SELECT lower(w) AS w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) WHERE length(w) >= 4 GROUP BY 1),
+r AS (SELECT w[:2] AS key, w, row_number() OVER (PARTITION BY w[:2] ORDER BY n DESC, w) AS rank FROM v QUALIFY rank <= 30),
+f AS (SELECT DISTINCT key, 0::BIGINT AS k, []::VARCHAR[] AS taken FROM r
+  UNION ALL SELECT f.key, r.rank, CASE WHEN len(taken) < 6 AND len(list_filter(taken, lambda t: t[:5] = r.w[:5] AND (contains(t, r.w) OR contains(r.w, t)))) = 0 THEN list_append(taken, r.w) ELSE taken END FROM f JOIN r ON r.key = f.key AND r.rank = f.k + 1)
+SELECT key, unnest(range(len(taken))) AS place, unnest(taken) AS word FROM (SELECT key, arg_max(taken, k) AS taken FROM f GROUP BY key)""")
+def distinct_enough(spark, sf_dir):
+    """The six commonest words of each two letters that aren't forms of one another: the lists are the feature."""
+    v = Tables(spark, sf_dir).documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).where(F.length("w") >= 4)
+    v = v.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).withColumn("key", F.substring("word", 1, 2))
+    ranked = relational.top_by(v, ["key"], [F.desc("n"), F.col("word")], 30)
+    return sampling.distinct_enough(ranked, ["key"], "word").select("key", F.col("place").cast("long").alias("place"), "word")

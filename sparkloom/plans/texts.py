@@ -121,6 +121,7 @@ def contained_dup(spark, sf_dir):
     items = b.select("item_id", F.size("s").alias("size"), F.explode("s").alias("w"))
     # a document counts for an item only if it has the item's rarest word
     words = t.documents.select("doc_id", F.explode(scalar.content_words(F.col("text"))).alias("w")).join(items.select("w").distinct(), "w")
+    words = stash(words, "words")  # texts are cut once; only items' words are kept
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
     rare = items.join(counts, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("r")).where("r.n > 0")
     first = words.join(rare.select("item_id", F.col("r.w").alias("w")), "w").select("item_id", "doc_id")
