@@ -1,60 +1,66 @@
-"""Radial time layout of trees, a tree at a time."""
+"""Radial time layout of trees, level by level, and packing of circles, a region at a time."""
 
 from __future__ import annotations
 
-from math import cos, log, pi, sin, sqrt
+from functools import reduce
+from math import cos, pi, sin, sqrt
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
+
 MIN_GAP = 0.02
 
 
-def _placed(tree: pd.DataFrame, spacing: float) -> pd.DataFrame:
-    """x and y for (node, parent, year): radius by elapsed time, growing outwards; angle by leaves."""
-    kids: dict = {}
-    root = None
-    year = dict(zip(tree["node"], tree["year"], strict=True))
-    for n, p in zip(tree["node"], tree["parent"], strict=True):
-        if pd.isna(p):
-            root = n
-        else:
-            kids.setdefault(p, []).append(n)
-    time = {n: -log(2400 - min(float(y), 2000.0)) for n, y in year.items()}
-    order, stack = [], [root]
-    while stack:
-        n = stack.pop()
-        order.append(n)
-        stack += kids.get(n, [])
-    leaves = {n: 1 for n in order}
-    for n in reversed(order):
-        if n in kids:
-            leaves[n] = sum(leaves[k] for k in kids[n])
-    radius, wedge = {root: 0.0}, {root: (0.0, 2 * pi)}
-    for n in order:
-        start, width = wedge[n]
-        for k in sorted(kids.get(n, []), key=lambda k: (-leaves[k], k)):
-            radius[k] = max(radius[n] + MIN_GAP, time[k] - time[root])
-            part = width * leaves[k] / leaves[n]
-            wedge[k] = (start, part)
-            start += part
-    rim = max(max(radius.values()), 1e-6)
-    scale = max(leaves[root] * spacing / (2 * pi) / rim, 3.5, 0.8 * sqrt(len(order)) / rim)
-    rows = [(n, radius[n] * scale * cos(wedge[n][0] + wedge[n][1] / 2), radius[n] * scale * sin(wedge[n][0] + wedge[n][1] / 2)) for n in order]
-    return pd.DataFrame(rows, columns=["node", "x", "y"])
+def _levels(nodes: DataFrame) -> list[DataFrame]:
+    """The nodes by their distance from the root, each level written once."""
+    level = stash(nodes.where("parent IS NULL"), "level")
+    out = []
+    while not level.isEmpty():
+        out.append(level)
+        above = level.select("tree", F.col("node").alias("parent"))
+        level = stash(nodes.join(above, ["tree", "parent"], "left_semi").select(*nodes.columns), "level")
+    return out
 
 
 def radial(nodes: DataFrame, spacing: float = 1.0) -> DataFrame:
-    """(tree, node, parent, year) to (tree, node, x, y).  Trees are of bounded size; each is one group."""
-    kinds = {c: nodes.schema[c].dataType.simpleString() for c in ("tree", "node")}
-
-    def run(key, tree):
-        out = _placed(tree, spacing)
-        out.insert(0, "tree", key[0])
-        return out
+    """(tree, node, parent, year) to (tree, node, x, y): radius by elapsed time from the tree's root, growing outwards by a least gap; a node's wedge is
+    its share of its parent's by leaves, the largest first, then by node.
 
-    return nodes.select("tree", "node", "parent", "year").groupBy("tree").applyInPandas(run, f"tree {kinds['tree']}, node {kinds['node']}, x double, y double")
+    Level by level, from the root down and with the leaves counted back up, so that a tree isn't in one task; in as many rounds as there are levels.
+    Nodes that no root reaches, as on a cycle, have no row.
+    """
+    timed = nodes.select("tree", "node", "parent", (-F.log(2400 - F.least(F.col("year").cast("double"), F.lit(2000.0)))).alias("time"))
+    levels = _levels(timed)
+    if not levels:
+        return nodes.select("tree", "node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+    counted: list[DataFrame] = []
+    below: DataFrame | None = None
+    for level in reversed(levels):
+        one = F.lit(1).cast("long")
+        if below is None:
+            own = level.withColumn("leaves", one)
+        else:
+            sums = below.groupBy("tree", F.col("parent").alias("node")).agg(F.sum("leaves").alias("leaves"))
+            own = level.join(sums, ["tree", "node"], "left").withColumn("leaves", F.coalesce("leaves", one))
+        below = stash(own.select("tree", "node", "parent", "time", "leaves"), "leaves")
+        counted.insert(0, below)
+    top = counted[0].select("tree", "node", "leaves", F.lit(0.0).alias("start"), F.lit(2 * pi).alias("width"), F.lit(0.0).alias("radius"), F.col("time").alias("begun"))
+    placed = [top]
+    for level in counted[1:]:
+        p = placed[-1].select("tree", F.col("node").alias("parent"), F.col("leaves").alias("_all"), F.col("start").alias("_start"), F.col("width").alias("_width"), F.col("radius").alias("_radius"), "begun")
+        j = level.join(p, ["tree", "parent"]).withColumn("width", F.col("_width") * F.col("leaves") / F.col("_all"))
+        before = F.sum("width").over(Window.partitionBy("tree", "parent").orderBy(F.desc("leaves"), "node")) - F.col("width")
+        j = j.withColumn("start", F.col("_start") + before).withColumn("radius", F.greatest(F.col("_radius") + MIN_GAP, F.col("time") - F.col("begun")))
+        placed.append(stash(j.select("tree", "node", "leaves", "start", "width", "radius", "begun"), "placed"))
+    all_ = reduce(DataFrame.unionByName, placed)
+    rim = F.greatest(F.max("radius"), F.lit(1e-6))
+    scale = F.greatest(F.max("leaves") * spacing / (2 * pi) / rim, F.lit(3.5), 0.8 * F.sqrt(F.count("*")) / rim)
+    sized = all_.join(all_.groupBy("tree").agg(scale.alias("scale")), "tree")
+    angle = F.col("start") + F.col("width") / 2
+    return sized.select("tree", "node", (F.col("radius") * F.col("scale") * F.cos(angle)).alias("x"), (F.col("radius") * F.col("scale") * F.sin(angle)).alias("y"))
 
 
 def _packed(region: pd.DataFrame, step: float) -> pd.DataFrame:

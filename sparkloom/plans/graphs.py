@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, layout
 from ..operators.components import connected_components
 from .registry import Registry, Tables
 
@@ -294,3 +294,22 @@ def depth_report(spark, sf_dir):
     t = Tables(spark, sf_dir)
     fewer = t.part.where("p_partkey > 0 AND p_size > 3").selectExpr("p_partkey AS child", "(p_partkey - 1) DIV 2 AS parent")
     return graph.depth_report(graph.closure(_binary(t)), graph.closure(fewer))
+
+
+@query("""WITH RECURSIVE b AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 0 AND p_size > 2 THEN (p_partkey - 1) // 2 END AS parent, -ln(2400 - least((800 + (p_partkey * 37) % 1300)::DOUBLE, 2000.0::DOUBLE)) AS t FROM part),
+up AS (SELECT node, node AS at_ FROM b WHERE node NOT IN (SELECT parent FROM b WHERE parent IS NOT NULL) UNION ALL SELECT up.node, parent FROM up JOIN b ON b.node = at_ WHERE parent IS NOT NULL),
+l AS (SELECT at_ AS node, count(*) AS leaves FROM up GROUP BY 1),
+s AS (SELECT b.*, leaves, coalesce(sum(leaves) OVER (PARTITION BY parent ORDER BY leaves DESC, b.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b JOIN l USING (node)),
+p AS (
+  SELECT node AS tree, node, leaves, t AS begun, 0.0::DOUBLE AS start, 2 * pi() AS width, 0.0::DOUBLE AS radius FROM s WHERE parent IS NULL
+  UNION ALL SELECT p.tree, s.node, s.leaves, begun, start + width * before::DOUBLE / p.leaves, width * s.leaves / p.leaves, greatest(radius + 0.02::DOUBLE, s.t - begun) FROM p JOIN s ON s.parent = p.node),
+r AS (SELECT tree, greatest(max(radius), 1e-6) AS rim, max(leaves) AS leaves, count(*) AS n FROM p GROUP BY tree),
+z AS (SELECT tree, greatest(leaves / (2 * pi()) / rim, 3.5, 0.8 * sqrt(n) / rim) AS scale FROM r)
+SELECT tree, node, round(radius * scale * cos(start + width / 2), 6) + 0.0 AS x, round(radius * scale * sin(start + width / 2), 6) + 0.0 AS y FROM p JOIN z USING (tree)""")
+def radial_layout(spark, sf_dir):
+    """The forest of parts laid out by years, a tree around each root."""
+    t = Tables(spark, sf_dir)
+    roots = graph.tree_roots(_binary(t))
+    p = t.part.select(F.col("p_partkey").alias("node"), F.when((F.col("p_partkey") > 0) & (F.col("p_size") > 2), F.expr("(p_partkey - 1) DIV 2")).alias("parent"), (800 + F.col("p_partkey") * 37 % 1300).alias("year"))
+    nodes = p.join(roots, "node", "left").select(F.coalesce("root", "node").alias("tree"), "node", "parent", "year")
+    return layout.radial(nodes).select("tree", "node", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
