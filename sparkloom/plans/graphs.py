@@ -313,3 +313,15 @@ def radial_layout(spark, sf_dir):
     p = t.part.select(F.col("p_partkey").alias("node"), F.when((F.col("p_partkey") > 0) & (F.col("p_size") > 2), F.expr("(p_partkey - 1) DIV 2")).alias("parent"), (800 + F.col("p_partkey") * 37 % 1300).alias("year"))
     nodes = p.join(roots, "node", "left").select(F.coalesce("root", "node").alias("tree"), "node", "parent", "year")
     return layout.radial(nodes).select("tree", "node", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT 'c' || c_custkey AS node, {_BIT} AS mask FROM customer),
+u AS (SELECT ancestor AS node, mask FROM reach JOIN b USING (node) UNION ALL SELECT node, mask FROM b UNION ALL SELECT 'o' || o_orderkey, 0 FROM orders), m AS (SELECT node, bit_or(mask) AS mask FROM u GROUP BY node)
+SELECT node FROM m WHERE mask = 0 OR (mask & 20) <> 0""")
+def shown_nodes(spark, sf_dir):
+    """Nodes that show while the segments 1, 2 and 8 are hidden; orders have none."""
+    t = Tables(spark, sf_dir)
+    bits = t.customer.select(_NODE("c", "c_custkey").alias("node"), F.expr(_BIT).cast("long").alias("mask"))
+    none = t.orders.select(_NODE("o", "o_orderkey").alias("node"), F.lit(0).cast("long").alias("mask"))
+    masks = graph.upward_mask(graph.closure(tree(t)), bits).unionByName(none)
+    return masks.where(graph.shown(F.col("mask"), F.lit(11).cast("long"))).select("node")

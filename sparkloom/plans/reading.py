@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reader
 from ..sources.shared import stash
+from .curation import _chance as chance_sql
 from .registry import Registry, Tables
 
 query = Registry()
@@ -176,3 +177,55 @@ def sense_links(spark, sf_dir):
     other = F.when(F.col("l_linenumber") % 2 == 0, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.lower("p_type"))
     links = lines.select(F.col("p_brand").alias("word"), other.alias("other"), F.when(F.col("l_quantity") > 25, gloss).otherwise("gone").alias("gloss")).distinct()
     return reader.sense_link(senses, links)
+
+
+@query(f"""WITH {_WORDS}, t AS (SELECT doc_id AS quote, unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents),
+j AS (SELECT quote, v.w AS entry, log10(n::DOUBLE) + 3 AS zipf, n % 5 = 0 AS transparent, n % 7 = 0 AS name FROM t LEFT JOIN (SELECT * FROM v WHERE n >= 3) v USING (w))
+SELECT quote, count(*) AS counted, count(*) FILTER (WHERE entry IS NULL OR NOT (coalesce(zipf, 0) >= 5 OR coalesce(transparent, false))) AS hard, count(*) FILTER (WHERE entry IS NULL) AS unknown FROM j WHERE NOT coalesce(name, false) GROUP BY quote""")
+def quote_difficulty(spark, sf_dir):
+    """Documents as quotations: words seen thrice have an entry, frequent or transparent ones aren't hard."""
+    v = _vocabulary(spark, sf_dir).where("n >= 3")
+    tokens = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("quote"), F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    n = F.col("n")
+    j = tokens.join(v.withColumn("entry", F.col("w")), "w", "left").select("quote", "entry", (F.log10(n.cast("double")) + 3).alias("zipf"), (n % 5 == 0).alias("transparent"), (n % 7 == 0).alias("name"))
+    return reader.difficulty(j).select("quote", "counted", "hard", "unknown")
+
+
+_PICK = chance_sql(11, "user", "quote")
+
+
+@query(f"""WITH c AS (SELECT user_id % 50 AS user, event_id AS quote, (event_id % 9) AS unknown, 8 + event_id % 23 AS n FROM events),
+d AS (SELECT DISTINCT user_id % 50 AS user, event_id AS quote FROM events WHERE event_type = 'error'),
+t AS (SELECT c.*, CASE WHEN unknown BETWEEN 1 AND 3 AND 1 - unknown / n >= 0.85 THEN 0 WHEN unknown <= 6 AND 1 - unknown / n >= 0.7 THEN 1 ELSE 2 END AS tier, d.quote IS NULL AS other FROM c LEFT JOIN d ON d.user = c.user AND d.quote = c.quote)
+SELECT user, quote, tier, row_number() OVER (PARTITION BY user ORDER BY tier, other, {_PICK}, quote) AS rank FROM t QUALIFY rank <= 12""")
+def next_excerpts(spark, sf_dir):
+    """Twelve events a group of users to read next: the number is the feature."""
+    e = Tables(spark, sf_dir).events.select((F.col("user_id") % 50).alias("user"), F.col("event_id").alias("quote"), "event_type")
+    coverage = e.select("user", "quote", (F.col("quote") % 9).alias("unknown"), (8 + F.col("quote") % 23).alias("n"))
+    out = reader.excerpts(coverage, e.where("event_type = 'error'"), 12, 11)
+    return out.select("user", "quote", "tier", F.col("rank").cast("long").alias("rank"))
+
+
+_GLOSS = "p_name || ' ' || lower(p_type)"
+_CONTENT = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g')), ' ')), lambda x: length(x) >= 3)"
+_OTHER = chance_sql(5, "word", "other")
+
+
+@query(f"""WITH w AS (SELECT p_partkey::VARCHAR AS word, {_GLOSS} AS gloss, p_brand || p_size AS band FROM part),
+rel AS (SELECT DISTINCT x.l_partkey::VARCHAR AS word, y.l_partkey::VARCHAR AS other FROM lineitem x JOIN lineitem y USING (l_orderkey) WHERE x.l_quantity >= 45 AND y.l_quantity >= 45),
+alike AS (SELECT p_partkey::VARCHAR AS word, (p_partkey + 1)::VARCHAR AS other FROM part), syn AS (SELECT word, other FROM rel WHERE length(word) = length(other) AND right(word, 1) = right(other, 1)),
+c AS (SELECT word, other, 0 AS tier FROM rel UNION ALL SELECT word, other, 1 FROM alike UNION ALL SELECT x.word, y.word, 2 FROM w x JOIN w y USING (band)),
+g AS (SELECT word, other, min(tier) AS tier FROM c WHERE word <> other AND (word, other) NOT IN (SELECT word, other FROM syn) GROUP BY 1, 2),
+ok AS (SELECT g.word, g.other, tier FROM g JOIN w a ON a.word = g.word JOIN w b ON b.word = g.other WHERE NOT list_has_any({_CONTENT.format("a.gloss")}, {_CONTENT.format("b.gloss")}))
+SELECT word, other, row_number() OVER (PARTITION BY word ORDER BY tier, {_OTHER}, other) AS rank FROM ok QUALIFY rank <= 3""")
+def quiz_distractors(spark, sf_dir):
+    """Three wrong answers a part: parts of one order, its neighbour, others of its brand and size; none that is said alike."""
+    t = Tables(spark, sf_dir)
+    key = F.col("p_partkey")
+    words = t.part.select(key.cast("string").alias("word"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("gloss"), F.concat("p_brand", "p_size").alias("band"))
+    l = t.lineitem.where("l_quantity >= 45").select("l_orderkey", F.col("l_partkey").cast("string").alias("k")).distinct()  # noqa: E741
+    related = l.withColumnRenamed("k", "word").join(l.withColumnRenamed("k", "other"), "l_orderkey").select("word", "other").distinct()
+    alike = t.part.select(key.cast("string").alias("word"), (key + 1).cast("string").alias("other"))
+    synonyms = related.where((F.length("word") == F.length("other")) & (F.expr("right(word, 1)") == F.expr("right(other, 1)")))
+    pool = words.select(F.col("word").alias("other"), "gloss", "band")
+    return reader.distractors(words, related, alike, pool, synonyms, 3, 5).withColumn("rank", F.col("rank").cast("long"))

@@ -132,3 +132,17 @@ def distinct_enough(spark, sf_dir):
     v = v.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).withColumn("key", F.substring("word", 1, 2))
     ranked = relational.top_by(v, ["key"], [F.desc("n"), F.col("word")], 30)
     return sampling.distinct_enough(ranked, ["key"], "word").select("key", F.col("place").cast("long").alias("place"), "word")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_brand AS word, p_partkey AS ord, p_name, p_type, p_size FROM part),
+e AS (SELECT x.word, x.ord AS a, y.ord AS b FROM s x JOIN s y ON x.word = y.word AND x.ord < y.ord AND (x.p_name = y.p_name OR x.p_type = y.p_type AND x.p_size = y.p_size)),
+pair AS (SELECT word, a, b FROM e UNION SELECT word, b, a FROM e), reach AS (SELECT word, a, a AS other FROM pair UNION SELECT reach.word, reach.a, pair.b FROM reach JOIN pair ON pair.word = reach.word AND pair.a = other)
+SELECT word, a AS ord, min(other) AS cluster FROM reach GROUP BY word, a""")
+def clustered_senses(spark, sf_dir):
+    """Parts of a brand as senses, alike by name or by type and size."""
+    s = Tables(spark, sf_dir).part.select(F.col("p_brand").alias("word"), F.col("p_partkey").alias("ord"), "p_name", "p_type", "p_size")
+    pairs = []
+    for keys in (["word", "p_name"], ["word", "p_type", "p_size"]):
+        least = s.groupBy(*keys).agg(F.min("ord").alias("a"))  # a star around the least says the same as all pairs
+        pairs.append(s.join(least, keys).where("ord <> a").select("word", "a", F.col("ord").alias("b")))
+    return curation.sense_clusters(pairs[0].unionByName(pairs[1]).distinct(), ["word"])
