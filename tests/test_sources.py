@@ -91,3 +91,17 @@ def test_dump(spark, tmp_path):
     assert t["section"].count() == 1 and shards.best_audio(t["sound"]).first()["audio"] == "b.mp3"
     shards.write_report(t["section"], str(tmp_path / "report"))
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "report")).count() == 1
+
+
+def test_json_shards(spark, tmp_path):
+    """Words of any characters come back as they were written, a word a line in order; a word that is there twice is refused."""
+    words = ['say "x"', "back\\slash", "né", "a b", "ab", "aB", "{", "tab\there", "it's", "zz"]
+    frame = spark.createDataFrame([(w, [(f"gloss of {w}",)], w.upper()) for w in words], "word string, d array<struct<g:string>>, e string")
+    path = str(tmp_path / "json")
+    shards.write_json_shards(frame, path)
+    back = shards.read_shards(spark, f"{path}/*")
+    assert {r.word: (r.d[0].g, r.e) for r in back.collect()} == {w: (f"gloss of {w}", w.upper()) for w in words}
+    of = [r.value for r in spark.read.text(f"{path}/shard=ab").collect()]
+    assert [x.split('"')[1] for x in of[1:-1]] == ["aB", "ab"]
+    with pytest.raises(Exception):  # noqa: B017, PT011  Spark's own error, or ours
+        shards.write_json_shards(frame.union(frame), str(tmp_path / "twice"))
