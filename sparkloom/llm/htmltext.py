@@ -87,7 +87,7 @@ def closes_itself(tag: str, rest: str, foreign: bool) -> bool:
 class Node:
     """An element in its place: `number` counts start tags, `last` is that of its last descendant."""
 
-    __slots__ = ("tag", "label", "parent", "number", "last", "declared", "loose", "held", "headed", "path", "linked", "unseen")
+    __slots__ = ("tag", "label", "parent", "number", "last", "declared", "loose", "held", "headed", "path", "linked", "unseen", "beside")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, number: int):
         named = " ".join(x or y or z for _, x, y, z in _NAMED.findall(attributes)).lower() if "=" in attributes else ""
@@ -98,6 +98,8 @@ class Node:
         self.held, self.headed, self.path = 0, False, -1
         self.linked = tag == "a" or parent is not None and parent.linked
         self.unseen = tag in UNSEEN or parent is not None and parent.unseen
+        #: Inside a declared element that is no block and within the block that is open: an advert in a span, say.
+        self.beside = tag not in BLOCK and (self.declared or parent is not None and parent.beside)
 
 
 class Block:
@@ -173,21 +175,12 @@ def blocks_of(html: str) -> list[Block]:
             opened[x.tag] -= 1
         del stack[k:]
 
-    def inline_other() -> Node | None:
-        """The declared element inside the block that is open, if there is one."""
-        for x in reversed(stack):
-            if x.tag in BLOCK:
-                return None
-            if x.declared:
-                return x
-        return None
-
     for kind, tag, rest in pieces(html):
         if kind == "text":
             top = stack[-1]
             if not rest or top.unseen:
                 continue
-            if inline_other():  # an advert in a span, say: a block of its own
+            if top.beside:  # a block of its own
                 text = " ".join(unescape(rest).split())
                 if text:
                     out.append(Block(text, top, len(text) if top.linked else 0))
