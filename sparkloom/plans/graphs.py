@@ -80,9 +80,8 @@ def cycle_break(spark, sf_dir):
 @query("""SELECT p_partkey, (SELECT count(*) FROM part q WHERE q.p_partkey <> p.p_partkey AND (p.p_size - q.p_size) ** 2 + (p.p_retailprice - q.p_retailprice) ** 2 <= 2.25) AS n FROM part p""")
 def grid_neighbours(spark, sf_dir):
     p = Tables(spark, sf_dir).part
-    pairs = graph.grid_pairs(p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), 1.5)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("p_partkey")).groupBy("p_partkey").agg(F.count("*").alias("n"))
-    return p.select("p_partkey").join(ends, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    points = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return graph.grid_counts(points, 1.5).select(F.col("id").alias("p_partkey"), "n")
 
 
 @query("""WITH e AS (SELECT l_partkey AS child, l_suppkey AS parent, CASE l_returnflag WHEN 'R' THEN 'inh' WHEN 'A' THEN 'bor' ELSE 'der' END AS kind FROM lineitem),
