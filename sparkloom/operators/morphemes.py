@@ -5,8 +5,8 @@ word is a fold over its places from the end, in three zones: prefixes, then root
 letters may stay unknown. Scores are whole hundredths, so that ties are ties; among equals the longer form stands, then
 the earlier in the table, then going on to the next zone.
 
-Scale: words and table meet by form, so that neither is broadcast unless Spark finds it small; a word's edges are bounded by its
-length and the table's longest form. The index keeps, for each morpheme, words from both ends of an order.
+Scale: words and table meet by form in merged joins: both grow with the vocabulary, and the size of their files says too little of
+their rows for a broadcast through the driver.  A word's edges are bounded by its length and the table's longest form. The index keeps, for each morpheme, words from both ends of an order.
 """
 
 from __future__ import annotations
@@ -46,13 +46,13 @@ def lattice(words: DataFrame, table: DataFrame) -> DataFrame:
     follows = F.expr("substring(word, at + length(form) + 1)")
     ok = (F.col("_ahead").isNull() | F.expr("substring(word, at + length(form) + 1) RLIKE _ahead")) & (F.col("_whole").isNull() | F.expr("word RLIKE _whole")) & (F.col("_unless").isNull() | ~F.expr("word RLIKE _unless"))
     room = (F.col("kind") != "prefix") | (F.length(follows) >= LEFT)
-    edges = cut.join(t, "form").where(ok & room)
+    edges = cut.join(t.hint("merge"), "form").where(ok & room)
     edge = F.struct("at", (-F.length("form")).alias("shorter"), "place", "id", "form")
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, edge)))
     grouped = edges.groupBy("word").agg(of("prefix").alias("pre"), of("root").alias("root"), of("suffix").alias("suf"))
     none = F.array().cast(grouped.schema["pre"].dataType)
     # words without any edge come too: they are unknown as a whole
-    return words.select("word").join(grouped, "word", "left").select("word", *(F.coalesce(c, none).alias(c) for c in ("pre", "root", "suf")))
+    return words.select("word").join(grouped.hint("merge"), "word", "left").select("word", *(F.coalesce(c, none).alias(c) for c in ("pre", "root", "suf")))
 
 
 def _part(kind: str, text: Column, ident: Column | None = None) -> Column:
@@ -137,7 +137,7 @@ def decompose(words: DataFrame, table: DataFrame) -> DataFrame:
     stem = F.expr("substring(_last.text, 1, length(_last.text) - 1)")
     may = (F.col("_last.kind") == "root") & (F.length("_last.text") >= SILENT) & F.col("_last.text").endswith("e")
     ends = parsed.withColumn("_last", last).withColumn("_stem", F.when(may, stem))
-    ends = ends.join(shorter, (F.col("_stem") == F.col("_form")) & (F.col("_last.id") == F.col("_id")), "left")
+    ends = ends.join(shorter.hint("merge"), (F.col("_stem") == F.col("_form")) & (F.col("_last.id") == F.col("_id")), "left")
     peeled = F.concat(F.slice("parts", F.lit(1), F.size("parts") - 1), F.array(_part("root", F.col("_stem"), F.col("_id")), _part("silent", F.lit("e"))))
     ends = ends.select("word", F.when(F.col("_id").isNotNull(), peeled).otherwise(F.col("parts")).alias("parts"), "score")
     whole = one.where(~plain).select("word", F.array(_part("word", F.col("word"))).alias("parts"), F.lit(0).alias("score"))
@@ -158,6 +158,6 @@ def index(parsed: DataFrame, first: int = FIRST, last: int = LAST) -> DataFrame:
     # each end by itself: a task keeps that many words of a morpheme before anything is shuffled
     head = postings.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= first + last)
     tail = postings.withColumn("behind", F.row_number().over(Window.partitionBy("id").orderBy(*back))).where(F.col("behind") <= last)
-    heads = head.join(counts, "id").where((F.col("n") <= first + last) | (F.col("rank") <= first)).select("id", "word", F.col("rank").cast("long").alias("rank"), "n")
-    tails = tail.join(counts, "id").where(F.col("n") > first + last).select("id", "word", (F.col("n") - F.col("behind") + 1).cast("long").alias("rank"), "n")
+    heads = head.join(counts.hint("merge"), "id").where((F.col("n") <= first + last) | (F.col("rank") <= first)).select("id", "word", F.col("rank").cast("long").alias("rank"), "n")
+    tails = tail.join(counts.hint("merge"), "id").where(F.col("n") > first + last).select("id", "word", (F.col("n") - F.col("behind") + 1).cast("long").alias("rank"), "n")
     return heads.unionByName(tails)

@@ -3,7 +3,7 @@
 import math
 import random
 
-from sparkloom.operators import graph
+from sparkloom.operators import graph, morphemes
 
 
 def plan(df) -> str:
@@ -18,3 +18,13 @@ def test_grid_counts(spark):
     out = graph.grid_counts(spark.createDataFrame([*rows, *odd], "id long, x double, y double"), 1.5)
     assert {x.id: x.n for x in out.collect()} == want
     assert "Broadcast" not in plan(out)  # small files may hold many rows
+
+
+def test_morphemes_broadcast_nothing(spark):
+    words = spark.createDataFrame([(w,) for w in ("rebuild", "builder", "rebuilder", "x")], "word string")
+    table = spark.createDataFrame([("prefix", "re", "p:re", 1, None, None, None), ("root", "build", "r:build", 2, None, None, None), ("suffix", "er", "s:er", 3, None, None, None)], morphemes.TABLE)
+    parsed = morphemes.decompose(words, table)
+    assert "Broadcast" not in plan(parsed)  # words and table grow with the vocabulary, the driver doesn't
+    found = morphemes.index(parsed, first=1, last=1)
+    assert {(x.id, x.word, x["rank"], x.n) for x in found.collect()} == {("r:build", "builder", 1, 3), ("r:build", "rebuilder", 3, 3)}
+    assert "Broadcast" not in plan(found)
