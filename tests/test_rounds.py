@@ -3,7 +3,11 @@
 import math
 import random
 
-from sparkloom.operators import graph, morphemes
+from pyspark.sql import functions as F
+
+from sparkloom.functions.scalar import dot, norm
+from sparkloom.operators import graph, morphemes, similarity
+from sparkloom.operators.components import connected_components
 
 
 def plan(df) -> str:
@@ -28,3 +32,20 @@ def test_morphemes_broadcast_nothing(spark):
     found = morphemes.index(parsed, first=1, last=1)
     assert {(x.id, x.word, x["rank"], x.n) for x in found.collect()} == {("r:build", "builder", 1, 3), ("r:build", "rebuilder", 3, 3)}
     assert "Broadcast" not in plan(found)
+
+
+def test_similar_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(k, k % 2, [r.gauss(0, 1) for _ in range(3)]) for k in range(60)] + [(60, 0, [0.0, 0.0, 0.0]), (61, 0, None), (62, 1, [1.0, 2.0]), (63, 1, [2.0, 4.0])]
+    v = spark.createDataFrame(rows, "id long, label int, vector array<float>")
+    one, two = (v.select("label", F.col("id").alias(i), F.col("vector").alias(x), norm(F.col("vector")).alias(n)) for i, x, n in (("a", "x", "n"), ("b", "y", "m")))
+    cosine = F.round(dot(F.col("x"), F.col("y")) / (F.col("n") * F.col("m")), 4)
+    want = {tuple(x) for x in one.join(two, "label").where("a < b AND size(x) = size(y)").select("label", "a", "b", cosine.alias("c")).where("c >= 0.9").collect()}
+    assert len(want) > 20
+    monkeypatch.setattr(similarity, "BLOCK", 7)  # many blocks a group: no group in one task
+    got = similarity.similar_pairs(v, ["label"], 0.9)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and got.columns == ["label", "a", "b", "cosine"]
+    forest = similarity.similar_forest(v, ["label"], 0.9)
+    assert {tuple(x) for x in connected_components(forest).collect()} == {tuple(x) for x in connected_components(got.select("a", "b")).collect()}
+    monkeypatch.setattr(similarity, "BLOCK", 100)
+    assert similarity.similar_forest(v, ["label"], -1.0).count() <= 63  # a forest, not all pairs
