@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
 from .relational import top_by
 
 
@@ -56,13 +57,40 @@ def distinct_enough(ranked: DataFrame, keys: Sequence[str], word: str, most: int
     return lists.select(*keys, F.posexplode(kept).alias("place", word))
 
 
+def digest(seed: int, *cols: Column) -> Column:
+    """The md5 of a seed and values in hexadecimal, in the order of chance() by its first 12 digits."""
+    return F.md5(F.concat(F.lit(str(seed)), *(x for c in cols for x in (F.lit("|"), c.cast("string")))).cast("binary"))
+
+
+def hurdle(candidates: Column, wanted: int) -> Column:
+    """The digest that about `wanted` of so many candidates stay under; null if all do."""
+    return F.when(candidates > wanted, F.lower(F.lpad(F.hex(F.floor(F.lit(float(wanted * 16**12)) / candidates)), 12, "0")))
+
+
 def near_in_band(probes: DataFrame, pool: DataFrame, key: str, value: str, within: float, k: int, seed: int) -> DataFrame:
     """(id, key, value) twice to k others of each probe with the same key and a value no
-    farther than `within`, chosen at random: a band join on (key, floor(value / within))."""
+    farther than `within`, chosen at random: a band join on (key, floor(value / within)).
+
+    All candidates' digests are made, but only those under a probe's hurdle, by how many it may have, are kept
+    and sorted; a probe that keeps fewer than k is looked up again without one, so that the picks are those of all candidates.
+    """
     cell = F.floor(F.col(value) / within)
-    look = probes.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1))).select(F.col("id").alias("probe"), key, F.col(value).alias("_v"), "_cell")
-    near = look.join(pool.withColumn("_cell", cell), [key, "_cell"]).where((F.col("probe") != F.col("id")) & (F.abs(F.col(value) - F.col("_v")) <= within))
-    return top_by(near.withColumn("_c", chance(seed, F.col("probe"), F.col("id"))), ["probe"], [F.col("_c"), F.col("id")], k).select("probe", "id", "rank")
+    around = F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell")
+    held = pool.withColumn("_cell", cell)
+    counts = held.groupBy(key, "_cell").agg(F.count("*").alias("_n")).select(key, around, "_n").groupBy(key, "_cell").agg(F.sum("_n").alias("_n"))
+    asked = probes.withColumn("_cell", cell).join(counts.hint("merge"), [key, "_cell"])
+    asked = asked.select(F.col("id").alias("probe"), key, F.col(value).alias("_v"), "_cell", hurdle(F.col("_n"), 8 * k).alias("_h"))
+    _c = digest(seed, F.col("probe"), F.col("id"))
+
+    def met(some: DataFrame, kept: Column) -> DataFrame:
+        look = some.select("probe", key, "_v", "_h", around)
+        near = look.join(held.hint("merge"), [key, "_cell"]).where((F.col("probe") != F.col("id")) & (F.abs(F.col(value) - F.col("_v")) <= within) & kept)
+        return near.select("probe", "id", F.substring(_c, 1, 12).alias("_c"))
+
+    first = stash(met(asked, F.col("_h").isNull() | (_c < F.col("_h"))), "near")
+    enough = first.groupBy("probe").agg(F.count("*").alias("_k")).where(F.col("_k") >= k)
+    rest = met(asked.where("_h IS NOT NULL").join(enough.hint("merge"), "probe", "left_anti"), _c >= F.col("_h"))
+    return top_by(first.unionByName(rest), ["probe"], [F.col("_c"), F.col("id")], k).select("probe", "id", "rank")
 
 
 def due_first(df: DataFrame, user: str, due: Column, order: Sequence[Column], k: int) -> DataFrame:

@@ -6,8 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalar import dot, norm
-from sparkloom.operators import graph, morphemes, similarity
+from sparkloom.operators import graph, morphemes, reader, relational, sampling, similarity
 from sparkloom.operators.components import connected_components
+from sparkloom.sources.shared import stash
 
 
 def plan(df) -> str:
@@ -49,3 +50,17 @@ def test_similar_blocks(spark, monkeypatch):
     assert {tuple(x) for x in connected_components(forest).collect()} == {tuple(x) for x in connected_components(got.select("a", "b")).collect()}
     monkeypatch.setattr(similarity, "BLOCK", 100)
     assert similarity.similar_forest(v, ["label"], -1.0).count() <= 63  # a forest, not all pairs
+
+
+def test_near_in_band_keeps_few(spark, monkeypatch):
+    p = spark.range(1200).select("id", F.lit("a").alias("brand"), (F.col("id") % 7).cast("double").alias("price"))
+    p = p.union(spark.createDataFrame([(2000, "b", 1.0), (2001, "b", 2.0), (2002, "c", 1.0)], p.schema))
+    one, two = p.select(F.col("id").alias("probe"), F.col("brand"), F.col("price").alias("v")), p
+    near = one.join(two, "brand").where("probe <> id AND abs(price - v) <= 2").withColumn("c", sampling.chance(5, F.col("probe"), F.col("id")))
+    want = {tuple(x) for x in relational.top_by(near, ["probe"], [F.col("c"), F.col("id")], 3).select("probe", "id", "rank").collect()}
+    written = []
+    monkeypatch.setattr(sampling, "stash", lambda df, name: written.append(out := stash(df, name)) or out)
+    assert {tuple(x) for x in sampling.near_in_band(p, p, "brand", "price", 2.0, 3, 5).collect()} == want
+    assert written[0].count() < 40 * 1200  # of some 700 candidates each
+    monkeypatch.setattr(sampling, "hurdle", lambda n, wanted: F.lit("0" * 11 + "1"))  # nobody keeps enough: all are looked up again
+    assert {tuple(x) for x in sampling.near_in_band(p, p, "brand", "price", 2.0, 3, 5).collect()} == want
