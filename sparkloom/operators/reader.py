@@ -11,7 +11,7 @@ from ..functions.scalar import content_words
 from ..sources.shared import stash
 from .curation import by_rules
 from .relational import top_by
-from .sampling import chance
+from .sampling import chance, digest, hurdle
 
 # Words that stand for two, and particles that lose their vowel.
 CONTRACTIONS = {
@@ -217,13 +217,34 @@ def separable(tokens: DataFrame, verbs: DataFrame) -> DataFrame:
 def distractors(words: DataFrame, related: DataFrame, alike: DataFrame, pool: DataFrame, synonyms: DataFrame, k: int, seed: int) -> DataFrame:
     """(word, gloss) to (word, other, rank): related words, then look-alikes, then others by chance;
     no synonym, and no content word of the gloss shared.  pool has (other, gloss, band) and is
-    met by band, so that chance candidates are few; words has the band too."""
-    by_chance = words.join(pool, "band").select("word", "other", F.lit(2).alias("tier")) if "band" in words.columns else words.select("word", F.lit("").alias("other"), F.lit(2).alias("tier")).limit(0)
-    c = related.select("word", "other", F.lit(0).alias("tier")).unionByName(alike.select("word", "other", F.lit(1).alias("tier"))).unionByName(by_chance)
-    c = c.where("word <> other").groupBy("word", "other").agg(F.min("tier").alias("tier")).join(synonyms.select("word", "other"), ["word", "other"], "left_anti")
-    c = c.join(words.select("word", F.col("gloss").alias("_g")), "word").join(pool.select("other", F.col("gloss").alias("_o")), "other")
-    apart = ~F.arrays_overlap(content_words(F.col("_g")), content_words(F.col("_o")))
-    return top_by(c.where(apart), ["word"], [F.col("tier"), chance(seed, F.col("word"), F.col("other")), F.col("other")], k).select("word", "other", "rank")
+    met by band; words has the band too, else none come by chance.
+
+    Of a band's words only those under a hurdle of chance, by the band's size, travel on; a word that keeps fewer than k
+    is met with its band again without one, so that the picks are those of all candidates.
+    """
+    apart = ~F.arrays_overlap("_g", "_o")
+    asked = words.select(*words.columns, content_words(F.col("gloss")).alias("_g")).drop("gloss")
+    held = pool.withColumn("_o", content_words(F.col("gloss"))).drop("gloss")
+    c = related.select("word", "other", F.lit(0).alias("tier")).unionByName(alike.select("word", "other", F.lit(1).alias("tier"))).where("word <> other")
+    c = c.groupBy("word", "other").agg(F.min("tier").alias("tier")).join(synonyms.select("word", "other").hint("merge"), ["word", "other"], "left_anti")
+    c = c.join(asked.select("word", "_g").hint("merge"), "word").join(held.select("other", "_o").hint("merge"), "other").where(apart)
+    first = c.select("word", "other", "tier")
+    if "band" in words.columns:
+        drawn = digest(seed, F.col("word"), F.col("other"))
+        sizes = pool.groupBy("band").agg(F.count("*").alias("_n"))
+        asked = asked.join(sizes.hint("merge"), "band").withColumn("_h", hurdle(F.col("_n"), 6 * k)).drop("_n")
+        known = stash(first, "known")
+
+        def met(some: DataFrame, kept: Column) -> DataFrame:
+            by_chance = some.join(held.hint("merge"), "band").where((F.col("word") != F.col("other")) & kept & apart).select("word", "other")
+            by_chance = by_chance.join(synonyms.select("word", "other").hint("merge"), ["word", "other"], "left_anti")
+            return by_chance.join(known.hint("merge"), ["word", "other"], "left_anti").select("word", "other", F.lit(2).alias("tier")).distinct()
+
+        first = stash(known.unionByName(met(asked, F.col("_h").isNull() | (drawn < F.col("_h")))), "distractors")
+        enough = first.groupBy("word").agg(F.count("*").alias("_k")).where(F.col("_k") >= k)
+        short = asked.where("_h IS NOT NULL").join(enough.hint("merge"), "word", "left_anti")
+        first = first.unionByName(met(short, drawn >= F.col("_h")))
+    return top_by(first, ["word"], [F.col("tier"), F.substring(digest(seed, F.col("word"), F.col("other")), 1, 12), F.col("other")], k).select("word", "other", "rank")
 
 
 def sense_link(senses: DataFrame, links: DataFrame) -> DataFrame:

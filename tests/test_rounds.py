@@ -64,3 +64,22 @@ def test_near_in_band_keeps_few(spark, monkeypatch):
     assert written[0].count() < 40 * 1200  # of some 700 candidates each
     monkeypatch.setattr(sampling, "hurdle", lambda n, wanted: F.lit("0" * 11 + "1"))  # nobody keeps enough: all are looked up again
     assert {tuple(x) for x in sampling.near_in_band(p, p, "brand", "price", 2.0, 3, 5).collect()} == want
+
+
+def test_distractors_keep_few(spark, monkeypatch):
+    gloss = F.concat(F.lit("the w"), F.translate((F.col("id") % 5).cast("string"), "01234", "abcde"), F.lit("xx"))
+    words = spark.range(900).select(F.col("id").cast("string").alias("word"), gloss.alias("gloss"), (F.col("id") % 2).alias("band")).withColumn("gloss", F.expr("substring(gloss, 5)"))
+    pool = words.withColumnRenamed("word", "other")
+    related = spark.createDataFrame([("0", "7"), ("0", "3"), ("0", "5"), ("2", "2"), ("4", "1")], "word string, other string")
+    alike = spark.createDataFrame([("0", "7"), ("6", "8"), ("6", "11")], "word string, other string")
+    synonyms = spark.createDataFrame([("0", "3"), ("6", "8")], "word string, other string")
+    c = related.withColumn("tier", F.lit(0)).union(alike.withColumn("tier", F.lit(1))).union(words.join(pool, "band").select("word", "other", F.lit(2)))
+    c = c.where("word <> other").groupBy("word", "other").agg(F.min("tier").alias("tier")).join(synonyms, ["word", "other"], "left_anti")
+    c = c.join(words.select("word", F.col("gloss").alias("g")), "word").join(pool.select("other", F.col("gloss").alias("o")), "other").where("g <> o")
+    want = {tuple(x) for x in relational.top_by(c, ["word"], [F.col("tier"), sampling.chance(5, F.col("word"), F.col("other")), F.col("other")], 3).select("word", "other", "rank").collect()}
+    written = []
+    monkeypatch.setattr(reader, "stash", lambda df, name: written.append(out := stash(df, name)) or out)
+    assert {tuple(x) for x in reader.distractors(words, related, alike, pool, synonyms, 3, 5).collect()} == want
+    assert written[-1].count() < 40 * 900  # of some 360 candidates each
+    monkeypatch.setattr(reader, "hurdle", lambda n, wanted: F.lit("0" * 11 + "1"))
+    assert {tuple(x) for x in reader.distractors(words, related, alike, pool, synonyms, 3, 5).collect()} == want
