@@ -21,7 +21,7 @@ def _levels(nodes: DataFrame) -> list[DataFrame]:
     while not level.isEmpty():
         out.append(level)
         above = level.select("tree", F.col("node").alias("parent"))
-        level = stash(nodes.join(above, ["tree", "parent"], "left_semi").select(*nodes.columns), "level")
+        level = stash(nodes.join(above.hint("merge"), ["tree", "parent"], "left_semi").select(*nodes.columns), "level")
     return out
 
 
@@ -30,6 +30,7 @@ def radial(nodes: DataFrame, spacing: float = 1.0) -> DataFrame:
     its share of its parent's by leaves, the largest first, then by node.
 
     Level by level, from the root down and with the leaves counted back up, so that a tree isn't in one task; in as many rounds as there are levels.
+    The joins are merged: a level's file is small for its rows, too small for a broadcast through the driver.
     Nodes that no root reaches, as on a cycle, have no row.
     """
     timed = nodes.select("tree", "node", "parent", (-F.log(2400 - F.least(F.col("year").cast("double"), F.lit(2000.0)))).alias("time"))
@@ -44,21 +45,21 @@ def radial(nodes: DataFrame, spacing: float = 1.0) -> DataFrame:
             own = level.withColumn("leaves", one)
         else:
             sums = below.groupBy("tree", F.col("parent").alias("node")).agg(F.sum("leaves").alias("leaves"))
-            own = level.join(sums, ["tree", "node"], "left").withColumn("leaves", F.coalesce("leaves", one))
+            own = level.join(sums.hint("merge"), ["tree", "node"], "left").withColumn("leaves", F.coalesce("leaves", one))
         below = stash(own.select("tree", "node", "parent", "time", "leaves"), "leaves")
         counted.insert(0, below)
     top = counted[0].select("tree", "node", "leaves", F.lit(0.0).alias("start"), F.lit(2 * pi).alias("width"), F.lit(0.0).alias("radius"), F.col("time").alias("begun"))
     placed = [top]
     for level in counted[1:]:
         p = placed[-1].select("tree", F.col("node").alias("parent"), F.col("leaves").alias("_all"), F.col("start").alias("_start"), F.col("width").alias("_width"), F.col("radius").alias("_radius"), "begun")
-        j = level.join(p, ["tree", "parent"]).withColumn("width", F.col("_width") * F.col("leaves") / F.col("_all"))
+        j = level.join(p.hint("merge"), ["tree", "parent"]).withColumn("width", F.col("_width") * F.col("leaves") / F.col("_all"))
         before = F.sum("width").over(Window.partitionBy("tree", "parent").orderBy(F.desc("leaves"), "node")) - F.col("width")
         j = j.withColumn("start", F.col("_start") + before).withColumn("radius", F.greatest(F.col("_radius") + MIN_GAP, F.col("time") - F.col("begun")))
         placed.append(stash(j.select("tree", "node", "leaves", "start", "width", "radius", "begun"), "placed"))
     all_ = reduce(DataFrame.unionByName, placed)
     rim = F.greatest(F.max("radius"), F.lit(1e-6))
     scale = F.greatest(F.max("leaves") * spacing / (2 * pi) / rim, F.lit(3.5), 0.8 * F.sqrt(F.count("*")) / rim)
-    sized = all_.join(all_.groupBy("tree").agg(scale.alias("scale")), "tree")
+    sized = all_.join(all_.groupBy("tree").agg(scale.alias("scale")).hint("merge"), "tree")
     angle = F.col("start") + F.col("width") / 2
     return sized.select("tree", "node", (F.col("radius") * F.col("scale") * F.cos(angle)).alias("x"), (F.col("radius") * F.col("scale") * F.sin(angle)).alias("y"))
 

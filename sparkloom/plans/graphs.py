@@ -310,7 +310,7 @@ def radial_layout(spark, sf_dir):
     t = Tables(spark, sf_dir)
     roots = graph.tree_roots(_binary(t))
     p = t.part.select(F.col("p_partkey").alias("node"), F.when((F.col("p_partkey") > 0) & (F.col("p_size") > 2), F.expr("(p_partkey - 1) DIV 2")).alias("parent"), (800 + F.col("p_partkey") * 37 % 1300).alias("year"))
-    nodes = p.join(roots, "node", "left").select(F.coalesce("root", "node").alias("tree"), "node", "parent", "year")
+    nodes = p.join(roots.hint("merge"), "node", "left").select(F.coalesce("root", "node").alias("tree"), "node", "parent", "year")
     return layout.radial(nodes).select("tree", "node", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalar import dot, norm
-from sparkloom.operators import graph, morphemes, reader, relational, sampling, similarity
+from sparkloom.operators import graph, layout, morphemes, reader, relational, sampling, similarity
 from sparkloom.operators.components import connected_components
 from sparkloom.sources.shared import stash
 
@@ -83,3 +83,11 @@ def test_distractors_keep_few(spark, monkeypatch):
     assert written[-1].count() < 40 * 900  # of some 360 candidates each
     monkeypatch.setattr(reader, "hurdle", lambda n, wanted: F.lit("0" * 11 + "1"))
     assert {tuple(x) for x in reader.distractors(words, related, alike, pool, synonyms, 3, 5).collect()} == want
+
+
+def test_radial_broadcasts_nothing(spark):
+    rows = spark.createDataFrame([(0, 0, None, 100), (0, 1, 0, 300), (0, 2, 0, 500), (0, 3, 1, 900)], "tree long, node long, parent long, year int")
+    out = layout.radial(rows)
+    assert out.count() == 4 and "Broadcast" not in plan(out)
+    roots = graph.tree_roots(rows.where("parent IS NOT NULL").select(F.col("node").alias("child"), "parent"))
+    assert {tuple(x) for x in roots.collect()} == {(0, 0), (1, 0), (2, 0), (3, 0)} and "Broadcast" not in plan(roots)
