@@ -13,6 +13,9 @@ from .curation import by_rules
 from .relational import top_by
 from .sampling import chance, digest, hurdle
 
+#: So many separable prefixes are parameters of a plan; more are joined.
+PREFIXES = 200
+
 # Words that stand for two, and particles that lose their vowel.
 CONTRACTIONS = {
     "fr": {"du": ("de", "le"), "des": ("de", "les"), "au": ("à", "le"), "aux": ("à", "les")},
@@ -214,6 +217,34 @@ def separable(tokens: DataFrame, verbs: DataFrame) -> DataFrame:
     return j.groupBy("quote", "sentence", "place").agg(F.min_by("verb", F.struct("_p", "verb")).alias("verb"))
 
 
+def separable_in(sentences: DataFrame, verbs: DataFrame) -> DataFrame:
+    """separable() over whole sentences (quote, sentence, words): only words of a stem's length with a prefix later in their sentence
+    travel to the verbs, each once, with the first place of each prefix behind it.
+
+    A language has few separable prefixes; over PREFIXES of them, sentences are cut into words for separable().
+    """
+    found = verbs.select("prefix").distinct().limit(PREFIXES + 1).collect()  # bounded; what goes beyond is done by joins
+    if len(found) > PREFIXES:
+        each = sentences.select("quote", "sentence", F.posexplode("words").alias("place", "token"))
+        return separable(each.withColumn("place", F.col("place").cast("long")), verbs)
+    prefixes = [r["prefix"] for r in found if r["prefix"] is not None]
+    if not prefixes:
+        return separable(sentences.select("quote", "sentence", F.lit(0).cast("long").alias("place"), F.lit("").alias("token")), verbs).limit(0)
+    shortest = verbs.agg(F.min(F.length("stem"))).first()[0] or 0
+    at = F.filter(F.transform("words", lambda w, k: F.struct(k.cast("long").alias("p"), F.lower(w).alias("prefix"))), lambda x: x["prefix"].isin(*prefixes))
+    has = sentences.withColumn("_at", at).where(F.size("_at") > 0)
+    # words before the last prefix
+    before = F.slice("words", F.lit(1), F.element_at("_at", -1)["p"].cast("int"))
+    each = has.select("quote", "sentence", "_at", F.posexplode(before).alias("place", "token")).where(F.length("token") >= shortest)
+    behind = F.filter("_at", lambda x: x["p"] > F.col("place"))
+    firsts = F.transform(F.array_distinct(F.transform(behind, lambda x: x["prefix"])), lambda f: F.filter(behind, lambda x: x["prefix"] == f)[0])
+    asked = each.select("quote", "sentence", F.col("place").cast("long").alias("place"), F.lower("token").alias("stem"), firsts.alias("_f"))
+    by_stem = verbs.groupBy("stem").agg(F.collect_set(F.struct("prefix", "verb")).alias("_v"))
+    j = asked.join(by_stem.hint("merge"), "stem").select("quote", "sentence", "place", F.explode("_f").alias("_f"), "_v")
+    j = j.select("quote", "sentence", "place", "_f", F.explode("_v").alias("_v")).where("_f.prefix = _v.prefix")
+    return j.groupBy("quote", "sentence", "place").agg(F.min_by("_v.verb", F.struct("_f.p", "_v.verb")).alias("verb"))
+
+
 def distractors(words: DataFrame, related: DataFrame, alike: DataFrame, pool: DataFrame, synonyms: DataFrame, k: int, seed: int) -> DataFrame:
     """(word, gloss) to (word, other, rank): related words, then look-alikes, then others by chance;
     no synonym, and no content word of the gloss shared.  pool has (other, gloss, band) and is

@@ -160,8 +160,8 @@ def separable_verbs(spark, sf_dir):
     v = _vocabulary(spark, sf_dir).where("length(w) >= 5 AND n >= 3")
     verbs = v.select(F.explode(F.array(*map(F.lit, ("an", "on", "of", "to")))).alias("prefix"), F.col("w").alias("stem")).withColumn("verb", F.concat("prefix", "stem"))
     s = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("quote"), F.posexplode(F.split("text", r"\.")).alias("sentence", "x"))
-    tokens = s.select("quote", F.col("sentence").cast("long").alias("sentence"), F.posexplode(F.regexp_extract_all("x", F.lit(r"\p{L}+"), F.lit(0))).alias("place", "token"))
-    return reader.separable(tokens.withColumn("place", F.col("place").cast("long")), verbs)
+    sentences = s.select("quote", F.col("sentence").cast("long").alias("sentence"), F.regexp_extract_all("x", F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    return reader.separable_in(sentences, stash(verbs, "verbs"))
 
 
 @query("""WITH s AS (SELECT p_brand AS word, p_partkey AS ord, 'a ' || p_name || ' of ' || lower(p_type) AS gloss FROM part),

@@ -85,6 +85,20 @@ def test_distractors_keep_few(spark, monkeypatch):
     assert {tuple(x) for x in reader.distractors(words, related, alike, pool, synonyms, 3, 5).collect()} == want
 
 
+def test_separable_in(spark, monkeypatch):
+    verbs = spark.createDataFrame([("an", "fangen", "anfangen"), ("auf", "fangen", "auffangen"), ("an", "kommen", "ankommen"), ("an", "fangen", "Anfangen"), (None, "x", "y")], "prefix string, stem string, verb string")
+    r = random.Random(2)
+    s = spark.createDataFrame([(q, n, [r.choice(["an", "AUF", "fangen", "Kommen", "wir", "x"]) for _ in range(r.randrange(9))]) for q in range(40) for n in range(2)] + [(99, 0, None)], "quote long, sentence long, words array<string>")
+    tokens = s.select("quote", "sentence", F.posexplode("words").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
+    want = {tuple(x) for x in reader.separable(tokens, verbs).collect()}
+    assert len(want) > 10
+    out = reader.separable_in(s, verbs)
+    assert plan(out).count("Scan ExistingRDD") == 2  # words travel once (they did twice), verbs once
+    assert {tuple(x) for x in out.collect()} == want and out.columns == ["quote", "sentence", "place", "verb"]
+    monkeypatch.setattr(reader, "PREFIXES", 1)
+    assert {tuple(x) for x in reader.separable_in(s, verbs).collect()} == want
+
+
 def test_radial_broadcasts_nothing(spark):
     rows = spark.createDataFrame([(0, 0, None, 100), (0, 1, 0, 300), (0, 2, 0, 500), (0, 3, 1, 900)], "tree long, node long, parent long, year int")
     out = layout.radial(rows)
