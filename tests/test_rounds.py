@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalar import dot, norm
-from sparkloom.operators import graph, layout, morphemes, reader, relational, sampling, similarity
+from sparkloom.operators import graph, layout, morphemes, reader, relational, sampling, setjoin, similarity
 from sparkloom.operators.components import connected_components
 from sparkloom.sources.shared import stash
 
@@ -105,3 +105,33 @@ def test_radial_broadcasts_nothing(spark):
     assert out.count() == 4 and "Broadcast" not in plan(out)
     roots = graph.tree_roots(rows.where("parent IS NOT NULL").select(F.col("node").alias("child"), "parent"))
     assert {tuple(x) for x in roots.collect()} == {(0, 0), (1, 0), (2, 0), (3, 0)} and "Broadcast" not in plan(roots)
+
+
+def test_link_counts(spark, monkeypatch):
+    """Sets go packed to shards, whole texts only where prefixes meet: links of every text as by brute force, and few bytes shuffled."""
+    r = random.Random(8)
+    letters = [chr(97 + k) + chr(97 + j) for k in range(26) for j in range(26)]
+    stem = [r.choice(letters) for _ in range(60)]
+    rows = [(k, " ".join(stem[:40] + [r.choice(letters) for _ in range(r.choice((0, 1, 2, 6)))] + stem[40:])) for k in range(60)]  # one large group, with copies
+    rows += [(k, " ".join(stem[:20] + [r.choice(letters) for _ in range(30)])) for k in range(100, 160)]  # a passage in common, no links
+    for k in range(200, 260, 3):
+        text = [r.choice(letters) for _ in range(r.choice((3, 5, 9, 30, 90)))]
+        rows += [(k, " ".join(text)), (k + 1, " ".join(text).upper()), (k + 2, " ".join([*text, r.choice(letters)]))]
+    rows += [(300, ""), (301, None), (302, "..."), (303, "one"), (304, "One!"), (305, "one two"), (306, "two one"), (-7, "a b c d"), (307, "a b c d"), (None, "one")]
+
+    def shingles(text):
+        w = (text or "").lower().replace("!", "").replace(".", "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {k: shingles(t) for k, t in rows if k is not None}
+    want = {a: n for a, x in sets.items() if (n := sum(a != b and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()))}
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    assert {x.id: x.n for x in setjoin.link_counts(frame).collect()} == want
+    monkeypatch.setattr(setjoin, "MEMBERS", 7)
+    monkeypatch.setattr(setjoin, "BITS", 1 << 16)
+    assert {x.id: x.n for x in setjoin.link_counts(frame).collect()} == want
+    assert sum(want.values()) > 1000
+    assert setjoin.link_counts(frame.where("id IN (300, 301)")).collect() == []
+    # only what another text has comes back, and only texts of which 80 % is elsewhere have prefixes
+    heads = {x.id: x.head for x in setjoin.heads(frame).collect()}
+    assert set(want) <= set(heads) and not any(100 <= k < 160 for k in heads) and all(len(heads[k]) <= len(sets[k]) / 5 + 1 for k in heads)
