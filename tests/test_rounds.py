@@ -135,3 +135,5 @@ def test_link_counts(spark, monkeypatch):
     # only what another text has comes back, and only texts of which 80 % is elsewhere have prefixes
     heads = {x.id: x.head for x in setjoin.heads(frame).collect()}
     assert set(want) <= set(heads) and not any(100 <= k < 160 for k in heads) and all(len(heads[k]) <= len(sets[k]) / 5 + 1 for k in heads)
+    packed = frame.where("id IS NOT NULL AND text IS NOT NULL").select("id", setjoin.words(F.col("text")).alias("w")).where("size(w) > 0").mapInArrow(setjoin._pack(5), setjoin._PACKED)
+    assert packed.where("docs IS NOT NULL").select("shard").distinct().count() == 3  # lists of a block's texts don't meet in one shard
